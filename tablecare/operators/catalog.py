@@ -12,9 +12,7 @@ from pyspark.sql import types as T
 
 from tablecare.functions.lexicon import DOMAIN_TERMS
 from tablecare.functions.text import snake
-
-# A lexicon up to this many terms is broadcast.
-BROADCAST_TERMS = 100_000
+from tablecare.operators.joins import small_side
 
 # Hits, or share of columns, that make a guess certain or likely.
 HIGH_SCORE, HIGH_SHARE = 4, 0.4
@@ -104,15 +102,19 @@ def tag_domains(catalog: DataFrame, lexicon: DataFrame | None = None) -> DataFra
     that terms are found by an equi-join.
     """
     lexicon = lexicon if lexicon is not None else default_lexicon(catalog.sparkSession)
-    terms = lexicon.select("domain", "domain_pos", plain_name(F.col("term")).alias("term"))
-    size = terms.agg(F.count("*").alias("terms"), F.max(F.size(F.split("term", " "))).alias("longest")).first()
-    side = F.broadcast(terms) if size["terms"] <= BROADCAST_TERMS else terms
+    terms = (
+        lexicon.groupBy("domain", plain_name(F.col("term")).alias("term"))
+        .agg(F.min("domain_pos").alias("domain_pos"))
+    )
+    longest = terms.agg(F.max(F.size(F.split("term", " ")))).first()[0] or 1
     hits = (
-        catalog.select("table", F.explode(_phrases(plain_name(F.col("column")), size["longest"] or 1)).alias("term"))
+        catalog.select("table", F.explode(_phrases(plain_name(F.col("column")), longest)).alias("term"))
         .distinct()
-        .join(side, "term")
+        .join(small_side(terms), "term")
+    )
+    scores = hits.groupBy("table", "domain").agg(
+        F.count("*").alias("score"), F.min("domain_pos").alias("domain_pos")
     )
-    scores = hits.groupBy("table", "domain", "domain_pos").agg(F.count_distinct("term").alias("score"))
     widths = catalog.groupBy("table").agg(F.count("*").alias("columns"))
     w = Window.partitionBy("table").orderBy(F.desc("score"), "domain_pos")
     return (

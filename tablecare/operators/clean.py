@@ -10,8 +10,9 @@ becomes null.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any, ClassVar
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,12 +22,10 @@ from tablecare.functions.dates import DEFAULT_FORMATS, parse_timestamp
 from tablecare.functions.numbers import finite, parse_number
 from tablecare.functions.text import MISSING_LABELS, label_key, missing_to_null, strip, title
 from tablecare.operators.catalog import unique_snake_names
+from tablecare.operators.joins import small_side
 from tablecare.operators.quantiles import exact_quantiles
 from tablecare.operators.schema import as_text, column, kinds, present
 
-# Label maps up to this many rows are broadcast; larger ones are joined by Spark's choice.
-BROADCAST_LABELS = 100_000
-
 
 @dataclass(frozen=True)
 class Op:
@@ -54,13 +53,18 @@ class Op:
         col = getattr(self, "col", None)
         if col is not None:
             changes["col"] = names.get(col, col)
-        return _replace(self, changes)
+        return replace(self, **changes) if changes else self
 
+    def mapping(self, df: DataFrame) -> dict[str, str]:
+        """Old to new names of the columns this step renames."""
+        return {}
 
-def _replace(op: Op, changes: dict[str, Any]) -> Op:
-    from dataclasses import replace
 
-    return replace(op, **changes) if changes else op
+def _need_text(df: DataFrame, cols: Sequence[str]) -> None:
+    kind = kinds(df)
+    wrong = [c for c in cols if kind.get(c) not in ("text", None)]
+    if wrong:
+        raise ValueError(f"not text: {', '.join(wrong)}")
 
 
 def _with(df: DataFrame, cols: Sequence[str], f) -> DataFrame:
@@ -78,6 +82,9 @@ class Rename(Op):
     def columns(self) -> list[str]:
         return list(self.names)
 
+    def mapping(self, df: DataFrame) -> dict[str, str]:
+        return dict(self.names)
+
     def apply(self, df: DataFrame) -> DataFrame:
         return df.withColumnsRenamed(dict(self.names))
 
@@ -88,6 +95,9 @@ class SnakeCase(Op):
 
     type: ClassVar[str] = "rename_columns"
 
+    def mapping(self, df: DataFrame) -> dict[str, str]:
+        return dict(zip(df.columns, unique_snake_names(df.sparkSession, df.columns)))
+
     def apply(self, df: DataFrame) -> DataFrame:
         return df.toDF(*unique_snake_names(df.sparkSession, df.columns))
 
@@ -100,6 +110,7 @@ class Strip(Op):
     cols: Sequence[str] = ()
 
     def apply(self, df: DataFrame) -> DataFrame:
+        _need_text(df, self.cols)
         return _with(df, self.cols, strip)
 
 
@@ -273,6 +284,7 @@ class Title(Op):
     cols: Sequence[str] = ()
 
     def apply(self, df: DataFrame) -> DataFrame:
+        _need_text(df, self.cols)
         return _with(df, self.cols, lambda c: title(strip(c)))
 
 
@@ -315,8 +327,7 @@ class MapLabels(Op):
 
     def apply(self, df: DataFrame) -> DataFrame:
         labels = label_spellings(df, [self.col]).select("label", "canonical")
-        small = labels.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
-        side = F.broadcast(labels) if small else labels
+        side = small_side(labels)
         new = F.coalesce(F.col("canonical"), column(self.col)).alias(self.col)
         return (
             df.join(side, label_key(column(self.col)) == F.col("label"), "left")
@@ -385,8 +396,6 @@ _REFUSED = ("reflect", "java_method", "try_reflect")
 
 def expression(sql: str) -> Column:
     """A SQL expression as a Column; calls into arbitrary Java code are refused."""
-    import re
-
     called = {m.lower() for m in re.findall(r"`?(\w+)`?\s*\(", sql)}
     refused = sorted(called & set(_REFUSED))
     if refused:
