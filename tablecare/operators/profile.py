@@ -3,12 +3,13 @@
 Every figure of a column comes out of a handful of aggregates whose results
 hold one row per column (and five top values each), whatever the table's size:
 
-* one scan of the numeric, boolean and date columns, two or more for exact
-  quantiles (:mod:`tablecare.operators.quantiles`);
+* a scan of the numeric and date columns, and one or more for exact quantiles
+  (:mod:`tablecare.operators.quantiles`);
 * one histogram each for whole-number, fractional and text columns;
 * one count of equal rows.
 
-With ``approx=True`` one single scan with sketches replaces all of them.
+They do not depend on each other and run at the same time. With ``approx=True``
+two scans, one of them with sketches, replace all of them.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from tablecare.functions.numbers import finite, looks_number
 from tablecare.functions.text import strip
 from tablecare.operators.frequency import infer_frequency
 from tablecare.operators.histogram import text_counts, text_key, top_values, value_counts
+from tablecare.operators.jobs import together
 from tablecare.operators.quantiles import exact_quantiles
 from tablecare.operators.samples import sample_rows
 from tablecare.operators.schema import as_text, column, kinds, present
@@ -42,7 +44,7 @@ NUMERIC_FLAG_SHARE = 0.80
 MIXED_FLAG_SHARE = 0.10
 TEXT_LENGTH = 50
 TOP_VALUES = 5
-SKETCH_ERROR = 0.01      # standard error of distinct counts with approx=True
+SKETCH_LG_K = 14         # sketch size: distinct counts with approx=True are off by about 1 %
 BOOLEAN_WORDS = ("true", "false", "yes", "no", "y", "n", "t", "f")
 ID_NAME = r"(?i)(^id$|_id$|^id_|uuid|_key$|^key$)"
 
@@ -129,9 +131,15 @@ def _summary_and_top(counts: DataFrame, metrics: list[Column], carried: list[str
     return summary.unionByName(top, allowMissingColumns=True).collect()
 
 
+def _boolean_words(lowered: Column) -> Column:
+    """Are all values boolean words, and at most two different ones?"""
+    place = F.array_position(F.array(*[F.lit(w) for w in BOOLEAN_WORDS]), lowered)
+    bits = F.bit_or(F.call_function("shiftleft", F.lit(1), place.cast("int")))
+    return F.bool_and(place > 0) & (F.bit_count(bits) <= 2)
+
+
 def _text_metrics() -> list[Column]:
-    n, value = F.col("n"), F.lower("value")
-    word = F.array_position(F.array(*[F.lit(w) for w in BOOLEAN_WORDS]), value)
+    n = F.col("n")
     return [
         F.count("*").alias("distinct"),
         F.sum("n").alias("non_null"),
@@ -139,50 +147,23 @@ def _text_metrics() -> list[Column]:
         F.sum(F.when(F.col("ts").isNotNull(), n).otherwise(0)).alias("dates"),
         F.sum(n * F.col("chars")).alias("total_chars"),
         F.max("padded").alias("any_padded"),
-        (F.bool_and(word > 0) & (F.bit_count(F.bit_or(
-            F.expr("shiftleft(1, CAST(array_position(array(%s), lower(value)) AS INT))"
-                   % ", ".join(f"'{w}'" for w in BOOLEAN_WORDS)))) <= 2)).alias("words"),
+        _boolean_words(F.lower("value")).alias("words"),
         iso(F.min("ts")).alias("min_date"),
         iso(F.max("ts")).alias("max_date"),
     ]
 
 
 def _exact_stats(df: DataFrame, formats) -> tuple[list[dict], list[tuple]]:
-    """Statistics per column and the top values of columns, exact."""
-    kind = kinds(df)
-    names = df.columns
-    stats = [
-        {"pos": i, "column": n, "dtype": df.schema[n].dataType.simpleString(), "kind": kind[n]}
-        for i, n in enumerate(names)
-    ]
-    of = {k: [i for i, n in enumerate(names) if kind[n] in k.split("|")] for k in
-          ("integer|fraction", "datetime", "integer|datetime|boolean", "fraction", "text|nested")}
-
-    # fixed-width columns: counts, extremes, moments and quantiles
-    numbers = {str(i): finite(column(names[i])) for i in of["integer|fraction"]}
-    extra = [F.count(F.lit(1))]
-    extra += [F.struct(F.count(present(df, names[i])), F.count(c), F.bool_and(c == F.floor(c)), *_moments(c))
-              for i, c in ((int(k), v) for k, v in numbers.items())]
-    extra += [F.struct(F.count(column(names[i])), iso(F.min(column(names[i]))), iso(F.max(column(names[i]))))
-              for i in of["datetime"]]
-    booleans = [i for i, n in enumerate(names) if kind[n] == "boolean"]
-    extra += [F.count(column(names[i])) for i in booleans]
-    quartiles, seen = exact_quantiles(df, numbers, [0.25, 0.5, 0.75], extra)
-    seen = list(seen)
-    rows = seen.pop(0)
-    for s in stats:
-        s["rows"] = rows
-    for i in of["integer|fraction"]:
-        s = stats[i]
-        (s["non_null"], s["finite"], s["whole"],
-         s["min"], s["max"], s["mean"], s["std"], s["skewness"]) = seen.pop(0)
-        s["q1"], s["median"], s["q3"] = quartiles[str(i)]
-    for i in of["datetime"]:
-        stats[i]["non_null"], stats[i]["min_date"], stats[i]["max_date"] = seen.pop(0)
-    for i in booleans:
-        stats[i]["non_null"] = seen.pop(0)
+    """Statistics per column and the top values of columns, exact.
 
-    top: list[tuple] = []
+    The scans do not depend on each other and are submitted together.
+    """
+    kind, names = kinds(df), df.columns
+    stats = _blank_stats(df)
+    decimals = [i for i, n in enumerate(names) if isinstance(df.schema[n].dataType, T.DecimalType)]
+
+    def of(*wanted: str) -> list[int]:
+        return [i for i, n in enumerate(names) if kind[n] in wanted]
 
     def whole_number(i: int) -> Column:
         c = column(names[i])
@@ -190,66 +171,101 @@ def _exact_stats(df: DataFrame, formats) -> tuple[list[dict], list[tuple]]:
             return F.unix_micros(c.cast("timestamp"))
         return c.cast("int").cast("bigint") if kind[names[i]] == "boolean" else c.cast("bigint")
 
-    def read(counts: DataFrame, metrics: list[Column], carried: list[str] = []) -> list[Row]:
-        rows = _summary_and_top(counts, metrics, carried)
-        for r in rows:
-            if r["rank"] is None:
-                stats[int(r["pos"])]["distinct"] = r["distinct"]
-            else:
-                top.append((int(r["pos"]), r["rank"], r["value"], r["n"]))
-        return [r for r in rows if r["rank"] is None]
-
-    if of["integer|datetime|boolean"]:
-        counts = value_counts(df, {str(i): whole_number(i) for i in of["integer|datetime|boolean"]})
-        read(counts, [F.count("*").alias("distinct"), F.sum("n").alias("non_null")])
-    if of["fraction"]:
-        counts = value_counts(df, {str(i): present(df, names[i]).cast("double")
-                                   for i in of["fraction"] if not _is_decimal(df, names[i])}
-                              ) if any(not _is_decimal(df, names[i]) for i in of["fraction"]) else None
-        if counts is not None:
-            metrics = [F.count("*").alias("distinct"), F.sum("n").alias("non_null"),
-                       F.count_if(finite(F.col("value")).isNotNull()).alias("distinct_finite")]
-            for r in read(counts, metrics):
-                stats[int(r["pos"])]["distinct_finite"] = r["distinct_finite"]
-    texts = of["text|nested"] + [i for i in of["fraction"] if _is_decimal(df, names[i])]
-    if texts:
-        counts = text_counts(df, {str(i): as_text(df, names[i]) for i in texts}, formats)
-        for r in read(counts, _text_metrics(), ["chars", "is_number", "ts", "padded"]):
-            s = stats[int(r["pos"])]
-            s["non_null"] = r["non_null"]
-            if s["kind"] == "text":
-                s["number_share"] = r["numbers"] / r["non_null"]
-                s["date_share"] = r["dates"] / r["non_null"]
-                s["mean_length"] = r["total_chars"] / r["non_null"]
-                s["padded"], s["boolean_words"] = bool(r["any_padded"]), bool(r["words"])
-                s["min_date"], s["max_date"] = r["min_date"], r["max_date"]
-        top = _whole_texts(df, texts, top)
+    counted = [F.count("*").alias("distinct"), F.sum("n").alias("non_null")]
+    finite_counted = [*counted, F.count_if(finite(F.col("value")).isNotNull()).alias("distinct_finite")]
+    histograms = [
+        ({i: whole_number(i) for i in of("integer", "datetime", "boolean")}, value_counts, counted, []),
+        ({i: present(df, names[i]).cast("double") for i in of("fraction") if i not in decimals},
+         value_counts, finite_counted, []),
+        ({i: as_text(df, names[i]) for i in sorted([*of("text", "nested"), *decimals])},
+         lambda d, columns: text_counts(d, columns, formats), _text_metrics(),
+         ["chars", "is_number", "ts", "padded"]),
+    ]
+
+    def histogram(columns: dict[int, Column], count, metrics: list[Column], carried: list[str]):
+        def job() -> list[Row]:
+            return _summary_and_top(count(df, {str(i): c for i, c in columns.items()}), metrics, carried)
+        return job
 
+    native = {names[i]: column(names[i]) for i in of("datetime")}
+    fixed, frequencies, *seen = together(
+        lambda: _fixed_width_stats(df), lambda: infer_frequency(df, native),
+        *[histogram(*h) for h in histograms if h[0]],
+    )
+    for i, found in fixed.items():
+        stats[i] |= found
+    top: list[tuple] = []
+    for r in [r for rows in seen for r in rows]:
+        i = int(r["pos"])
+        if r["rank"] is not None:
+            top.append((i, r["rank"], r["value"], r["n"]))
+            continue
+        stats[i]["distinct"], stats[i]["non_null"] = r["distinct"], r["non_null"]
+        if "distinct_finite" in r:
+            stats[i]["distinct_finite"] = r["distinct_finite"]
+        if kind[names[i]] == "text":
+            stats[i] |= {
+                "number_share": r["numbers"] / r["non_null"], "date_share": r["dates"] / r["non_null"],
+                "mean_length": r["total_chars"] / r["non_null"], "padded": bool(r["any_padded"]),
+                "boolean_words": bool(r["words"]), "min_date": r["min_date"], "max_date": r["max_date"],
+            }
     for s in stats:
-        s.setdefault("non_null", 0)
-        s.setdefault("distinct", 0)
-        if s["kind"] in ("integer", "fraction"):
-            s.setdefault("distinct_finite", s["distinct"])
-    dated = {
-        s["column"]: column(s["column"]) if s["kind"] == "datetime"
-        else parse_timestamp(column(s["column"]), formats)
-        for s in stats
-        if s["kind"] == "datetime" or (s["kind"] == "text" and s.get("date_share", 0.0) > DATE_TYPE_SHARE)
+        if s["kind"] in ("integer", "fraction") and "distinct_finite" not in s:
+            s["distinct_finite"] = s["distinct"]
+    dates_in_text = {
+        s["column"]: parse_timestamp(column(s["column"]), formats)
+        for s in stats if s.get("date_share", 0.0) > DATE_TYPE_SHARE
     }
-    for name, frequency in infer_frequency(df, dated).items():
+    for name, frequency in {**frequencies, **infer_frequency(df, dates_in_text)}.items():
         stats[names.index(name)]["frequency"] = frequency
-    return stats, [(p, r, _shown(v, kind[names[p]]), n) for p, r, v, n in top]
+    texts = {*of("text", "nested"), *decimals}
+    return stats, [(p, r, _shown(v, kind[names[p]]), n) for p, r, v, n in _whole_texts(df, texts, top)]
 
 
-def _is_decimal(df: DataFrame, name: str) -> bool:
-    return isinstance(df.schema[name].dataType, T.DecimalType)
+def _blank_stats(df: DataFrame) -> list[dict]:
+    kind = kinds(df)
+    return [
+        {"pos": i, "column": n, "dtype": df.schema[n].dataType.simpleString(), "kind": kind[n],
+         "non_null": 0, "distinct": 0}
+        for i, n in enumerate(df.columns)
+    ]
+
+
+def _number_parts(value: Column, d: Column) -> dict[str, Column]:
+    """Figures of a numeric column; *d* is its finite double form."""
+    parts = {"non_null": F.count(value), "finite": F.count(d), "whole": F.bool_and(d == F.floor(d))}
+    return parts | dict(zip(("min", "max", "mean", "std", "skewness"), _moments(d)))
+
+
+def _fixed_width_stats(df: DataFrame) -> dict[int, dict]:
+    """Counts, extremes, moments and quartiles of the columns that are no texts."""
+    kind, names = kinds(df), df.columns
+    numeric = [i for i, n in enumerate(names) if kind[n] in ("integer", "fraction")]
+    data = df.select("*", *[finite(column(names[i])).alias(f"__n{i}") for i in numeric])
+    parts: dict[int, dict[str, Column]] = {}
+    for i, n in enumerate(names):
+        if i in numeric:
+            parts[i] = _number_parts(present(df, n), F.col(f"__n{i}"))
+        elif kind[n] == "datetime":
+            parts[i] = {"non_null": F.count(column(n)), "min_date": iso(F.min(column(n))), "max_date": iso(F.max(column(n)))}
+    quartiles, seen = exact_quantiles(
+        data, {str(i): F.col(f"__n{i}") for i in numeric}, [0.25, 0.5, 0.75],
+        [F.count(F.lit(1)), *[F.struct(*p.values()) for p in parts.values()]],
+    )
+    rows, *figures = seen
+    found: dict[int, dict] = {i: {"rows": rows} for i in range(len(names))}
+    for (i, p), values in zip(parts.items(), figures):
+        found[i] |= dict(zip(p, values))
+    for i in numeric:
+        found[i] |= dict(zip(("q1", "median", "q3"), quartiles[str(i)]))
+    return found
 
 
 def _shown(value: str, kind: str) -> str:
     return {"0": "false", "1": "true"}[value] if kind == "boolean" and value in "01" else value
 
 
-def _whole_texts(df: DataFrame, texts: list[int], top: list[tuple]) -> list[tuple]:
+def _whole_texts(df: DataFrame, texts: set[int], top: list[tuple]) -> list[tuple]:
     """Put the texts back where a top value is the digest of a long one."""
     digests = {(p, v) for p, _, v, _ in top if p in texts and v.startswith("#") and len(v) == 65}
     if not digests:
@@ -267,59 +283,70 @@ def _whole_texts(df: DataFrame, texts: list[int], top: list[tuple]) -> list[tupl
     return [(p, r, found.get((p, v), v), n) for p, r, v, n in top]
 
 
+def _sketched_distinct(key: Column, value: Column | None = None) -> Column:
+    """Estimated number of distinct keys of the rows where *value* is not null."""
+    value = key if value is None else value
+    sketch = F.hll_sketch_agg(F.when(value.isNotNull(), key), F.lit(SKETCH_LG_K))
+    return F.coalesce(F.hll_sketch_estimate(sketch), F.lit(0))
+
+
 def _approximate_stats(df: DataFrame, formats) -> tuple[list[dict], list[tuple]]:
-    """The same figures by sketches in one scan, with nothing to shuffle."""
-    kind = kinds(df)
-    names = df.columns
-    measures = [F.count(F.lit(1))]
-    # text keys are named first: the top-value sketch is only known to SQL
-    data = df.select("*", *[text_key(as_text(df, n)).alias(f"__k{i}") for i, n in enumerate(names)])
+    """The same figures with sketches: two scans, and nothing to shuffle.
+
+    Plain aggregates and sketches are kept apart, since one sketch would take
+    the whole aggregate out of generated code.
+    """
+    kind, names = kinds(df), df.columns
+    stats = _blank_stats(df)
+    texts = {i for i, n in enumerate(names) if kind[n] in ("text", "nested")}
+    data = df.select(
+        "*",
+        *[text_key(as_text(df, names[i])).alias(f"__k{i}") for i in texts],
+        *[column(n).alias(f"__k{i}") for i, n in enumerate(names) if i not in texts],
+        *[finite(column(n)).alias(f"__n{i}") for i, n in enumerate(names) if kind[n] in ("integer", "fraction")],
+    )
+    plain: list[dict[str, Column]] = []
+    sketches: list[dict[str, Column]] = []
     for i, n in enumerate(names):
-        c = present(df, n)
         value = column(n)
-        parts = {"non_null": F.count(c)}
-        if kind[n] in ("text", "nested"):
-            parts["distinct"] = F.approx_count_distinct(f"__k{i}", SKETCH_ERROR)
-        else:
-            parts["distinct"] = F.approx_count_distinct(c, SKETCH_ERROR)
+        parts: dict[str, Column] = {"non_null": F.count(present(df, n))}
+        sketch = {"distinct": _sketched_distinct(F.xxhash64(f"__k{i}"), present(df, n)),
+                  "top": F.expr(f"approx_top_k(`__k{i}`, {TOP_VALUES}, 1000)")}
         if kind[n] in ("integer", "fraction"):
-            d = finite(value)
-            parts |= dict(zip(("min", "max", "mean", "std", "skewness"), _moments(d)))
-            parts |= {"finite": F.count(d), "whole": F.bool_and(d == F.floor(d)),
-                      "distinct_finite": F.approx_count_distinct(d, SKETCH_ERROR),
-                      "quartiles": F.percentile_approx(d, [0.25, 0.5, 0.75])}
+            d = F.col(f"__n{i}")
+            parts = _number_parts(present(df, n), d)
+            sketch |= {"distinct_finite": _sketched_distinct(F.xxhash64(d), d),
+                       "quartiles": F.percentile_approx(d, [0.25, 0.5, 0.75])}
         if kind[n] == "datetime":
             parts |= {"min_date": iso(F.min(value)), "max_date": iso(F.max(value))}
         if kind[n] == "text":
             ts = parse_timestamp(value, formats)
-            word = F.expr("shiftleft(1, CAST(array_position(array(%s), lower(`__k%d`)) AS INT))"
-                          % (", ".join(f"'{w}'" for w in BOOLEAN_WORDS), i))
             parts |= {
                 "number_share": F.avg(looks_number(value).cast("int")),
                 "date_share": F.avg(F.when(value.isNotNull(), ts.isNotNull().cast("int"))),
                 "mean_length": F.avg(F.length(value)),
                 "padded": F.coalesce(F.bool_or(value != strip(value)), F.lit(False)),
-                "boolean_words": F.coalesce(
-                    F.bool_and(F.lower(f"__k{i}").isin(*BOOLEAN_WORDS))
-                    & (F.bit_count(F.bit_or(word)) <= 2), F.lit(False)),
+                "boolean_words": F.coalesce(_boolean_words(F.lower(value)), F.lit(False)),
                 "min_date": iso(F.min(ts)), "max_date": iso(F.max(ts)),
             }
-        parts["top"] = F.expr(f"approx_top_k(`__k{i}`, {TOP_VALUES}, 1000)")
-        measures.append(F.struct(*[m.alias(k) for k, m in parts.items()]))
-    seen = data.agg(*[m.alias(f"m{i}") for i, m in enumerate(measures)]).first()
-    rows = seen[0]
-    stats, top = [], []
-    for i, n in enumerate(names):
-        s = seen[i + 1].asDict()
-        for rank, item in enumerate(s.pop("top"), 1):
-            if item[0] is not None:
-                top.append((i, rank, item[0], item[1]))
+        plain.append(parts)
+        sketches.append(sketch)
+
+    def figures(measures: list[dict[str, Column]]):
+        return lambda: data.agg(
+            F.count(F.lit(1)), *[F.struct(*[m.alias(k) for k, m in p.items()]) for p in measures]
+        ).first()
+
+    (rows, *exact), (_, *rough) = together(figures(plain), figures(sketches))
+    top = []
+    for i, s in enumerate(stats):
+        s |= {"rows": rows, **exact[i].asDict(), **rough[i].asDict()}
+        for rank, (value, n) in enumerate(s.pop("top") or [], 1):
+            if value is not None:
+                top.append((i, rank, str(value).lower() if kind[names[i]] == "boolean" else str(value), n))
         if "quartiles" in s:
             s["q1"], s["median"], s["q3"] = s.pop("quartiles") or (None, None, None)
         s["distinct"] = min(s["distinct"], s["non_null"])
-        stats.append({"pos": i, "column": n, "dtype": df.schema[n].dataType.simpleString(),
-                      "kind": kind[n], "rows": rows, **s})
-    texts = [i for i, n in enumerate(names) if kind[n] in ("text", "nested")]
     return stats, _whole_texts(df, texts, top)
 
 
@@ -464,7 +491,7 @@ def profile(
 
     *order_by* names the columns that order the rows, for the first and last
     sample rows. *approx* trades exact distinct counts, quantiles and top values
-    for a single scan; duplicates and date frequencies are then left out (null).
+    for two scans without a shuffle; duplicates and date frequencies are then left out (null).
     """
     spark: SparkSession = df.sparkSession
     if approx:

@@ -1,11 +1,11 @@
 """Exact quantiles of any number of rows without sorting them.
 
-``percentile`` keeps every distinct value of a column in one task. Here a
-mergeable sketch first brackets each wanted rank, then a scan counts the rows
-around the bracket and the few values inside it are picked out. Every further
-scan makes the bracket hundreds of times narrower, so two scans do for about a
-hundred million rows and four for a million million. Each scan is one
-aggregate with one row as its result; no rows are shuffled.
+``percentile`` keeps every distinct value of a column in one task, so it is
+used only where the rows, counted first, are few. Beyond that a mergeable
+sketch brackets each wanted rank, a scan counts the rows around the brackets,
+and the few values inside are picked out. A bracket that still holds too many
+values is narrowed by a sketch of its inside, hundreds of times per round.
+Every scan ends in one aggregate of a few rows; no rows are shuffled.
 """
 
 from __future__ import annotations
@@ -16,65 +16,137 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from tablecare.operators.jobs import together
+
 ACCURACY = 10_000        # rank error of the sketch is rows / ACCURACY
 GRID = 1_000             # points of the sketch read inside a bracket
-VALUES_HELD = 2_000_000  # values one scan may pick from, over all ranks
+VALUES_HELD = 2_000_000  # values one aggregate may hold, over all columns
 
 
-@dataclass
-class _Rank:
-    """Search for the value with 0-based rank *k* in one column."""
+@dataclass(frozen=True)
+class _Bracket:
+    """Rows of a column strictly between two values; None for an open end."""
 
     column: int
-    k: int
-    low: float | None      # None: no bound known yet
+    low: float | None
     high: float | None
-    inside: float          # upper bound of the rows strictly inside the bracket
-    value: float | None = None
-
-
-def _literal_array(values) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
-
-
-def _measures(rank: _Rank, v: Column, may_hold: int) -> list[Column]:
-    """Counts around the bracket, and the pick or a finer grid inside it."""
-    inside = F.lit(True)
-    below = at_or_below = F.lit(0).cast("bigint")
-    if rank.low is not None:
-        inside = inside & (v > rank.low)
-        below, at_or_below = F.count_if(v < rank.low), F.count_if(v <= rank.low)
-    below_high = at_or_below_high = F.count(v)
-    if rank.high is not None:
-        inside = inside & (v < rank.high)
-        below_high, at_or_below_high = F.count_if(v < rank.high), F.count_if(v <= rank.high)
-    chosen = F.when(inside, v)
-    if rank.inside <= may_hold:
-        pick = F.get(F.sort_array(F.collect_list(chosen)), (F.lit(rank.k) - at_or_below).cast("int"))
-        found = F.array(pick)
-    else:
-        found = F.percentile_approx(chosen, [i / GRID for i in range(GRID + 1)], ACCURACY)
-    return [below, at_or_below, below_high, at_or_below_high, found]
-
-
-def _narrow(rank: _Rank, seen: Row, may_hold: int) -> None:
-    below, at_or_below, below_high, at_or_below_high, found = seen
-    if rank.k < below:                       # the sketch missed: search further down
-        rank.low, rank.high, rank.inside = None, rank.low, math.inf
-    elif rank.k < at_or_below:
-        rank.value = rank.low
-    elif rank.k >= at_or_below_high:         # the sketch missed: search further up
-        rank.low, rank.high, rank.inside = rank.high, None, math.inf
-    elif rank.k >= below_high:
-        rank.value = rank.high
-    elif rank.inside <= may_hold:
-        rank.value = found[0]
-    else:
-        rows = below_high - at_or_below
-        share = (rank.k - at_or_below) / rows
-        rank.low = found[max(0, math.floor(share * GRID) - 1)]
-        rank.high = found[min(GRID, math.ceil(share * GRID) + 1)]
-        rank.inside = rows * (4 / GRID + 4 / ACCURACY) + 1
+
+    def holds(self) -> Column:
+        v, test = F.col(f"q{self.column}"), F.col(f"q{self.column}").isNotNull()
+        if self.low is not None:
+            test = test & (v > self.low)
+        return test & (v < self.high) if self.high is not None else test
+
+
+def _counts(values: DataFrame, brackets: list[_Bracket]) -> dict[_Bracket, tuple[int, int, int, int]]:
+    """Rows below low, up to low, below high and up to high of each bracket.
+
+    Each value is put into the slot between, or on, the bounds of its column;
+    the narrow (column, slot) rows are counted with map-side combine.
+    """
+    bounds = {
+        c: sorted({x for b in brackets if b.column == c for x in (b.low, b.high) if x is not None})
+        for c in {b.column for b in brackets}
+    }
+
+    def slot(c: int) -> Column:
+        v = F.col(f"q{c}")
+        chain = F.when(v.isNull(), F.lit(None).cast("int"))
+        for i, bound in enumerate(bounds[c]):
+            chain = chain.when(v < bound, F.lit(2 * i)).when(v == bound, F.lit(2 * i + 1))
+        return chain.otherwise(F.lit(2 * len(bounds[c])))
+
+    slots = values.select(*[slot(c).alias(str(c)) for c in bounds])
+    seen = slots.unpivot([], [str(c) for c in bounds], "column", "slot").groupBy("column", "slot").count().collect()
+    per_column = {c: [0] * (2 * len(x) + 1) for c, x in bounds.items()}
+    for r in seen:
+        if r["slot"] is not None:
+            per_column[int(r["column"])][r["slot"]] = r["count"]
+
+    def rows(c: int, bound: float | None, inclusive: bool, none: int) -> int:
+        if bound is None:
+            return none
+        return sum(per_column[c][: 2 * bounds[c].index(bound) + 1 + inclusive])
+
+    return {
+        b: (
+            rows(b.column, b.low, False, 0), rows(b.column, b.low, True, 0),
+            rows(b.column, b.high, False, sum(per_column[b.column])),
+            rows(b.column, b.high, True, sum(per_column[b.column])),
+        )
+        for b in brackets
+    }
+
+
+def _inside(values: DataFrame, brackets: list[_Bracket], measures: dict[int, Column]) -> dict[int, list]:
+    """One measure over the values inside each bracket, by bracket number."""
+    found = F.array_compact(F.array(*[
+        F.when(b.holds(), F.struct(F.lit(i).alias("bracket"), F.col(f"q{b.column}").alias("v")))
+        for i, b in enumerate(brackets)
+    ]))
+    picked = values.select(F.inline(found)).groupBy("bracket")
+    wanted = F.coalesce(*[F.when(F.col("bracket") == i, m) for i, m in measures.items()])
+    return {r["bracket"]: r["found"] for r in picked.agg(wanted.alias("found")).collect()}
+
+
+def _sorted_inside(values: DataFrame, brackets: list[_Bracket]) -> dict[_Bracket, list]:
+    if not brackets:
+        return {}
+    lists = _inside(values, brackets, {i: F.sort_array(F.collect_list("v")) for i in range(len(brackets))})
+    return {b: lists.get(i, []) for i, b in enumerate(brackets)}
+
+
+def _search(
+    values: DataFrame, ranks: dict[tuple[int, int], _Bracket], may_hold: int, expected: float
+) -> dict[tuple[int, int], float]:
+    """The value of each (column, 0-based rank), from a bracket it is likely to be in.
+
+    The sketch guarantees that at most *expected* rows are inside a bracket. If
+    that is few enough, they are picked while the rows around are counted.
+    """
+    found: dict[tuple[int, int], float] = {}
+    while ranks:
+        brackets = list(dict.fromkeys(ranks.values()))
+        if expected <= may_hold:
+            around, lists = together(
+                lambda: _counts(values, brackets), lambda: _sorted_inside(values, brackets)
+            )
+        else:
+            around, lists = _counts(values, brackets), {}
+        expected = math.inf
+        inside: dict[_Bracket, list[tuple[int, int]]] = {}
+        waiting: dict[tuple[int, int], _Bracket] = {}
+        for (c, k), b in ranks.items():
+            below, to_low, below_high, to_high = around[b]
+            if k < below:                      # the sketch missed: look further down
+                waiting[c, k] = _Bracket(c, None, b.low)
+            elif k < to_low:
+                found[c, k] = b.low
+            elif k >= to_high:                 # the sketch missed: look further up
+                waiting[c, k] = _Bracket(c, b.high, None)
+            elif k >= below_high:
+                found[c, k] = b.high
+            else:
+                inside.setdefault(b, []).append((c, k))
+        small = [b for b in inside if around[b][2] - around[b][1] <= may_hold]
+        large = [b for b in inside if b not in small]
+        lists |= _sorted_inside(values, [b for b in small if b not in lists])
+        for b in small:
+            for c, k in inside[b]:
+                found[c, k] = lists[b][k - around[b][1]]
+        if large:
+            grid = F.percentile_approx("v", [i / GRID for i in range(GRID + 1)], ACCURACY)
+            grids = _inside(values, large, {i: grid for i in range(len(large))})
+            for i, b in enumerate(large):
+                _, to_low, below_high, _ = around[b]
+                for c, k in inside[b]:
+                    share = (k - to_low) / (below_high - to_low)
+                    waiting[c, k] = _Bracket(
+                        c, grids[i][max(0, math.floor(share * GRID) - 1)],
+                        grids[i][min(GRID, math.ceil(share * GRID) + 1)],
+                    )
+        ranks = waiting
+    return found
 
 
 def exact_quantiles(
@@ -86,60 +158,49 @@ def exact_quantiles(
 ) -> tuple[dict[str, list[float | None]], Row]:
     """Linearly interpolated quantiles of each double column, nulls left out.
 
-    *extra* aggregates, which may use the columns by name, ride along on the
-    first scan; their row is returned as the second part.
+    *extra* aggregates ride along on the first scan, which counts the rows;
+    their row is returned as the second part.
     """
     names = list(columns)
-    data = df.select("*", *[columns[n].alias(f"__q{i}") for i, n in enumerate(names)])
     margin = 2 / ACCURACY
     around = [min(max(p + side * margin, 0.0), 1.0) for p in probs for side in (-1, 1)]
-    first = data.agg(
-        *[
-            F.struct(
-                F.count(f"__q{i}").alias("rows"),
-                F.percentile_approx(f"__q{i}", around, ACCURACY).alias("around"),
-            ).alias(f"__q{i}")
-            for i in range(len(names))
-        ],
-        *[e.alias(f"__x{i}") for i, e in enumerate(extra or [])],
-    ).first()
-    extras = Row(*[first[f"__x{i}"] for i in range(len(extra or []))])
-
-    may_hold = max(1_000, values_held // max(1, 2 * len(probs) * len(names)))
-    ranks: dict[tuple[int, int], _Rank] = {}
-    for i in range(len(names)):
-        rows, bracket = first[f"__q{i}"]
-        for j, p in enumerate(probs):
-            if rows == 0:
-                continue
-            place = (rows - 1) * p
-            for k in {math.floor(place), math.ceil(place)}:
-                if (i, k) in ranks:
-                    continue
-                if rows <= may_hold:
-                    ranks[i, k] = _Rank(i, k, None, None, rows)
-                else:
-                    ranks[i, k] = _Rank(
-                        i, k, bracket[2 * j], bracket[2 * j + 1], 8 * rows / ACCURACY + 1
-                    )
+    values = df.select(*[columns[n].alias(f"q{i}") for i, n in enumerate(names)])
+
+    def count() -> Row:
+        return df.agg(
+            *[F.count(columns[n]).alias(f"q{i}") for i, n in enumerate(names)],
+            *[e.alias(f"x{i}") for i, e in enumerate(extra or [])],
+        ).first()
 
-    values = data.select(*[f"__q{i}" for i in range(len(names))])
-    while open_ranks := [r for r in ranks.values() if r.value is None]:
-        measured = values.agg(
-            *[
-                F.struct(*_measures(r, F.col(f"__q{r.column}"), may_hold)).alias(f"r{j}")
-                for j, r in enumerate(open_ranks)
-            ]
+    def sketch() -> Row:
+        return values.agg(
+            *[F.percentile_approx(f"q{i}", around, ACCURACY).alias(f"q{i}") for i in range(len(names))]
         ).first()
-        for j, r in enumerate(open_ranks):
-            _narrow(r, measured[f"r{j}"], may_hold)
-
-    def quantile(i: int, p: float) -> float | None:
-        rows = first[f"__q{i}"][0]
-        if rows == 0:
-            return None
-        place = (rows - 1) * p
-        low, high = ranks[i, math.floor(place)].value, ranks[i, math.ceil(place)].value
-        return low + (high - low) * (place - math.floor(place))
-
-    return {n: [quantile(i, p) for p in probs] for i, n in enumerate(names)}, extras
+
+    first, seen = together(count, sketch) if names else (count(), None)
+    rows = [first[f"q{i}"] for i in range(len(names))]
+    extras = Row(*[first[f"x{i}"] for i in range(len(extra or []))])
+    result: dict[str, list[float | None]] = {n: [None] * len(probs) for n in names}
+    may_hold = max(1_000, values_held // max(1, len(names) * len(probs)))
+    filled = [i for i, n in enumerate(rows) if n]
+    few = [i for i in filled if rows[i] <= may_hold]
+    if few:
+        exact = values.agg(*[F.percentile(f"q{i}", probs).alias(f"q{i}") for i in few]).first()
+        for i in few:
+            result[names[i]] = list(exact[f"q{i}"])
+
+    ranks: dict[tuple[int, int], _Bracket] = {}
+    many = [i for i in filled if i not in few]
+    for i in many:
+        for j, p in enumerate(probs):
+            place = (rows[i] - 1) * p
+            for k in {math.floor(place), math.ceil(place)}:
+                ranks[i, k] = _Bracket(i, seen[f"q{i}"][2 * j], seen[f"q{i}"][2 * j + 1])
+    expected = max((8 * rows[i] / ACCURACY for i in many), default=0)
+    value = _search(values, ranks, may_hold, expected)
+    for i in many:
+        for j, p in enumerate(probs):
+            place = (rows[i] - 1) * p
+            low, high = value[i, math.floor(place)], value[i, math.ceil(place)]
+            result[names[i]][j] = low + (high - low) * (place - math.floor(place))
+    return result, extras
