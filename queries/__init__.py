@@ -1,5 +1,5 @@
 """Registered queries: each with the Spark callable and, where SQL can say it, its DuckDB twin."""
 
-from queries import profiling
+from queries import catalogs, checks, cleaning, landing, profiling
 
-ALL = {**profiling.QUERIES}
+ALL = {**profiling.QUERIES, **cleaning.QUERIES, **checks.QUERIES, **catalogs.QUERIES, **landing.QUERIES}

@@ -61,7 +61,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def view(spark: SparkSession, sf_dir: str, template: str, source: str) -> DataFrame:
     """The view over one given table, which the template names after FROM."""
-    sql = _words(template, _SPARK).replace('"', "`").replace(f"FROM {source}", "FROM {source}")
+    sql = _words(template, _SPARK).replace('"table"', "`table`").replace('"column"', "`column`")
+    sql = sql.replace("{", "{{").replace("}", "}}").replace(f"FROM {source}", "FROM {source}")
     return spark.sql(sql, source=table(spark, sf_dir, source))
 
 

@@ -124,8 +124,9 @@ def usage_cost(calls: DataFrame, rates: DataFrame, by: Sequence[str] = ()) -> Da
         F.count("*").alias("calls"), F.sum("input_tokens").alias("input_tokens"),
         F.sum("output_tokens").alias("output_tokens"),
     )
-    rate = {k: F.coalesce(F.col(k), F.lit(0.0)) for k in ("input_rate", "output_rate")}
-    cost = (F.col("input_tokens") * rate["input_rate"] + F.col("output_tokens") * rate["output_rate"]) / 1_000_000
+    # money in decimals: exact, and the same in whatever order it is added up
+    rate = {k: F.coalesce(F.col(k).cast("decimal(12,6)"), F.lit(0)) for k in ("input_rate", "output_rate")}
+    cost = F.col("input_tokens") * rate["input_rate"] + F.col("output_tokens") * rate["output_rate"]
     return (
         per_model.join(small_side(rates), "model", "left")
         .groupBy(*by)
@@ -134,6 +135,6 @@ def usage_cost(calls: DataFrame, rates: DataFrame, by: Sequence[str] = ()) -> Da
             F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("input_tokens"),
             F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("output_tokens"),
             F.coalesce(F.sum(F.col("input_tokens") + F.col("output_tokens")), F.lit(0)).alias("total_tokens"),
-            F.round(F.coalesce(F.sum(cost), F.lit(0.0)), 6).alias("estimated_cost_usd"),
+            F.round(F.coalesce(F.sum(cost) / 1_000_000, F.lit(0)), 6).cast("double").alias("estimated_cost_usd"),
         )
     )

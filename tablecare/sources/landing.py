@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablecare.operators.schema import column
 from tablecare.sources.readers import read_csv
 
 # Size limit, formats, and the first bytes that tell a format.
@@ -84,12 +85,29 @@ def encodings(spark: SparkSession, paths: list[str]) -> DataFrame:
     )
 
 
+# What the bytes 0x80 to 0x9F mean in windows-1252, read as ISO-8859-1 control characters.
+_C1 = {chr(b): bytes([b]).decode("cp1252", "ignore") for b in range(0x80, 0xA0)}
+_C1 = {control: sign for control, sign in _C1.items() if sign}
+
+
+def _windows_signs(df: DataFrame) -> DataFrame:
+    """Texts read as ISO-8859-1 that were written in windows-1252."""
+    return df.select(*[
+        F.translate(column(c), "".join(_C1), "".join(_C1.values())).alias(c) for c in df.columns
+    ])
+
+
 def read_csv_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """CSV files of mixed encodings as one table, matched by column name."""
     groups: dict[str, list[str]] = {}
     for r in encodings(spark, paths).collect():
         groups.setdefault(r["encoding"], []).append(r["path"])
-    parts = [read_csv(spark, files, encoding=e) for e, files in sorted(groups.items())]
+    parts = []
+    for encoding, files in sorted(groups.items()):
+        if encoding == "windows-1252":
+            parts.append(_windows_signs(read_csv(spark, files, encoding="ISO-8859-1")))
+        else:
+            parts.append(read_csv(spark, files, encoding=encoding))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 

@@ -77,13 +77,24 @@ def read_csv_checked(
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, CORRUPT]])
     rows = (
         _csv(spark, encoding, multi_line, sep).option("enforceSchema", True)
-        .option("columnNameOfCorruptRecord", CORRUPT).schema(schema).csv(path)
+        .option("columnPruning", False).option("columnNameOfCorruptRecord", CORRUPT).schema(schema).csv(path)
     )
-    good = rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    rejects = rows.where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("line"))
+    good, rejects = _split(rows)
     return null_tokens(good, tokens), rejects
 
 
+def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Good rows, and the lines that did not parse.
+
+    Spark does not read the corrupt-record column alone, so the test for it
+    looks at another column as well.
+    """
+    with_others = F.length(F.coalesce(column(rows.columns[0]).cast("string"), F.lit(""))) >= 0
+    bad = F.col(CORRUPT).isNotNull() & with_others
+    good = rows.where(F.col(CORRUPT).isNull() & with_others).drop(CORRUPT)
+    return good, rows.where(bad).select(F.col(CORRUPT).alias("line"))
+
+
 def read_json(
     spark: SparkSession, path: str | list[str], *, lines: bool = False, schema: str | T.StructType | None = None
 ) -> tuple[DataFrame, DataFrame]:
@@ -103,9 +114,7 @@ def read_json(
         raise SourceError(f"cannot read JSON {path}: no array of objects")
     full = T.StructType([*fields, T.StructField(CORRUPT, T.StringType())])
     rows = reader.option("columnNameOfCorruptRecord", CORRUPT).schema(full).json(path)
-    good = rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    rejects = rows.where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("line"))
-    return good, rejects
+    return _split(rows)
 
 
 def read_json_columns(spark: SparkSession, path: str | list[str], columns: Sequence[str]) -> DataFrame:

@@ -14,7 +14,10 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     Nested columns are written as JSON, which CSV has no form for.
     """
     flat = [F.to_json(column(n)).alias(n) if k == "nested" else column(n) for n, k in kinds(df).items()]
-    df.select(*flat).write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    (
+        df.select(*flat).write.mode(mode).option("header", True).option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    )
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
