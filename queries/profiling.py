@@ -9,7 +9,7 @@ from queries.tables import WITH_DIRTY, dirty_orders, table
 from tablecare import profile
 from tablecare.operators.frequency import infer_frequency
 from tablecare.operators.histogram import column_value_counts
-from tablecare.operators.profile import duplicate_count, null_report
+from tablecare.operators.profile import distinct_counts, duplicate_count, null_report, numeric_stats
 from tablecare.operators.samples import sample_rows
 
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
@@ -60,8 +60,7 @@ def numeric_stats_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def numeric_stats_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").select(*LINE_NUMBERS)
-    return _rounded(profile(lines).numeric)
+    return _rounded(numeric_stats(table(spark, sf_dir, "lineitem"), LINE_NUMBERS))
 
 
 def null_report_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,8 +82,8 @@ def profile_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def distinct_counts_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = profile(table(spark, sf_dir, "lineitem")).stats
-    return stats.select("column", "distinct", F.round("cardinality_ratio", 8).alias("cardinality_ratio"))
+    counts = distinct_counts(table(spark, sf_dir, "lineitem"))
+    return counts.select("column", "distinct", F.round("cardinality_ratio", 8).alias("cardinality_ratio"))
 
 
 def value_histogram_orders(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -181,6 +181,7 @@ class Fill(Op):
     cols: Sequence[str] = ()
     how: str = "median"          # median, mean, mode or value
     value: Any = None
+    keep: bool = field(default=False, kw_only=True)  # see exact_quantiles
 
     def fills(self, df: DataFrame) -> dict[str, Any]:
         numbers = {c: finite(column(c)) for c in self.cols}
@@ -192,7 +193,7 @@ class Fill(Op):
             row = df.agg(*[F.avg(v).alias(str(i)) for i, v in enumerate(numbers.values())]).first()
             return dict(zip(self.cols, row))
         if self.how == "median":
-            return {c: q[0] for c, q in exact_quantiles(df, numbers, [0.5])[0].items()}
+            return {c: q[0] for c, q in exact_quantiles(df, numbers, [0.5], keep=self.keep)[0].items()}
         raise ValueError(f"unknown fill {self.how!r}")
 
     def apply(self, df: DataFrame) -> DataFrame:
@@ -263,9 +264,11 @@ class Clip(Op):
     row_wise: ClassVar[bool] = False
     cols: Sequence[str] = ()
     k: float = 1.5
+    keep: bool = field(default=False, kw_only=True)  # see exact_quantiles
 
     def apply(self, df: DataFrame) -> DataFrame:
-        quartiles, _ = exact_quantiles(df, {c: finite(column(c)) for c in self.cols}, [0.25, 0.75])
+        values = {c: finite(column(c)) for c in self.cols}
+        quartiles, _ = exact_quantiles(df, values, [0.25, 0.75], keep=self.keep)
         new = {}
         for c, (q1, q3) in quartiles.items():
             if q1 is None:

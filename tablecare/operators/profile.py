@@ -9,12 +9,13 @@ hold one row per column (and five top values each), whatever the table's size:
 * one count of equal rows.
 
 They do not depend on each other and run at the same time. With ``approx=True``
-two scans, one of them with sketches, replace all of them.
+each column is read twice, once for plain aggregates and once for sketches.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ from tablecare.functions.dates import DEFAULT_FORMATS, iso, parse_timestamp
 from tablecare.functions.numbers import finite, looks_number
 from tablecare.functions.text import strip
 from tablecare.operators.frequency import infer_frequency
-from tablecare.operators.histogram import text_counts, text_key, top_values, value_counts
+from tablecare.operators.histogram import tall, text_counts, text_key, top_values, value_counts
 from tablecare.operators.jobs import together
 from tablecare.operators.quantiles import exact_quantiles
 from tablecare.operators.samples import sample_rows
@@ -44,6 +45,7 @@ NUMERIC_FLAG_SHARE = 0.80
 MIXED_FLAG_SHARE = 0.10
 TEXT_LENGTH = 50
 TOP_VALUES = 5
+SKETCHED_TOGETHER = 4    # columns whose sketches share a scan
 SKETCH_LG_K = 14         # sketch size: distinct counts with approx=True are off by about 1 %
 BOOLEAN_WORDS = ("true", "false", "yes", "no", "y", "n", "t", "f")
 ID_NAME = r"(?i)(^id$|_id$|^id_|uuid|_key$|^key$)"
@@ -77,8 +79,49 @@ def corrected_skewness(c: Column) -> Column:
     )
 
 
-def _moments(c: Column) -> list[Column]:
-    return [F.min(c), F.max(c), F.avg(c), F.stddev_samp(c), corrected_skewness(c)]
+def number_figures(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Counts, extremes and moments, one row per ``pos`` of some double columns.
+
+    The columns are stacked into narrow rows first: the generated code stays
+    small however many columns there are, and so keeps being compiled.
+    """
+    d = F.col("finite_value")
+    return (
+        tall(df, columns)
+        .select("pos", "value", finite(F.col("value")).alias("finite_value"))
+        .groupBy("pos")
+        .agg(
+            F.count("value").alias("non_null"), F.count(d).alias("finite"), F.bool_and(d == F.floor(d)).alias("whole"),
+            F.min(d).alias("min"), F.max(d).alias("max"), F.avg(d).alias("mean"),
+            F.stddev_samp(d).alias("std"), corrected_skewness(d).alias("skewness"),
+        )
+    )
+
+
+def moment_figures(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Number of values and ISO extremes, one row per ``pos`` of some date columns."""
+    micros = {pos: F.unix_micros(c.cast("timestamp")) for pos, c in columns.items()}
+    return tall(df, micros).groupBy("pos").agg(
+        F.count("value").alias("non_null"),
+        iso(F.timestamp_micros(F.min("value"))).alias("min_date"),
+        iso(F.timestamp_micros(F.max("value"))).alias("max_date"),
+    )
+
+
+def text_figures(df: DataFrame, columns: dict[str, Column], formats) -> DataFrame:
+    """Shares of numbers and dates, lengths and words, one row per ``pos``."""
+    value, ts = F.col("value"), F.col("ts")
+    return (
+        tall(df, columns).withColumn("ts", parse_timestamp(value, formats)).groupBy("pos").agg(
+            F.count("value").alias("non_null"),
+            F.avg(looks_number(value).cast("int")).alias("number_share"),
+            F.avg(ts.isNotNull().cast("int")).alias("date_share"),
+            F.avg(F.length(value)).alias("mean_length"),
+            F.bool_or(value != strip(value)).alias("padded"),
+            F.coalesce(_boolean_words(F.lower(value)), F.lit(False)).alias("boolean_words"),
+            iso(F.min(ts)).alias("min_date"), iso(F.max(ts)).alias("max_date"),
+        )
+    )
 
 
 def null_report(df: DataFrame) -> DataFrame:
@@ -165,16 +208,10 @@ def _exact_stats(df: DataFrame, formats) -> tuple[list[dict], list[tuple]]:
     def of(*wanted: str) -> list[int]:
         return [i for i, n in enumerate(names) if kind[n] in wanted]
 
-    def whole_number(i: int) -> Column:
-        c = column(names[i])
-        if kind[names[i]] == "datetime":
-            return F.unix_micros(c.cast("timestamp"))
-        return c.cast("int").cast("bigint") if kind[names[i]] == "boolean" else c.cast("bigint")
-
     counted = [F.count("*").alias("distinct"), F.sum("n").alias("non_null")]
     finite_counted = [*counted, F.count_if(finite(F.col("value")).isNotNull()).alias("distinct_finite")]
     histograms = [
-        ({i: whole_number(i) for i in of("integer", "datetime", "boolean")}, value_counts, counted, []),
+        ({i: _whole_number(df, names[i]) for i in of("integer", "datetime", "boolean")}, value_counts, counted, []),
         ({i: present(df, names[i]).cast("double") for i in of("fraction") if i not in decimals},
          value_counts, finite_counted, []),
         ({i: as_text(df, names[i]) for i in sorted([*of("text", "nested"), *decimals])},
@@ -222,6 +259,49 @@ def _exact_stats(df: DataFrame, formats) -> tuple[list[dict], list[tuple]]:
     return stats, [(p, r, _shown(v, kind[names[p]]), n) for p, r, v, n in _whole_texts(df, texts, top)]
 
 
+def numeric_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """``(column, min, max, mean, median, std, q1, q3, skewness)`` of numeric columns."""
+    kind = kinds(df)
+    names = columns or [n for n in df.columns if kind[n] in ("integer", "fraction")]
+    found = _fixed_width_stats(df.select(*[column(n) for n in names]))
+    fields = ("min", "max", "mean", "median", "std", "q1", "q3", "skewness")
+    schema = T.StructType([T.StructField("column", T.StringType()), *[T.StructField(f, T.DoubleType()) for f in fields]])
+    rows = [(n, *[found[i].get(f) for f in fields]) for i, n in enumerate(names)]
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
+def distinct_counts(df: DataFrame) -> DataFrame:
+    """``(column, distinct, cardinality_ratio)``: distinct share of the filled values."""
+    kind = kinds(df)
+    families: dict[str, dict[str, Column]] = {"whole": {}, "fraction": {}, "text": {}}
+    for i, n in enumerate(df.columns):
+        if kind[n] in ("integer", "datetime", "boolean"):
+            families["whole"][str(i)] = _whole_number(df, n)
+        elif kind[n] == "fraction" and not isinstance(df.schema[n].dataType, T.DecimalType):
+            families["fraction"][str(i)] = present(df, n).cast("double")
+        else:
+            families["text"][str(i)] = text_key(as_text(df, n))
+    parts = [
+        value_counts(df, columns).groupBy("pos").agg(F.count("*").alias("distinct"), F.sum("n").alias("non_null"))
+        for columns in families.values() if columns
+    ]
+    counted = reduce(DataFrame.unionByName, parts)
+    name = F.element_at(F.array(*[F.lit(n) for n in df.columns]), F.col("pos").cast("int") + 1)
+    every = df.sparkSession.range(len(df.columns)).select(F.col("id").cast("string").alias("pos"))
+    return every.join(counted, "pos", "left").select(
+        name.alias("column"), F.coalesce("distinct", F.lit(0)).alias("distinct"),
+        F.coalesce(F.col("distinct") / F.col("non_null"), F.lit(0.0)).alias("cardinality_ratio"),
+    )
+
+
+def _whole_number(df: DataFrame, name: str) -> Column:
+    """Whole numbers, moments and booleans as a bigint that is equal for equal values."""
+    c, kind = column(name), kinds(df)[name]
+    if kind == "datetime":
+        return F.unix_micros(c.cast("timestamp"))
+    return c.cast("int").cast("bigint") if kind == "boolean" else c.cast("bigint")
+
+
 def _blank_stats(df: DataFrame) -> list[dict]:
     kind = kinds(df)
     return [
@@ -231,33 +311,32 @@ def _blank_stats(df: DataFrame) -> list[dict]:
     ]
 
 
-def _number_parts(value: Column, d: Column) -> dict[str, Column]:
-    """Figures of a numeric column; *d* is its finite double form."""
-    parts = {"non_null": F.count(value), "finite": F.count(d), "whole": F.bool_and(d == F.floor(d))}
-    return parts | dict(zip(("min", "max", "mean", "std", "skewness"), _moments(d)))
+def _by_pos(figures: DataFrame) -> dict[int, dict]:
+    """The figures of each column; one row per column comes to the driver."""
+    return {int(r["pos"]): {k: v for k, v in r.asDict().items() if k != "pos"} for r in figures.collect()}
+
+
+def _of_kind(df: DataFrame, *wanted: str) -> dict[str, Column]:
+    kind = kinds(df)
+    return {str(i): present(df, n) for i, n in enumerate(df.columns) if kind[n] in wanted}
 
 
 def _fixed_width_stats(df: DataFrame) -> dict[int, dict]:
     """Counts, extremes, moments and quartiles of the columns that are no texts."""
-    kind, names = kinds(df), df.columns
-    numeric = [i for i, n in enumerate(names) if kind[n] in ("integer", "fraction")]
-    data = df.select("*", *[finite(column(names[i])).alias(f"__n{i}") for i in numeric])
-    parts: dict[int, dict[str, Column]] = {}
-    for i, n in enumerate(names):
-        if i in numeric:
-            parts[i] = _number_parts(present(df, n), F.col(f"__n{i}"))
-        elif kind[n] == "datetime":
-            parts[i] = {"non_null": F.count(column(n)), "min_date": iso(F.min(column(n))), "max_date": iso(F.max(column(n)))}
-    quartiles, seen = exact_quantiles(
-        data, {str(i): F.col(f"__n{i}") for i in numeric}, [0.25, 0.5, 0.75],
-        [F.count(F.lit(1)), *[F.struct(*p.values()) for p in parts.values()]],
+    numbers = {pos: c.cast("double") for pos, c in _of_kind(df, "integer", "fraction").items()}
+    dates = _of_kind(df, "datetime")
+    rows, moments, extremes, (quartiles, _) = together(
+        df.count,
+        lambda: _by_pos(number_figures(df, numbers)) if numbers else {},
+        lambda: _by_pos(moment_figures(df, dates)) if dates else {},
+        lambda: exact_quantiles(df, {pos: finite(c) for pos, c in numbers.items()}, [0.25, 0.5, 0.75]),
     )
-    rows, *figures = seen
-    found: dict[int, dict] = {i: {"rows": rows} for i in range(len(names))}
-    for (i, p), values in zip(parts.items(), figures):
-        found[i] |= dict(zip(p, values))
-    for i in numeric:
-        found[i] |= dict(zip(("q1", "median", "q3"), quartiles[str(i)]))
+    found: dict[int, dict] = {i: {"rows": rows} for i in range(len(df.columns))}
+    for pos in numbers:
+        found[int(pos)] |= {"finite": 0, **dict(zip(("q1", "median", "q3"), quartiles[pos]))}
+    for figures in (moments, extremes):
+        for i, f in figures.items():
+            found[i] |= f
     return found
 
 
@@ -291,7 +370,7 @@ def _sketched_distinct(key: Column, value: Column | None = None) -> Column:
 
 
 def _approximate_stats(df: DataFrame, formats) -> tuple[list[dict], list[tuple]]:
-    """The same figures with sketches: two scans, and nothing to shuffle.
+    """The same figures with sketches: each column is read twice, and nothing shuffled.
 
     Plain aggregates and sketches are kept apart, since one sketch would take
     the whole aggregate out of generated code.
@@ -299,54 +378,50 @@ def _approximate_stats(df: DataFrame, formats) -> tuple[list[dict], list[tuple]]
     kind, names = kinds(df), df.columns
     stats = _blank_stats(df)
     texts = {i for i, n in enumerate(names) if kind[n] in ("text", "nested")}
-    data = df.select(
-        "*",
-        *[text_key(as_text(df, names[i])).alias(f"__k{i}") for i in texts],
-        *[column(n).alias(f"__k{i}") for i, n in enumerate(names) if i not in texts],
-        *[finite(column(n)).alias(f"__n{i}") for i, n in enumerate(names) if kind[n] in ("integer", "fraction")],
-    )
-    plain: list[dict[str, Column]] = []
+    data = df.select(*[
+        (text_key(as_text(df, n)) if i in texts else present(df, n)).alias(f"k{i}") for i, n in enumerate(names)
+    ])
     sketches: list[dict[str, Column]] = []
     for i, n in enumerate(names):
-        value = column(n)
-        parts: dict[str, Column] = {"non_null": F.count(present(df, n))}
-        sketch = {"distinct": _sketched_distinct(F.xxhash64(f"__k{i}"), present(df, n)),
-                  "top": F.expr(f"approx_top_k(`__k{i}`, {TOP_VALUES}, 1000)")}
+        value = F.col(f"k{i}")
+        sketch = {"filled": F.count(value), "distinct": _sketched_distinct(F.xxhash64(value), value),
+                  "top": F.expr(f"approx_top_k(k{i}, {TOP_VALUES}, 1000)")}
         if kind[n] in ("integer", "fraction"):
-            d = F.col(f"__n{i}")
-            parts = _number_parts(present(df, n), d)
-            sketch |= {"distinct_finite": _sketched_distinct(F.xxhash64(d), d),
-                       "quartiles": F.percentile_approx(d, [0.25, 0.5, 0.75])}
-        if kind[n] == "datetime":
-            parts |= {"min_date": iso(F.min(value)), "max_date": iso(F.max(value))}
-        if kind[n] == "text":
-            ts = parse_timestamp(value, formats)
-            parts |= {
-                "number_share": F.avg(looks_number(value).cast("int")),
-                "date_share": F.avg(F.when(value.isNotNull(), ts.isNotNull().cast("int"))),
-                "mean_length": F.avg(F.length(value)),
-                "padded": F.coalesce(F.bool_or(value != strip(value)), F.lit(False)),
-                "boolean_words": F.coalesce(_boolean_words(F.lower(value)), F.lit(False)),
-                "min_date": iso(F.min(ts)), "max_date": iso(F.max(ts)),
-            }
-        plain.append(parts)
+            sketch["quartiles"] = F.percentile_approx(finite(value), [0.25, 0.5, 0.75])
+        if kind[n] == "fraction":
+            sketch["distinct_finite"] = _sketched_distinct(F.xxhash64(value), finite(value))
         sketches.append(sketch)
 
-    def figures(measures: list[dict[str, Column]]):
-        return lambda: data.agg(
-            F.count(F.lit(1)), *[F.struct(*[m.alias(k) for k, m in p.items()]) for p in measures]
-        ).first()
+    def sketched(group: list[dict[str, Column]]):
+        return lambda: list(data.agg(*[F.struct(*[m.alias(k) for k, m in p.items()]) for p in group]).first())
 
-    (rows, *exact), (_, *rough) = together(figures(plain), figures(sketches))
+    numbers = {pos: c.cast("double") for pos, c in _of_kind(df, "integer", "fraction").items()}
+    dates, words = _of_kind(df, "datetime"), _of_kind(df, "text")
+    plain = [
+        (numbers, lambda: number_figures(df, numbers)), (dates, lambda: moment_figures(df, dates)),
+        (words, lambda: text_figures(df, words, formats)),
+    ]
+    # each group of columns is read by a scan of its own, which keeps aggregates small
+    groups = [sketches[i:i + SKETCHED_TOGETHER] for i in range(0, len(sketches), SKETCHED_TOGETHER)]
+    rows, *seen = together(
+        df.count, *[lambda f=f: _by_pos(f()) for columns, f in plain if columns], *[sketched(g) for g in groups]
+    )
+    exact = [f for f in seen if isinstance(f, dict)]
+    rough = [r for f in seen if isinstance(f, list) for r in f]
     top = []
     for i, s in enumerate(stats):
-        s |= {"rows": rows, **exact[i].asDict(), **rough[i].asDict()}
+        s |= {"rows": rows, **rough[i].asDict()}
+        s["non_null"] = s.pop("filled")
+        for figures in exact:
+            s |= figures.get(i, {})
         for rank, (value, n) in enumerate(s.pop("top") or [], 1):
             if value is not None:
                 top.append((i, rank, str(value).lower() if kind[names[i]] == "boolean" else str(value), n))
         if "quartiles" in s:
             s["q1"], s["median"], s["q3"] = s.pop("quartiles") or (None, None, None)
+            s.setdefault("finite", 0)
         s["distinct"] = min(s["distinct"], s["non_null"])
+        s.setdefault("distinct_finite", s["distinct"])
     return stats, _whole_texts(df, texts, top)
 
 
@@ -491,7 +566,7 @@ def profile(
 
     *order_by* names the columns that order the rows, for the first and last
     sample rows. *approx* trades exact distinct counts, quantiles and top values
-    for two scans without a shuffle; duplicates and date frequencies are then left out (null).
+    for two readings without a shuffle; duplicates and date frequencies are then left out (null).
     """
     spark: SparkSession = df.sparkSession
     if approx:

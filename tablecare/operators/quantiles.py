@@ -12,10 +12,13 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from tablecare.operators.histogram import tall
 from tablecare.operators.jobs import together
 
 ACCURACY = 10_000        # rank error of the sketch is rows / ACCURACY
@@ -31,8 +34,8 @@ class _Bracket:
     low: float | None
     high: float | None
 
-    def holds(self) -> Column:
-        v, test = F.col(f"q{self.column}"), F.col(f"q{self.column}").isNotNull()
+    def holds(self, v: Column) -> Column:
+        test = v.isNotNull()
         if self.low is not None:
             test = test & (v > self.low)
         return test & (v < self.high) if self.high is not None else test
@@ -79,12 +82,20 @@ def _counts(values: DataFrame, brackets: list[_Bracket]) -> dict[_Bracket, tuple
 
 
 def _inside(values: DataFrame, brackets: list[_Bracket], measures: dict[int, Column]) -> dict[int, list]:
-    """One measure over the values inside each bracket, by bracket number."""
-    found = F.array_compact(F.array(*[
-        F.when(b.holds(), F.struct(F.lit(i).alias("bracket"), F.col(f"q{b.column}").alias("v")))
-        for i, b in enumerate(brackets)
+    """One measure over the values inside each bracket, by bracket number.
+
+    The few values that are inside any bracket of their column are stacked, and
+    then handed to every bracket that holds them.
+    """
+    near = {}
+    for c in sorted({b.column for b in brackets}):
+        v = F.col(f"q{c}")
+        near[str(c)] = F.when(reduce(Column.__or__, [b.holds(v) for b in brackets if b.column == c]), v)
+    value = F.col("value")
+    holders = F.array_compact(F.array(*[
+        F.when((F.col("pos") == str(b.column)) & b.holds(value), F.lit(i)) for i, b in enumerate(brackets)
     ]))
-    picked = values.select(F.inline(found)).groupBy("bracket")
+    picked = tall(values, near).select(F.explode(holders).alias("bracket"), F.col("value").alias("v")).groupBy("bracket")
     wanted = F.coalesce(*[F.when(F.col("bracket") == i, m) for i, m in measures.items()])
     return {r["bracket"]: r["found"] for r in picked.agg(wanted.alias("found")).collect()}
 
@@ -155,12 +166,16 @@ def exact_quantiles(
     probs: list[float],
     extra: list[Column] | None = None,
     values_held: int = VALUES_HELD,
+    keep: bool = False,
 ) -> tuple[dict[str, list[float | None]], Row]:
     """Linearly interpolated quantiles of each double column, nulls left out.
 
     *extra* aggregates ride along on the first scan, which counts the rows;
-    their row is returned as the second part.
+    their row is returned as the second part. With *keep* the columns are held
+    on the executors' disks meanwhile, so that a shuffle before is done once.
     """
+    if keep:
+        return _kept_quantiles(df, columns, probs, values_held)
     names = list(columns)
     margin = 2 / ACCURACY
     around = [min(max(p + side * margin, 0.0), 1.0) for p in probs for side in (-1, 1)]
@@ -204,3 +219,14 @@ def exact_quantiles(
             low, high = value[i, math.floor(place)], value[i, math.ceil(place)]
             result[names[i]][j] = low + (high - low) * (place - math.floor(place))
     return result, extras
+
+
+def _kept_quantiles(df: DataFrame, columns: dict[str, Column], probs: list[float], values_held: int):
+    numbered = dict(enumerate(columns.values()))
+    kept = df.select(*[c.alias(f"c{i}") for i, c in numbered.items()]).persist(StorageLevel.DISK_ONLY)
+    try:
+        kept.count()
+        found, extras = exact_quantiles(kept, {str(i): F.col(f"c{i}") for i in numbered}, probs, None, values_held)
+    finally:
+        kept.unpersist()
+    return {name: found[str(i)] for i, name in enumerate(columns)}, extras

@@ -1,8 +1,8 @@
 """Compare a table before and after cleaning.
 
-Each side is read by one aggregate of one row (counts, nulls, means and
-deviations of all columns); equal rows are counted apart. The checks are
-expressions on these figures, turned into ``(name, status, message)`` rows.
+Each side gives one row per column (counts, means, deviations) by aggregates
+with map-side combine; equal rows are counted apart. The checks are expressions
+on these figures, turned into ``(name, status, message)`` rows.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablecare.operators.clean import Op
+from tablecare.operators.histogram import tall
 from tablecare.operators.profile import duplicate_count
 from tablecare.operators.schema import column, kinds, present
 from tablecare.plans.plan import Plan
@@ -26,26 +27,21 @@ SEVERITY = ("PASS", "WARNING", "FAIL")
 
 
 def side_figures(df: DataFrame, side: str) -> DataFrame:
-    """``(column, side, rows, filled, values, mean, std)``; a null column for the table."""
+    """``(side, column, rows, values, mean, std)``: the rows of the table, where
+    *column* is null, and the values of each numeric column."""
     kind = kinds(df)
-    none = F.lit(None)
-
-    def figures(c: str) -> Column:
-        is_number = kind[c] in ("integer", "fraction")
-        v = present(df, c).cast("double") if is_number else None
-        return F.struct(
-            F.lit(c).alias("column"), F.count(F.lit(1)).alias("rows"), F.count(present(df, c)).alias("filled"),
-            (F.count(v) if is_number else none.cast("bigint")).alias("values"),
-            (F.avg(v) if is_number else none.cast("double")).alias("mean"),
-            (F.stddev_samp(v) if is_number else none.cast("double")).alias("std"),
-        )
-
-    table = F.struct(
-        none.cast("string").alias("column"), F.count(F.lit(1)).alias("rows"), none.cast("bigint").alias("filled"),
-        none.cast("bigint").alias("values"), none.cast("double").alias("mean"), none.cast("double").alias("std"),
+    numeric = [c for c in df.columns if kind[c] in ("integer", "fraction")]
+    table = df.agg(F.count(F.lit(1)).alias("rows"))
+    if not numeric:
+        return table.select(F.lit(side).alias("side"), F.lit(None).cast("string").alias("column"), "rows",
+                            *[F.lit(None).cast(t).alias(n) for n, t in (("values", "bigint"), ("mean", "double"), ("std", "double"))])
+    name = F.element_at(F.array(*[F.lit(c) for c in numeric]), F.col("pos").cast("int") + 1)
+    figures = (
+        tall(df, {str(i): present(df, c).cast("double") for i, c in enumerate(numeric)})
+        .groupBy("pos").agg(F.count("value").alias("values"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+        .select(name.alias("column"), "values", "mean", "std")
     )
-    one_row = df.agg(F.array(table, *[figures(c) for c in df.columns]).alias("figures"))
-    return one_row.select(F.lit(side).alias("side"), F.inline("figures"))
+    return table.unionByName(figures, allowMissingColumns=True).withColumn("side", F.lit(side))
 
 
 def _check(name, status, message) -> Column:

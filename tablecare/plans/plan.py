@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
-from tablecare.operators.clean import Fill, Op
+from tablecare.operators.clean import Clip, Dedupe, Fill, MapLabels, Op
 
 # The order in which kinds of steps run; others come last.
 RUN_ORDER = (
@@ -51,13 +51,16 @@ class Plan:
 
         Later steps may name columns as they were before a rename. A step that
         fails is skipped and leaves the table as it was. Neighbouring fills by
-        mean or median share their scan.
+        mean or median share their scan; what is measured after a shuffle is kept
+        on disk while it is measured.
         """
         plan = self.select(only_ids) if only_ids is not None else self
         log: list[tuple] = []
         names: dict[str, str] = {}
+        shuffled = False
         for group in _groups(plan.ops):
-            steps = [op.renamed(names) for op in group]
+            steps = [_measured_once(op.renamed(names), shuffled) for op in group]
+            shuffled = shuffled or any(isinstance(op, (Dedupe, MapLabels)) for op in group)
             if len(steps) > 1:
                 merged = replace(steps[0], cols=[c for s in steps for c in s.cols])
                 done, error = _try(merged, df)
@@ -79,6 +82,10 @@ class Plan:
         return df, spark.createDataFrame(log, _LOG)
 
 
+def _measured_once(op: Op, shuffled: bool) -> Op:
+    return replace(op, keep=True) if shuffled and isinstance(op, (Clip, Fill)) else op
+
+
 def _try(op: Op, df: DataFrame) -> tuple[DataFrame, str | None]:
     try:
         done = op.apply(df)
