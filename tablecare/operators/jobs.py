@@ -7,6 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 from pyspark import inheritable_thread_target
+from pyspark.sql import SparkSession
 
 
 def together(*jobs: Callable[[], Any]) -> list[Any]:
@@ -14,5 +15,6 @@ def together(*jobs: Callable[[], Any]) -> list[Any]:
     the tail of one job does not leave the cluster idle."""
     if len(jobs) < 2:
         return [job() for job in jobs]
+    in_session = inheritable_thread_target(SparkSession.active())
     with ThreadPoolExecutor(len(jobs)) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(job)) for job in jobs]]
+        return [f.result() for f in [pool.submit(in_session(job)) for job in jobs]]

@@ -176,6 +176,8 @@ def exact_quantiles(
     """
     if keep:
         return _kept_quantiles(df, columns, probs, values_held)
+    if not columns and not extra:
+        return {}, Row()
     names = list(columns)
     margin = 2 / ACCURACY
     around = [min(max(p + side * margin, 0.0), 1.0) for p in probs for side in (-1, 1)]
