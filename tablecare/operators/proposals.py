@@ -42,6 +42,14 @@ def unfence(text: Column) -> Column:
     return F.when(fenced != "", fenced).when(ticked != "", ticked).otherwise(text)
 
 
+def is_json(text: Column) -> Column:
+    """Is the whole text one JSON value? Parsers stop after the first value; put
+    into an array and into an object, whatever follows it breaks one of them."""
+    alone = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+    closed = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull()
+    return F.coalesce(alone, F.lit(False)) & closed
+
+
 def _field(item: Column, path: str) -> Column:
     for name in path.split("."):
         item = item.getField(name)
@@ -74,7 +82,7 @@ def check_replies(
         return F.coalesce(bad, F.lit(True))
 
     reason = (
-        F.when(F.try_parse_json("__body").isNull(), F.lit("json"))
+        F.when(~is_json(F.col("__body")), F.lit("json"))
         .when(F.col("items").isNull() | F.exists("items", spoiled), F.lit("schema"))
     )
     return parsed.withColumn("reason", reason).drop("__body")

@@ -37,8 +37,8 @@ def format_of(ext: Column, signature: Column) -> Column:
 def manifest(spark: SparkSession, folder: str, max_bytes: int = MAX_BYTES) -> DataFrame:
     """``(path, length, format, reason)`` of all files below *folder*.
 
-    *reason* is null, ``too large``, ``empty`` or ``unsupported``. The listing
-    reads names and sizes only; contents are opened just for files whose
+    *reason* is null, ``too large`` or ``unsupported``. Spark lists no empty
+    files. The listing reads names and sizes only; contents are opened just for files whose
     extension does not settle the format, and never above the limit.
     """
     listed = _files(spark, folder).select("path", "length", extension(F.col("path")).alias("ext"))
@@ -53,7 +53,6 @@ def manifest(spark: SparkSession, folder: str, max_bytes: int = MAX_BYTES) -> Da
     fmt = format_of(F.col("ext"), signature_format(F.coalesce("head", F.lit(""))))
     reason = (
         F.when(F.col("length") > max_bytes, F.lit("too large"))
-        .when(F.col("length") == 0, F.lit("empty"))
         .when(F.col("format").isNull(), F.lit("unsupported"))
     )
     return (

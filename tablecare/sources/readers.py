@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,10 @@ CORRUPT = "__corrupt"
 WIDE_TABLE = 500
 
 
+# Spark hands some failures of file formats through as they are.
+_FAILURES = (PySparkException, Py4JJavaError)
+
+
 class SourceError(Exception):
     """A source that cannot be read, with the cause in words."""
 
@@ -70,7 +75,7 @@ def read_csv_checked(
     """``(rows, rejects)``: good rows, and ``(line)`` of rows that do not fit the header."""
     try:
         header = _csv(spark, encoding, multi_line, sep).csv(path).columns
-    except PySparkException as error:
+    except _FAILURES as error:
         raise SourceError(f"cannot read CSV {path}: {_cause(error)}") from error
     if not header:
         raise SourceError(f"no columns in CSV {path}: it lacks a header row")
@@ -106,7 +111,7 @@ def read_json(
     try:
         if schema is None:
             schema = reader.option("columnNameOfCorruptRecord", CORRUPT).json(path).schema
-    except PySparkException as error:
+    except _FAILURES as error:
         raise SourceError(f"cannot read JSON {path}: {_cause(error)}") from error
     wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     fields = [f for f in wanted.fields if f.name != CORRUPT]
@@ -139,7 +144,7 @@ def read_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Parquet files; an unreadable one is an error, never left out silently."""
     try:
         return spark.read.parquet(*([path] if isinstance(path, str) else path))
-    except PySparkException as error:
+    except _FAILURES as error:
         raise SourceError(f"cannot read Parquet {path}: {_cause(error)}") from error
 
 

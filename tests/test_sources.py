@@ -72,11 +72,10 @@ def test_manifest(spark, tmp_path):
     put(tmp_path, "plain.xls", "no signature")
     put(tmp_path, "noext", b"PAR1data")
     put(tmp_path, "what.txt", "text")
-    put(tmp_path, "empty.csv", "")
     put(tmp_path, "big.csv", "x" * 200)
     found = {r["path"].rsplit("/", 1)[1]: (r["format"], r["reason"]) for r in manifest(spark, str(tmp_path), max_bytes=100).collect()}
     assert found == {"a.csv": ("csv", None), "B.JSON": ("json", None), "mislabelled.xlsx": ("xls", None), "plain.xls": ("xls", None),
-                     "noext": ("parquet", None), "what.txt": (None, "unsupported"), "empty.csv": ("csv", "empty"), "big.csv": ("csv", "too large")}
+                     "noext": ("parquet", None), "what.txt": (None, "unsupported"), "big.csv": ("csv", "too large")}
 
 
 def test_encodings_are_told_apart(spark, tmp_path):
@@ -99,9 +98,8 @@ def test_write_and_summarise(spark, tmp_path):
     assert (row["format"], row["rows"], row["columns"]) == ("csv", 2, 3) and row["files"] >= 1
 
 
-def test_scratch_folder_is_the_one_the_cluster_names(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        assert new_path(spark, "x").startswith(f"{tmp_path}/x-")
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+def test_scratch_folder_is_the_one_the_cluster_names():
+    class Session:
+        conf = {"spark.checkpoint.dir": "hdfs://shared/checkpoints/"}
+
+    assert new_path(Session(), "x").startswith("hdfs://shared/checkpoints/x-")
