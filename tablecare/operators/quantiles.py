@@ -23,6 +23,7 @@ from tablecare.operators.jobs import together
 
 ACCURACY = 10_000        # rank error of the sketch is rows / ACCURACY
 GRID = 1_000             # points of the sketch read inside a bracket
+COLUMNS_TOGETHER = 50    # columns whose sketches share an aggregate
 VALUES_HELD = 2_000_000  # values one aggregate may hold, over all columns
 
 
@@ -178,6 +179,10 @@ def exact_quantiles(
         return _kept_quantiles(df, columns, probs, values_held)
     if not columns and not extra:
         return {}, Row()
+    if len(columns) > COLUMNS_TOGETHER:
+        first, rest = (dict(list(columns.items())[part]) for part in (slice(COLUMNS_TOGETHER), slice(COLUMNS_TOGETHER, None)))
+        found, extras = exact_quantiles(df, first, probs, extra, values_held)
+        return found | exact_quantiles(df, rest, probs, None, values_held)[0], extras
     names = list(columns)
     margin = 2 / ACCURACY
     around = [min(max(p + side * margin, 0.0), 1.0) for p in probs for side in (-1, 1)]

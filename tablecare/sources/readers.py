@@ -72,7 +72,10 @@ def read_csv_checked(
     sep: str = ",",
     tokens: Sequence[str] = NULL_TOKENS,
 ) -> tuple[DataFrame, DataFrame]:
-    """``(rows, rejects)``: good rows, and ``(line)`` of rows that do not fit the header."""
+    """``(rows, rejects)``: good rows, and ``(line)`` of rows that do not fit the header.
+
+    Files of one folder need the same header; another one is an error when read.
+    """
     try:
         header = _csv(spark, encoding, multi_line, sep).csv(path).columns
     except _FAILURES as error:
@@ -81,7 +84,7 @@ def read_csv_checked(
         raise SourceError(f"no columns in CSV {path}: it lacks a header row")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, CORRUPT]])
     rows = (
-        _csv(spark, encoding, multi_line, sep).option("enforceSchema", True)
+        _csv(spark, encoding, multi_line, sep)
         .option("columnPruning", False).option("columnNameOfCorruptRecord", CORRUPT).schema(schema).csv(path)
     )
     good, rejects = _split(rows)

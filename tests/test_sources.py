@@ -48,6 +48,15 @@ def test_csv_rows_that_do_not_fit(spark, tmp_path):
     assert good.count() == 2 and [r["line"] for r in rejects.collect()] == ["3,4,5"] and rejects.count() == 1
 
 
+def test_csv_files_with_another_header_are_an_error(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    put(folder, "a.csv", "x,y\n1,2\n")
+    put(folder, "b.csv", "y,x\n3,4\n")
+    with pytest.raises(Exception):
+        read_csv(spark, str(folder)).collect()
+
+
 def test_json_arrays_lines_and_columns(spark, tmp_path):
     rows = [{"a": i, "b": f"t{i}"} for i in range(3)]
     good, rejects = read_json(spark, put(tmp_path, "array.json", json.dumps(rows)))
