@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 from queries.tables import WITH_DIRTY, dirty_orders, table
 from tablecare.scratch import new_path
 from tablecare.sources import (
-    encodings, load_summary, manifest, read_csv, read_csv_checked, read_csv_files, read_json, read_json_columns, read_parquet, write_csv,
+    encodings, load_summary, manifest, read_csv, read_csv_checked, read_csv_files, read_json, read_parquet, write_csv,
     write_parquet,
 )
-from tablecare.sources.landing import SUPPORTED
 
 
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,8 +88,6 @@ def landing_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_csv_files(spark, files).groupBy("segment").agg(F.count("*").alias("n"))
 
 
-__all__ = ["QUERIES", "SUPPORTED", "read_json_columns"]
-
 QUERIES = {
     "source_csv_round_trip": (csv_round_trip, f"""{WITH_DIRTY} SELECT o_orderkey, amount, cust_txt, priority,
         CASE WHEN status <> 'n/a' THEN status END AS status, note FROM dirty"""),

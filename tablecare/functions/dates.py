@@ -19,9 +19,10 @@ DEFAULT_FORMATS = (
 )
 
 _FIELD_SHAPES = {
-    "yyyy": r"\d{4}", "yy": r"\d{2}", "MMMM": r"\p{L}+", "MMM": r"\p{L}+\.?", "MM": r"\d{2}",
-    "M": r"\d{1,2}", "dd": r"\d{2}", "d": r"\d{1,2}", "HH": r"\d{2}", "H": r"\d{1,2}",
-    "mm": r"\d{2}", "ss": r"\d{2}",
+    "yyyy": r"\d{4}", "yy": r"\d{2}", "MMMM": r"\p{L}+", "MMM": r"\p{L}+\.?",
+    "MM": r"(?:0[1-9]|1[0-2])", "M": r"(?:0?[1-9]|1[0-2])",
+    "dd": r"(?:0[1-9]|[12]\d|3[01])", "d": r"(?:0?[1-9]|[12]\d|3[01])",
+    "HH": r"(?:[01]\d|2[0-3])", "H": r"(?:[01]?\d|2[0-3])", "mm": r"[0-5]\d", "ss": r"[0-5]\d",
 }
 
 
@@ -29,7 +30,8 @@ def format_shape(fmt: str) -> str | None:
     """A regex that texts of this format match, or None for an unknown field.
 
     It is tested before parsing: a failed parse costs an exception per value,
-    a failed regex next to nothing.
+    a failed regex next to nothing. Months and days out of range fail here too,
+    so that day-first dates do not fail as month-first ones in the parser.
     """
     shape = ""
     for quoted, field, other in re.findall(r"('(?:[^']|'')*')|([A-Za-z]+)|([^A-Za-z']+)", fmt):

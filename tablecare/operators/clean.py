@@ -22,6 +22,7 @@ from tablecare.functions.dates import DEFAULT_FORMATS, parse_timestamp
 from tablecare.functions.numbers import finite, parse_number
 from tablecare.functions.text import MISSING_LABELS, label_key, missing_to_null, strip, title
 from tablecare.operators.catalog import unique_snake_names
+from tablecare.operators.jobs import together
 from tablecare.operators.joins import small_side
 from tablecare.operators.quantiles import exact_quantiles
 from tablecare.operators.schema import as_text, column, kinds, present
@@ -188,7 +189,8 @@ class Fill(Op):
         if self.how == "value":
             return dict.fromkeys(self.cols, self.value)
         if self.how == "mode":
-            return {c: most_frequent(df, c) for c in self.cols}
+            modes = together(*[lambda c=c: most_frequent(df, c) for c in self.cols])
+            return dict(zip(self.cols, modes))
         if self.how == "mean":
             row = df.agg(*[F.avg(v).alias(str(i)) for i, v in enumerate(numbers.values())]).first()
             return dict(zip(self.cols, row))

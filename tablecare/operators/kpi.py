@@ -9,7 +9,6 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablecare.functions.dates import whole_days
 from tablecare.functions.numbers import finite
 from tablecare.operators.clean import expression
 from tablecare.operators.quantiles import exact_quantiles
@@ -90,11 +89,11 @@ def kpis(df: DataFrame, wanted: Sequence[Kpi]) -> DataFrame:
         )
 
     if ranked:
+        probs = sorted({k.quantile for k in ranked})
         found, extra = exact_quantiles(
             df, {str(i): finite(expression(k.sql)) for i, k in enumerate(ranked)},
-            sorted({k.quantile for k in ranked}), [expression(k.sql).cast("double") for k in plain],
+            probs, [expression(k.sql).cast("double") for k in plain],
         )
-        probs = sorted({k.quantile for k in ranked})
         values = dict(zip(plain, extra)) | {
             k: found[str(i)][probs.index(k.quantile)] for i, k in enumerate(ranked)
         }
@@ -111,7 +110,3 @@ def scorecard(values: DataFrame, limit: int = SCORECARDS) -> DataFrame:
         .orderBy((F.col("priority") != "high").cast("int"), "position")
         .limit(limit)
     )
-
-
-__all__ = ["Kpi", "kpis", "mean_age_days", "mean_days", "null_share", "scorecard", "screen_kpis",
-           "share_of_rows", "whole_days"]

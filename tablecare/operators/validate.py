@@ -139,7 +139,11 @@ def schema_checks(before: DataFrame, after: DataFrame, plan: Plan | None) -> lis
 
 
 def validate(before: DataFrame, after: DataFrame, plan: Plan | None = None) -> DataFrame:
-    """All checks as ``(name, status, message)``."""
+    """All checks as ``(name, status, message)``.
+
+    Each side is read more than once: write a cleaned table whose plan shuffles
+    before it is validated.
+    """
     spark = after.sparkSession
     parts = [
         row_and_shift_checks(before, after),

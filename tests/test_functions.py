@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -41,8 +42,9 @@ def test_dates_follow_the_declared_order(spark):
 
 
 def test_formats_with_unknown_fields_are_not_guarded(spark):
-    assert format_shape("yyyy-MM-dd'T'HH") == r"^\d{4}\-\d{2}\-\d{2}T\d{2}$"
     assert format_shape("yyyy-MM-dd a") is None
+    shape = re.compile(format_shape("yyyy-MM-dd'T'HH"))
+    assert shape.match("2020-12-31T23") and not any(map(shape.match, ["2020-13-31T23", "2020-12-32T23", "2020-12-31T24", "2020-12-31 23"]))
     assert values(spark, ["5 Jan 2020"], lambda c: parse_timestamp(c, ["d MMM yyyy"])) == [dt.datetime(2020, 1, 5)]
 
 
