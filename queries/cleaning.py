@@ -126,7 +126,7 @@ _PROPOSALS = f"""{_WITH_FACTS}, {_EVERY}, flags AS ({_FLAGS}), spellings AS ({_S
         UNION ALL SELECT 'fix_dtype', "column", 'number', 'high' FROM flags WHERE flag = 'looks_numeric'
         UNION ALL SELECT 'fix_dtype', "column", 'timestamp', 'high' FROM flags WHERE flag = 'looks_datetime'
         UNION ALL SELECT 'fix_mixed_types', "column", 'split', 'low' FROM flags WHERE flag = 'mixed_types'
-        UNION ALL SELECT 'standardize_categories', "column", 'missing', 'high' FROM spellings JOIN types USING ("column") WHERE t = 'categorical' AND missing
+        UNION ALL SELECT 'fix_mixed_types', "column", 'missing', 'high' FROM spellings JOIN types USING ("column") WHERE t = 'categorical' AND missing
         UNION ALL SELECT 'standardize_categories', "column", 'title', 'medium' FROM spellings JOIN types USING ("column") WHERE t = 'categorical' AND varied
         UNION ALL SELECT CASE WHEN how = 'drop' THEN 'drop_missing' ELSE 'fill_missing' END, "column", how, 'medium' FROM fills)
     SELECT how || '_' || "column" AS id, type, "column", how, confidence FROM steps"""
@@ -216,5 +216,12 @@ QUERIES = {
         (10, 'title_priority', 'standardize_categories', 'ok'), (11, 'broken', 'filter_rows', 'skip'),
         (12, 'derive_total', 'derive_column', 'ok')) t(position, id, type, status)"""),
     "plan_proposals": (proposals_dirty, _PROPOSALS),
-    "plan_proposals_applied": (proposals_applied, None),
+    "plan_proposals_applied": (proposals_applied, f"""{WITH_DIRTY}, known AS (SELECT *,
+            CASE WHEN lower(trim(status)) NOT IN ('n/a', 'na') THEN trim(status) END AS s FROM dirty),
+        m AS (SELECT (SELECT s FROM known WHERE s IS NOT NULL GROUP BY s ORDER BY count(*) DESC, s LIMIT 1) AS s,
+            (SELECT note FROM known WHERE note IS NOT NULL GROUP BY note ORDER BY count(*) DESC, note LIMIT 1) AS note)
+        SELECT o_orderkey, amount, {duck_number('cust_txt')} AS cust_txt, {duck_number('mixed_txt')} AS mixed_txt,
+        {_LOWER_TITLE.format('priority')} AS priority, coalesce(known.s, m.s) AS status, {duck_date('date_txt')} AS date_txt,
+        coalesce(known.note, m.note) AS note, answer, constant_col,
+        CASE WHEN {duck_number('mixed_txt')} IS NULL THEN mixed_txt END AS mixed_txt_raw FROM known, m"""),
 }

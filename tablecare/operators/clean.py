@@ -156,9 +156,9 @@ class SplitMixed(Op):
 
 @dataclass(frozen=True)
 class MissingLabels(Op):
-    """Labels that mean "missing" (n/a, NA …) become null."""
+    """Labels that mean "missing" (n/a, NA …) become null, before values are filled."""
 
-    type: ClassVar[str] = "standardize_categories"
+    type: ClassVar[str] = "fix_mixed_types"
     cols: Sequence[str] = ()
     labels: Sequence[str] = MISSING_LABELS
 

@@ -63,7 +63,7 @@ def propose(result: ProfileResult) -> DataFrame:
         ("fix_dtype", has("looks_numeric"), F.lit("number"), "high"),
         ("fix_dtype", has("looks_datetime"), F.lit("timestamp"), "high"),
         ("fix_mixed_types", has("mixed_types"), F.lit("split"), "low"),
-        ("standardize_categories", F.coalesce("missing", F.lit(False)), F.lit("missing"), "high"),
+        ("fix_mixed_types", F.coalesce("missing", F.lit(False)), F.lit("missing"), "high"),
         ("fill_missing", incomplete & (fill_how != "drop"), fill_how, "medium"),
         ("drop_missing", incomplete & (fill_how == "drop"), fill_how, "medium"),
         ("standardize_categories", F.coalesce("varied", F.lit(False)), F.lit("title"), "medium"),

@@ -148,7 +148,7 @@ def test_proposals_lead_to_a_clean_table(spark):
     proposals = {(r["type"], r["column"], r["how"]) for r in propose(profile(df)).collect()}
     assert proposals >= {("drop_duplicates", None, "rows"), ("fix_whitespace", "area", "strip"), ("fix_dtype", "size", "number"),
                          ("fill_missing", "weight", "median"), ("standardize_categories", "area", "title"),
-                         ("standardize_categories", "area", "missing")}
+                         ("fix_mixed_types", "area", "missing")}
     plan = to_plan(propose(profile(df)).collect())
     clean, log = plan.apply(df)
     assert {r["status"] for r in log.collect()} == {"ok"}
