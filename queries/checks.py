@@ -47,7 +47,7 @@ KPIS = [
     Kpi("open lines", "count_if(l_linestatus = 'O')", "", "medium"),
     Kpi("parts sold", "count(DISTINCT l_partkey)", "", "low"),
     Kpi("no tax known", null_share("l_tax"), "%", "low"),
-    Kpi("order value", "sum(l_extendedprice * l_quantity)", "$", "high"),
+    Kpi("order value", "sum(CAST(l_extendedprice * l_quantity AS DECIMAL(20, 2)))", "$", "high"),  # exact cents
     Kpi("broken", "sum(no_such_column)", "$", "high"),
 ]
 _KPI_SQL = [
@@ -55,7 +55,7 @@ _KPI_SQL = [
     "avg(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)))",
     "avg(floor(epoch(TIMESTAMP '2005-01-01 12:00:00' - l_shipdate) / 86400))",
     "count(*) FILTER (l_linestatus = 'O')", "count(DISTINCT l_partkey)",
-    "(count(*) - count(l_tax)) / count(*) * 100", "sum(l_extendedprice * l_quantity)", "sum(NULL::DOUBLE)",
+    "(count(*) - count(l_tax)) / count(*) * 100", "sum(CAST(l_extendedprice * l_quantity AS DECIMAL(20, 2)))", "sum(NULL::DOUBLE)",
 ]
 
 
