@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,3 +48,23 @@ def components(links: DataFrame, kind: str = "long") -> DataFrame:
         seen = now
     hung = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return hung.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def bit_filter(ids: DataFrame, bits: int) -> np.ndarray:
+    """A filter of ``bits`` bits, whatever the number of ids (one long column): an id's bit is set.
+
+    Tasks use it to leave out rows that no one asks for before anything is shuffled. The more ids, the more rows pass
+    needlessly; none is lost.
+    """
+    slots = ids.select(F.pmod(F.col(ids.columns[0]), F.lit(bits)).alias("slot"))
+    rows = slots.groupBy(F.expr("cast(slot div 32 as int)").alias("at")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(slot % 32 as int))")).alias("bits")).toArrow()
+    found = np.zeros(bits // 32, np.uint32)
+    found[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().astype(np.uint32)
+    return found
+
+
+def passes(found: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which ids (64-bit integers) may be in the filter."""
+    slot = np.mod(ids, len(found) * 32)
+    return (found[slot // 32] >> (slot % 32).astype(np.uint32)) & 1 > 0

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablecare.llm import minhash
+from tablecare.llm import dac, minhash
 from tablecare.llm.text import read_table
 
 
@@ -12,4 +13,11 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_minhash": (op1_minhash, None)}
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dac.token_rows(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {
+    "op1_minhash": (op1_minhash, None),
+    "op3_token_files": (op3_token_files, None),
+}
