@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablecare.llm import dac, minhash
+from tablecare.llm import dac, minhash, packing
 from tablecare.llm.text import read_table
 
 
@@ -17,7 +17,12 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.token_rows(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_minhash": (op1_minhash, None),
     "op3_token_files": (op3_token_files, None),
+    "op9_packing": (op9_packing, None),
 }
