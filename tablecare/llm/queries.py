@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablecare.llm import dac, minhash, packing
+from tablecare.llm import dac, minhash, packing, toxicity
 from tablecare.llm.text import read_table
 
 
@@ -21,8 +21,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_minhash": (op1_minhash, None),
     "op3_token_files": (op3_token_files, None),
     "op9_packing": (op9_packing, None),
+    "op10_toxicity": (op10_toxicity, None),
 }
