@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablecare.llm import dac, minhash, packing, quality, toxicity
+from tablecare.llm import dac, minhash, packing, quality, suffixes, toxicity
 from tablecare.llm.text import read_table
 
 
@@ -21,6 +21,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(read_table(spark, sf_dir, "documents"), digest_only=True).drop("kept")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -33,6 +37,7 @@ QUERIES = {
     "op1_minhash": (op1_minhash, None),
     "op3_token_files": (op3_token_files, None),
     "op4_quality": (op4_quality, None),
+    "op8_suffixes": (op8_suffixes, None),
     "op9_packing": (op9_packing, None),
     "op10_toxicity": (op10_toxicity, None),
 }
