@@ -198,6 +198,7 @@ def token_rows(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text:
 
     earlier = F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = files.join(offsets, "part").withColumn("start", F.col("base") + earlier).select("uri", "start", "ids")
+    placed = placed.repartition(max(len(sizes), 1), "uri")  # files are few rows, but much work
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
