@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablecare.llm import dac, minhash, packing, quality, suffixes, toxicity
+from tablecare.llm import covertree, dac, minhash, packing, quality, suffixes, toxicity
 from tablecare.llm.text import read_table
 
 
@@ -13,6 +13,10 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op2_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.token_rows(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -35,6 +39,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_minhash": (op1_minhash, None),
+    "op2_cover_tree": (op2_cover_tree, None),
     "op3_token_files": (op3_token_files, None),
     "op4_quality": (op4_quality, None),
     "op8_suffixes": (op8_suffixes, None),
