@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablecare.llm import covertree, dac, minhash, packing, quality, suffixes, toxicity
+from tablecare.llm import covertree, dac, minhash, packing, quality, rules, suffixes, toxicity
 from tablecare.llm.text import read_table
 
 
@@ -25,6 +25,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(read_table(spark, sf_dir, "documents"))
+
+
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.without_repeats(read_table(spark, sf_dir, "documents"), digest_only=True).drop("kept")
 
@@ -42,6 +46,7 @@ QUERIES = {
     "op2_cover_tree": (op2_cover_tree, None),
     "op3_token_files": (op3_token_files, None),
     "op4_quality": (op4_quality, None),
+    "op5_rules": (op5_rules, None),
     "op8_suffixes": (op8_suffixes, None),
     "op9_packing": (op9_packing, None),
     "op10_toxicity": (op10_toxicity, None),
