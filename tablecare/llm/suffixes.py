@@ -2,27 +2,26 @@
 
 Every string of SIZE bytes is represented by the least hash among its seeds (strings of SEED bytes). Equal strings have
 the same least seed, wherever they stand; so seeds play the part of the residues of a difference cover, which would have
-to keep two thirds of all suffixes. Runs of neighbouring strings with one least seed are a block of at most BLOCK strings.
+to keep two thirds of all suffixes. The neighbouring strings that share one seed's place are a block.
 
 1. Sampled suffixes: one for each block, cut to the block's depth. Blocks whose seed occurs once can hold no repeat and
    are left out. The others are named by their triple: seed, first and last string (which together are all its bytes).
-   A name covers the full depth that matters, so naming needs no further round.
 2. Of each name the first occurrence, in order of document and place, is found; the strings of all others occur earlier.
-3. Remaining suffixes: every string in the first occurrence of a block whose seed also has other names (or that holds its
-   seed twice) is placed by its seed and its bytes; next to each other, equal ones show which come later.
-4. What is covered by strings found in 2 and 3 is removed.
+3. The first occurrences of blocks whose seed has several names go on to the next round: they fall into parts of SUB
+   strings, of which those are left out whose common bytes no other part has.
+4. Remaining suffixes: the strings of these parts meet in their bytes; next to each other, equal ones show which is later.
+5. What is covered by strings found in 2 and 4 is removed.
 
 Hot strings are combined in each task to one row before they are shuffled; the joins back to occurrences are plain
 equi-joins, which Spark splits. A long text is handled in slices, since blocks may be cut anywhere.
 
-Null and empty texts have nothing to remove. A null id comes before all others. Rows that share an id are ordered by a
-checksum of their texts; rows that repeat both are the same document and get the same result. Extra columns are not read.
+Null and empty texts have nothing to remove. A null id comes before all others. Rows that share an id are taken as copies
+of one document and get the same cuts. Extra columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +32,20 @@ from tablecare.llm.links import bit_filter, passes, stored
 from tablecare.llm.text import Texts, map_texts, mix
 
 SIZE = 100
-SEED = 32
-BLOCK = 64
+SEED = 40
+#: Strings of a part of a block.
+SUB = 8
+NO_ID = -(2**63)
+#: Bytes of text of a step: little enough to stay near the processor.
+STEP = 1 << 18
 SLICE = 4 << 20
-#: Bits of the filters of seeds that occur twice, of first occurrences and of documents to cut.
+#: Bits of the filters of seeds and parts that occur twice, of first occurrences and of documents to cut.
 SEED_BITS = 1 << 26
 ROW_BITS = 1 << 24
 
+_FACTORS = mix(np.arange(1, SIZE // 8 + 3, dtype=np.uint64)) | np.uint64(1)
+#: Low bits that hold a place within a slice.
+_LOW = np.uint64((1 << 23) - 1)
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
 
@@ -57,8 +63,7 @@ def _hashed(eights: np.ndarray, at: np.ndarray | slice, size: int) -> np.ndarray
     """A hash of ``size`` bytes (8 at least) at each place."""
     total = np.zeros(len(eights) - size + 8 if isinstance(at, slice) else len(at), np.uint64)
     for i, j in enumerate([*range(0, size - 8, 8), size - 8]):
-        total = (total ^ (eights[j : j + len(total)] if isinstance(at, slice) else eights[at + j])) * (_A, _B, _C, _D)[i % 4]
-        total ^= total >> np.uint64(29)
+        total += (eights[j : j + len(total)] if isinstance(at, slice) else eights[at + j]) * _FACTORS[i]
     return mix(total)
 
 
@@ -73,7 +78,7 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 class Blocks:
-    """Blocks of the texts: row, start within the row, number of strings, seed, and whether the seed stands there twice."""
+    """Blocks of the texts: row, start within the row, number of strings, seed, how far ahead of the start it is, and name."""
 
     def __init__(self, part: Texts):
         found: list[tuple[np.ndarray, ...]] = []
@@ -84,9 +89,9 @@ class Blocks:
                 self._add(part.data[first : first + SLICE + SIZE - 1], np.array([0, min(SLICE + SIZE - 1, len(part.data) - first)]), first)
         else:
             self._add(part.data, edges, 0)
-        self.row, self.start, self.many, self.seed, self.twice, self.name, self.base = (
+        self.row, self.start, self.many, self.seed, self.ahead, self.name = (
             np.concatenate([x[i] for x in found]) if found else np.zeros(0, kind)
-            for i, kind in enumerate((np.int64, np.int64, np.int64, np.uint64, bool, np.uint64, np.int64)))
+            for i, kind in enumerate((np.int64, np.int64, np.int64, np.uint64, np.int64, np.uint64)))
 
     def _add(self, data: np.ndarray, offs: np.ndarray, base: int) -> None:
         n = len(data) - SIZE + 1
@@ -94,137 +99,164 @@ class Blocks:
             return
         eights = _eights(data)
         seeds = _hashed(eights, slice(None), SEED)
-        least = _least(seeds, SIZE - SEED + 1)[:n]
+        # the least seed of each string, the first of equals: where it stands is kept in the low bits
+        place = (_least((seeds & ~_LOW) | np.arange(len(seeds), dtype=np.uint64), SIZE - SEED + 1)[:n] & _LOW).astype(np.int64)
         row = np.repeat(np.arange(len(offs) - 1), np.diff(offs))[:n]
-        fits = np.arange(n) + SIZE <= offs[1:][row]
+        last = (offs[1:] - SIZE)[row]  # the last string of the row
         begins = np.ones(n, bool)
-        begins[1:] = (least[1:] != least[:-1]) | (row[1:] != row[:-1])
-        begins &= fits
+        begins[1:] = (place[1:] != place[:-1]) | (row[1:] != row[:-1])
+        begins &= np.arange(n) <= last
         starts = np.flatnonzero(begins)
-        ends = np.minimum(np.append(starts[1:], n), offs[1:][row[starts]] - SIZE + 1)
-        many = ends - starts
-        cut = -(-many // BLOCK)
-        of = np.repeat(np.arange(len(starts)), cut)
-        inside = (np.arange(len(of)) - np.repeat(np.cumsum(cut) - cut, cut)) * BLOCK
-        s = starts[of] + inside
-        m = np.minimum(BLOCK, many[of] - inside)
-        # does the seed stand at two places within the reach of the block's strings?
-        reach = ends - starts + SIZE - SEED
-        block = np.repeat(np.arange(len(starts)), reach)
-        at = np.arange(len(block)) - np.repeat(np.cumsum(reach) - reach, reach) + starts[block]
-        twice = (np.bincount(block[seeds[at] == least[starts[block]]], minlength=len(starts)) > 1)[of]
-        name = mix(_hashed(eights, s, SIZE) * _B + _hashed(eights, s + m - 1, SIZE) * _C + m.astype(np.uint64))
-        self.found.append((row[s], s - offs[row[s]] + base, m, least[s], twice, name, s + base))
+        ends = np.minimum(np.append(starts[1:], n), last[starts] + 1)
+        seed, ahead = seeds[place[starts]], place[starts] - starts
+        name = mix(_hashed(eights, starts, SIZE) * _B + _hashed(eights, ends - 1, SIZE) * _C + (ends - starts).astype(np.uint64))
+        self.found.append((row[starts], starts - offs[row[starts]] + base, ends - starts, seed, ahead, name))
 
     def filter(self, keep: np.ndarray) -> None:
-        for name in ("row", "start", "many", "seed", "twice", "name", "base"):
+        for name in ("row", "start", "many", "seed", "ahead", "name"):
             setattr(self, name, getattr(self, name)[keep])
 
 
-def _occurrence(blocks: Blocks, ids: np.ndarray, tags: np.ndarray) -> np.ndarray:
-    return mix(blocks.name ^ mix(ids[blocks.row].view(np.uint64) ^ tags[blocks.row].astype(np.uint64) * _A) ^ blocks.start.astype(np.uint64) * _D)
+def _marks(name: np.ndarray, ids: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """One number for a name at a place."""
+    return mix(name ^ mix(ids.view(np.uint64)) ^ start.astype(np.uint64) * _D).view(np.int64)
 
 
 def _rows(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     """(id, text) with a long id that is never null."""
-    return docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(-(2**63))).alias("id"), F.col(text).alias("text"))
-
-
-def _keys(part: Texts) -> tuple[np.ndarray, np.ndarray]:
-    ids = part.rows.column(0).to_numpy()
-    return ids, np.array([zlib.crc32(part.data[a:b]) for a, b in zip(part.offs[:-1].tolist(), part.offs[1:].tolist())], np.int64)
+    return docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("text"))
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _place(id_: str, tag: str, start: str) -> Column:
-    return F.struct(F.col(id_).alias("id"), F.col(tag).alias("tag"), F.col(start).alias("start"))
+def _place() -> Column:
+    return F.struct("id", "start")
+
+
+def _subs(blocks: Blocks) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Parts of SUB strings that the blocks fall into, counted by how far ahead their seed is.
+
+    Returns the block of each part, its first string and number of strings, the place of the bytes that all strings of a
+    whole part have in common, and its key. A part can hold a repeat only if these bytes occur with another block's part.
+    """
+    high, low = blocks.ahead // SUB, (blocks.ahead - blocks.many + 1) // SUB
+    n = high - low + 1
+    of = np.repeat(np.arange(len(n)), n)
+    sub = high[of] - (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n))
+    seed_at = blocks.part.offs[blocks.row[of]] + blocks.start[of] + blocks.ahead[of]
+    common = seed_at - sub * SUB  # where the part's last string starts; the bytes before the end of its first are common
+    first = np.maximum(blocks.ahead[of] - sub * SUB - SUB + 1, 0)
+    many = np.minimum(blocks.ahead[of] - sub * SUB, blocks.many[of] - 1) - first + 1
+    eights = _eights(blocks.part.data)
+    size = SIZE - SUB + 1
+    key = mix(_hashed(eights, common, size) ^ blocks.seed[of] ^ sub.astype(np.uint64) * _A)
+    return of, first, many, common, key
 
 
 def repeated(rows: DataFrame) -> DataFrame:
-    """(id, tag, first, end) of byte ranges of texts that occur earlier; ranges overlap. ``rows``: id, text."""
+    """(id, first, end) of byte ranges of texts that occur earlier; ranges overlap. ``rows``: id, text."""
     spark = rows.sparkSession
 
     def seeds(part: Texts) -> pa.RecordBatch:
-        blocks = Blocks(part)
-        seed, at = np.unique(blocks.seed, return_inverse=True)
-        return pa.RecordBatch.from_arrays([_signed(seed), pa.array(np.bincount(at, weights=1.0 + blocks.twice, minlength=len(seed)).astype(np.int64))], names=["seed", "seen"])
+        seed, seen = np.unique(Blocks(part).seed >> np.uint64(32), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(seed.astype(np.int64)), pa.array(seen)], names=["seed", "seen"])
 
-    counted = map_texts(rows, seeds, "seed long, seen long").groupBy("seed").agg(F.sum("seen").alias("seen")).filter("seen > 1")
+    # a seed is counted by its upper half; one that is taken for another's copy only costs time
+    counted = map_texts(rows, seeds, "seed long, seen long", step=STEP).groupBy("seed").agg(F.sum("seen").alias("seen")).filter("seen > 1")
     twice = spark.sparkContext.broadcast(bit_filter(counted.select("seed"), SEED_BITS))
 
-    def sample(part: Texts) -> pa.RecordBatch:
+    def shared(part: Texts) -> Blocks:
         blocks = Blocks(part)
-        blocks.filter(passes(twice.value, blocks.seed.view(np.int64)))
-        ids, tags = _keys(part)
+        blocks.filter(passes(twice.value, (blocks.seed >> np.uint64(32)).astype(np.int64)))
+        return blocks
+
+    def sample(part: Texts) -> pa.RecordBatch:
+        blocks = shared(part)
         return pa.RecordBatch.from_arrays(
-            [_signed(blocks.seed), _signed(blocks.name), pa.array(blocks.twice), pa.array(ids[blocks.row]), pa.array(tags[blocks.row]),
-             pa.array(blocks.start), pa.array(blocks.many.astype(np.int32))], names=["seed", "name", "twice", "id", "tag", "start", "many"])
+            [_signed(blocks.seed), _signed(blocks.name), pa.array(part.rows.column(0).to_numpy()[blocks.row]), pa.array(blocks.start), pa.array(blocks.many.astype(np.int32))],
+            names=["seed", "name", "id", "start", "many"])
 
-    sampled = stored(map_texts(rows, sample, "seed long, name long, twice boolean, id long, tag long, start long, many int"), "blocks")
-    named = stored(sampled.groupBy("seed", "name").agg(
-        F.min(_place("id", "tag", "start")).alias("first"), F.count("*").alias("seen"), F.max("twice").alias("twice")), "names")
+    sampled = stored(map_texts(rows, sample, "seed long, name long, id long, start long, many int", step=STEP), "blocks")
+    named = stored(sampled.groupBy("seed", "name").agg(F.min(_place()).alias("first"), F.count("*").alias("seen")), "names")
     # other occurrences of a name
-    later = sampled.join(named.filter("seen > 1").select("seed", "name", "first"), ["seed", "name"]).filter(
-        _place("id", "tag", "start") != F.col("first")).select("id", "tag", F.col("start").alias("first"), (F.col("start") + F.col("many") + SIZE - 1).alias("end"))
+    later = sampled.join(named.filter("seen > 1").select("name", "seed", "first"), ["seed", "name"]).filter(
+        _place() != F.col("first")).select("id", F.col("start").alias("first"), (F.col("start") + F.col("many") + SIZE - 1).alias("end"))
+    later = stored(later, "later")
     # strings of seeds with more than one name
-    mixed = named.groupBy("seed").agg(F.count("*").alias("names"), F.max("twice").alias("any")).filter("names > 1 or any").select("seed")
-    ask = named.join(mixed, "seed").select(F.col("name"), F.col("first.*"))
+    mixed = named.groupBy("seed").agg(F.count("*").alias("names")).filter("names > 1").select("seed")
+    ask = stored(named.join(mixed, "seed").select("name", "first.*"), "firsts")
 
     def marks(batches):
         for b in batches:
-            name, id_, tag, start = (b.column(i).to_numpy() for i in range(4))
-            yield pa.RecordBatch.from_arrays([_signed(mix(name.view(np.uint64) ^ mix(id_.view(np.uint64) ^ tag.astype(np.uint64) * _A) ^ start.astype(np.uint64) * _D))], names=["mark"])
+            yield pa.RecordBatch.from_arrays([pa.array(_marks(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy(), b.column(2).to_numpy()))], names=["mark"])
 
     firsts = spark.sparkContext.broadcast(bit_filter(ask.mapInArrow(marks, "mark long"), ROW_BITS))
-
-    def remaining(part: Texts) -> pa.RecordBatch:
-        blocks = Blocks(part)
-        blocks.filter(passes(twice.value, blocks.seed.view(np.int64)))
-        ids, tags = _keys(part)
-        blocks.filter(passes(firsts.value, _occurrence(blocks, ids, tags).view(np.int64)))
-        of = np.repeat(np.arange(len(blocks.row)), blocks.many)
-        inside = np.arange(len(of)) - np.repeat(np.cumsum(blocks.many) - blocks.many, blocks.many)
-        at = part.offs[blocks.row[of]] + blocks.start[of] + inside
-        text = np.zeros(0, np.uint64)
-        if len(at):
-            text = _hashed(_eights(part.data), at, SIZE)
-        row = blocks.row[of]
-        return pa.RecordBatch.from_arrays([_signed(blocks.seed[of]), _signed(text), pa.array(ids[row]), pa.array(tags[row]), pa.array(blocks.start[of] + inside)],
-                                          names=["seed", "string", "id", "tag", "start"])
-
-    strings = stored(map_texts(rows, remaining, "seed long, string long, id long, tag long, start long"), "strings")
-    ordered = strings.groupBy("seed", "string").agg(F.count("*").alias("seen"), F.min(_place("id", "tag", "start")).alias("first")).filter("seen > 1")
-    other = strings.join(ordered, ["seed", "string"]).filter(_place("id", "tag", "start") != F.col("first")).select(
-        "id", "tag", F.col("start").alias("first"), (F.col("start") + SIZE).alias("end"))
+    texts_of = spark.sparkContext.broadcast(bit_filter(ask.select("id"), ROW_BITS))
+
+    def asked(part: Texts) -> Blocks | None:
+        """The first occurrences among the blocks, of the texts that have any."""
+        part = part.taken(np.flatnonzero(passes(texts_of.value, part.rows.column(0).to_numpy())))
+        if not len(part):
+            return None
+        blocks = shared(part)
+        blocks.filter(passes(firsts.value, _marks(blocks.name, part.rows.column(0).to_numpy()[blocks.row], blocks.start)))
+        return blocks
+
+    def cores(part: Texts) -> pa.RecordBatch | None:
+        blocks = asked(part)
+        return None if blocks is None else pa.RecordBatch.from_arrays([_signed(_subs(blocks)[4])], names=["core"])
+
+    common = map_texts(rows, cores, "core long", step=STEP).groupBy("core").agg(F.count("*").alias("seen")).filter("seen > 1")
+    kept = spark.sparkContext.broadcast(bit_filter(common.select("core"), SEED_BITS))
+
+    def remaining(part: Texts) -> pa.RecordBatch | None:
+        blocks = asked(part)
+        if blocks is None:
+            return None
+        part = blocks.part
+        block, first, many, _, key = _subs(blocks)
+        use = passes(kept.value, key.view(np.int64))
+        block, first, many = block[use], first[use], many[use]
+        of = np.repeat(np.arange(len(block)), many)
+        start = blocks.start[block][of] + first[of] + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+        row = blocks.row[block][of]
+        string = _hashed(_eights(part.data), part.offs[row] + start, SIZE)
+        return pa.RecordBatch.from_arrays([_signed(string), pa.array(part.rows.column(0).to_numpy()[row]), pa.array(start)], names=["string", "id", "start"])
+
+    strings = stored(map_texts(rows, remaining, "string long, id long, start long", step=STEP), "strings")
+    ordered = strings.groupBy("string").agg(F.count("*").alias("seen"), F.min(_place()).alias("first")).filter("seen > 1")
+    other = strings.join(ordered, "string").filter(_place() != F.col("first")).select("id", F.col("start").alias("first"), (F.col("start") + SIZE).alias("end"))
     return later.unionByName(other)
 
 
-def without_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", digest_only: bool = False) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256, kept) per row of ``docs``; kept: the remaining bytes, where they are text.
+def without_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", digest_only: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept_sha256, kept, and the columns ``carry``) per row of ``docs``.
 
-    Characters that are cut in two by the removal are left out of ``kept``. ``digest_only`` leaves ``kept`` null.
+    ``kept`` is the remaining bytes; characters that the removal cuts in two are left out of it. ``digest_only`` leaves it null.
     """
     spark = docs.sparkSession
     rows = _rows(docs, id_column, text)
-    cuts = stored(repeated(rows).groupBy("id", "tag").agg(F.collect_list(F.struct("first", "end")).alias("cuts")), "cuts")
+    rest = F.struct(F.lit(0).alias("none"), *(F.col(c) for c in carry)).alias("rest")
+    told_of = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("id"), rest, F.col(text).alias("text"))
+    kind = told_of.schema["rest"].dataType.simpleString()
+    cuts = stored(repeated(rows).groupBy("id").agg(F.collect_list(F.struct("first", "end")).alias("cuts")), "cuts")
     touched = spark.sparkContext.broadcast(bit_filter(cuts.select("id"), ROW_BITS))
-    schema = "id long, tag long, n_bytes long, digest string, text string"
+    schema = f"id long, rest {kind}, n_bytes long, digest string, text string"
 
     def split(part: Texts) -> pa.RecordBatch:
         """Texts that may be cut go on as texts, the others as what is to be told of them."""
-        ids, tags = _keys(part)
+        ids = part.rows.column(0).to_numpy()
         cut = passes(touched.value, ids)
         raw = part.data.tobytes()
         own = [raw[a:b] for a, b in zip(part.offs[:-1].tolist(), part.offs[1:].tolist())]
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids), pa.array(tags), pa.array(np.diff(part.offs)), pa.array([None if c else hashlib.sha256(x).hexdigest() for c, x in zip(cut, own)], pa.string()),
-             pa.array([x if c or not digest_only else None for c, x in zip(cut, own)], pa.binary()).cast(pa.string())], names=["id", "tag", "n_bytes", "digest", "text"])
+            [pa.array(ids), part.rows.column(1), pa.array(np.diff(part.offs)), pa.array([None if c else hashlib.sha256(x).hexdigest() for c, x in zip(cut, own)], pa.string()),
+             pa.array([x if c or not digest_only else None for c, x in zip(cut, own)], pa.binary()).cast(pa.string())], names=["id", "rest", "n_bytes", "digest", "text"])
 
-    told = map_texts(rows, split, schema)
-    whole = told.filter("digest is not null").select("id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("digest").alias("kept_sha256"), F.col("text").alias("kept"))
+    told = map_texts(told_of, split, schema)
+    whole = told.filter("digest is not null").select("id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("digest").alias("kept_sha256"), F.col("text").alias("kept"), "rest")
 
     def remove(batches):
         for batch in batches:
@@ -235,18 +267,18 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
                 covered = np.zeros(len(raw) + 1, np.int64)
                 if ranges.is_valid:
                     flat = ranges.values
-                    np.add.at(covered, flat.field(0).to_numpy(), 1)
-                    np.add.at(covered, flat.field(1).to_numpy(), -1)
+                    np.add.at(covered, np.minimum(flat.field(0).to_numpy(), len(raw)), 1)
+                    np.add.at(covered, np.minimum(flat.field(1).to_numpy(), len(raw)), -1)
                 gone = np.cumsum(covered)[:-1] > 0
                 left = np.frombuffer(raw, np.uint8)[~gone].tobytes()
                 spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1])) if len(raw) else 0
                 out.append((len(raw), int(gone.sum()), spans, hashlib.sha256(left).hexdigest(), None if digest_only else left.decode("utf-8", "ignore")))
             columns = list(zip(*out)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), *(pa.array(c, pa.string()) for c in columns[3:])],
-                                             names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), *(pa.array(c, pa.string()) for c in columns[3:]), batch.column(3)],
+                                             names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "rest"])
 
-    cut = told.filter("digest is null").select("id", "tag", "text").join(cuts, ["id", "tag"], "left").select("id", "text", "cuts").mapInArrow(
-        remove, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    cut = told.filter("digest is null").select("id", "rest", "text").join(cuts, "id", "left").select("id", "text", "cuts", "rest").mapInArrow(
+        remove, f"id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, rest {kind}")
     both = whole.unionByName(cut)
-    name = F.when(F.col("id") != -(2**63), F.col("id")).cast(docs.schema[id_column].dataType)
-    return both.select(name.alias(id_column), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+    name = F.when(F.col("id") != NO_ID, F.col("id")).cast(docs.schema[id_column].dataType)
+    return both.select(name.alias(id_column), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *(F.col(f"rest.{c}").alias(c) for c in carry))

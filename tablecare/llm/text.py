@@ -45,6 +45,15 @@ class Texts:
         """A-Z as a-z; other letters stay."""
         return Texts(self.rows, _LOWER[self.data], self.offs)
 
+    def taken(self, rows: np.ndarray) -> Texts:
+        """Some of the rows, ascending."""
+        if len(rows) == len(self):
+            return self
+        n = np.diff(self.offs)[rows]
+        offs = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+        data = np.concatenate([self.data[self.offs[r] : self.offs[r + 1]] for r in rows]) if len(rows) else self.data[:0]
+        return Texts(self.rows.take(pa.array(rows)), data, offs)
+
     def row_of(self, at: np.ndarray) -> np.ndarray:
         """The row of each byte position."""
         return np.searchsorted(self.offs, at, side="right") - 1
