@@ -201,6 +201,16 @@ def score(docs: DataFrame, model: Model | None, id_column: str = "doc_id", text:
     return map_texts(docs.select(id_column, F.col(text).alias("text")), work, f"`{id_column}` {kind}, score double")
 
 
+def accepted(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, as they are, that are predicted to be good; all, if there is nothing to learn from."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+
+    def work(part: Texts) -> pa.RecordBatch:
+        return part.rows if shared.value is None else part.rows.filter(pa.array(shared.value(features(part)) >= THRESHOLD))
+
+    return map_texts(docs, work, docs.schema, text)
+
+
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) per row of ``docs``."""
     return score(docs, train(docs, labels)).select(

@@ -266,6 +266,22 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", folds: int
     return model
 
 
+def judge(part: Texts, model: Model, table: np.ndarray) -> tuple[np.ndarray, list[list[dict]]]:
+    """The score of each text, and its significant passages."""
+    index, scores, starts, ends, rows = hits(part, model, table)
+    best, n = np.zeros(len(part)), np.bincount(rows, minlength=len(part))
+    firsts = np.cumsum(n) - n
+    found: list[list[dict]] = [[] for _ in range(len(part))]
+    for row, many, places, own in _by_row(index, scores, rows, len(part)):
+        parts = segments(places, own, model.miss)
+        best[row] = max(s for s, _, _ in parts)
+        sure = np.log(model.k * many / SIGNIFICANT) / model.lam
+        found[row] = [{"score": s, "first": int(starts[firsts[row] + a] - part.offs[row]), "end": int(ends[firsts[row] + b] - part.offs[row])}
+                      for s, a, b in parts if s > sure]
+    x = surprise(best, n, model.lam, model.k).clip(0, 100)
+    return 1 / (1 + np.exp(-np.clip(model.a * x + model.b, -500, 500))), found
+
+
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, score, n_passages, passages) per row; passages: score, first and end byte of each significant toxic passage."""
     shared = docs.sparkSession.sparkContext.broadcast((model, model.table()))
@@ -273,19 +289,7 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str =
     spans = pa.list_(pa.struct([("score", pa.float64()), ("first", pa.int64()), ("end", pa.int64())]))
 
     def work(part: Texts) -> pa.RecordBatch:
-        model, table = shared.value
-        index, scores, starts, ends, rows = hits(part, model, table)
-        best, n = np.zeros(len(part)), np.bincount(rows, minlength=len(part))
-        firsts = np.cumsum(n) - n
-        found: list[list[dict]] = [[] for _ in range(len(part))]
-        for row, many, places, own in _by_row(index, scores, rows, len(part)):
-            parts = segments(places, own, model.miss)
-            best[row] = max(s for s, _, _ in parts)
-            sure = np.log(model.k * many / SIGNIFICANT) / model.lam
-            found[row] = [{"score": s, "first": int(starts[firsts[row] + a] - part.offs[row]), "end": int(ends[firsts[row] + b] - part.offs[row])}
-                          for s, a, b in parts if s > sure]
-        x = surprise(best, n, model.lam, model.k).clip(0, 100)
-        p = 1 / (1 + np.exp(-np.clip(model.a * x + model.b, -500, 500)))
+        p, found = judge(part, *shared.value)
         return pa.RecordBatch.from_arrays([part.rows.column(0), pa.array(p), pa.array([len(x) for x in found], pa.int32()), pa.array(found, spans)],
                                           names=[id_column, "score", "n_passages", "passages"])
 
@@ -293,6 +297,17 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str =
                      f"`{id_column}` {kind}, score double, n_passages int, passages array<struct<score: double, first: bigint, `end`: bigint>>")
 
 
+def accepted(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, as they are, that are not predicted to be toxic."""
+    model = train(docs, labels)
+    shared = docs.sparkSession.sparkContext.broadcast((model, model.table()))
+
+    def work(part: Texts) -> pa.RecordBatch:
+        return part.rows.filter(pa.array(judge(part, *shared.value)[0] < THRESHOLD))
+
+    return map_texts(docs, work, docs.schema, text)
+
+
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted, n_passages) per row of ``docs``."""
     return score(docs, train(docs, labels)).select(
