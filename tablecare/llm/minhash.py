@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablecare.llm.links import components, stored
+from tablecare.llm.links import bit_filter, components, passes, stored
 from tablecare.llm.text import Texts, bounded_batches, map_texts, packed, unpacked, window_hashes, span_hashes
 
 WORDS = 5
@@ -36,8 +36,9 @@ SIMILAR = 75
 SURE = 6.0
 #: Values whose counts are known when lists are ordered; the others count as rare.
 COMMON_VALUES = 1 << 20
-#: Bits of the filter of texts whose full sets are needed; more texts than it can tell apart only cost time.
+#: Bits of the filters of texts that are asked for, and of values that more than one text lists.
 FILTER_BITS = 1 << 23
+VALUE_BITS = 1 << 26
 
 _NODES = "node long, n long, sketch binary"
 
@@ -113,9 +114,10 @@ def _common(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def _listed(nodes: DataFrame, k: int, similar: int) -> DataFrame:
     """The inverted lists' entries: value, node, n, room (values of the sketch from this one on), least (see shared_least)."""
-    common = nodes.sparkSession.sparkContext.broadcast(_common(nodes))
+    spark = nodes.sparkSession
+    common = spark.sparkContext.broadcast(_common(nodes))
 
-    def entries(batches):
+    def entries(batches, shared=None):
         values_known, seen_known = common.value
         for batch in batches:
             values, s = unpacked(batch.column(2), np.uint32)
@@ -127,27 +129,42 @@ def _listed(nodes: DataFrame, k: int, similar: int) -> DataFrame:
                 seen = np.where(values_known[at] == values, seen_known[at], 1)
             order = np.lexsort((values, seen, row))
             least = np.minimum(shared_least(n, k, similar), s)
-            take, kept = heads(s, 1 << 40)
             place = np.arange(len(values)) - np.repeat(np.cumsum(s) - s, s)
             use = place <= np.repeat(s - least, s)
+            if shared is None:
+                yield pa.RecordBatch.from_arrays([pa.array(values[order][use].astype(np.int64))], names=["value"])
+                continue
+            use &= passes(shared.value, values[order].astype(np.int64))
             row = row[use]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(values[order][use].astype(np.int64)), batch.column(0).take(pa.array(row)), pa.array(n[row]),
                  pa.array((s[row] - place[use]).astype(np.int32)), pa.array(least[row].astype(np.int32))],
                 names=["value", "node", "n", "room", "least"])
 
-    return nodes.select("node", "n", "sketch").mapInArrow(entries, "value long, node long, n long, room int, least int")
+    rows = nodes.select("node", "n", "sketch")
+    counted = rows.mapInArrow(entries, "value long").groupBy("value").agg(F.count("*").alias("many")).filter("many > 1")
+    shared = spark.sparkContext.broadcast(bit_filter(counted.select("value"), VALUE_BITS))
+    return rows.mapInArrow(lambda batches: entries(batches, shared), "value long, node long, n long, room int, least int")
 
 
 def _possible(a: str, b: str, k: int, similar: int) -> F.Column:
     """Sizes and places leave room for a link."""
     an, bn = F.col(f"{a}.n"), F.col(f"{b}.n")
-    needed = F.when(
-        (an * 100 <= k * similar) & (bn * 100 <= k * similar), F.ceil((an + bn) * similar / (100 + similar)).cast("long")
-    ).otherwise(F.greatest(f"{a}.least", f"{b}.least").cast("long"))
+    more = F.greatest(an, bn)
+    common = (an + bn) * similar / (100.0 + similar)  # of the full sets, at least
+    # of the k values that the larger set's sketch holds, so many are common but for chance
+    q = F.least(common / more, F.lit(1.0))
+    spread = F.sqrt(k * q * (1 - q) * F.greatest(more - k, F.lit(0)) / F.greatest(more - 1, F.lit(1)))
+    needed = F.when(more <= k, F.ceil(common)).otherwise(
+        F.least(F.ceil(common), F.floor(k * q - SURE * spread) - 1)).cast("long")
+    needed = F.greatest(needed, F.greatest(f"{a}.least", f"{b}.least").cast("long"))
     return (an * 100 >= bn * similar) & (bn * 100 >= an * similar) & (F.least(f"{a}.room", f"{b}.room") >= needed)
 
 
+def _nodes_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select("a").unionByName(pairs.select(F.col("b").alias("a")))
+
+
 def _estimated(pairs: DataFrame, nodes: DataFrame, k: int, similar: int) -> DataFrame:
     """The pairs (a, b) that the union of the two sketches doesn't rule out."""
     def judge(batches):
@@ -168,30 +185,29 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, k: int, similar: int) -> Data
                 keep.append(common >= j * of - SURE * math.sqrt(of * j * (1 - j)))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    one = nodes.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("sketch").alias("x"))
-    other = nodes.select(F.col("node").alias("b"), "n", F.col("sketch").alias("y"))
+    needed = nodes.sparkSession.sparkContext.broadcast(bit_filter(_nodes_of(pairs), FILTER_BITS))
+
+    def asked(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(passes(needed.value, batch.column(0).to_numpy())))
+
+    few = nodes.select("node", "n", "sketch").mapInArrow(asked, "node long, n long, sketch binary")
+    one = few.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("sketch").alias("x"))
+    other = few.select(F.col("node").alias("b"), "n", F.col("sketch").alias("y"))
     both = pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y", "m", "n")
     return both.mapInArrow(judge, "a long, b long")
 
 
 def _sets_of(pairs: DataFrame, docs: DataFrame, text: str, size: int) -> DataFrame:
     """(node, set) of the texts in ``pairs``: a filter of fixed size tells tasks which texts they need, so texts are not shuffled."""
-    spark = docs.sparkSession
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    slots = ids.select(F.pmod(F.col("node"), F.lit(FILTER_BITS)).alias("slot"))
-    rows = slots.groupBy(F.expr("cast(slot div 32 as int)").alias("at")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(slot % 32 as int))")).alias("bits")).toArrow()
-    bits = np.zeros(FILTER_BITS // 32, np.uint32)
-    bits[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().astype(np.uint32)
-    needed = spark.sparkContext.broadcast(bits)
+    needed = docs.sparkSession.sparkContext.broadcast(bit_filter(_nodes_of(pairs), FILTER_BITS))
 
     def work(part: Texts) -> pa.RecordBatch:
         from tablecare.llm.text import mix
 
         values, n = distinct_windows(part, size)
         node = mix(sums(mix(values ^ np.uint64(0x5851F42D4C957F2D)), n) + n.astype(np.uint64)).astype(np.int64)
-        slot = np.mod(node, FILTER_BITS)
-        use = (n > 0) & ((needed.value[slot // 32] >> (slot % 32).astype(np.uint32)) & 1 > 0)
+        use = (n > 0) & passes(needed.value, node)
         return pa.RecordBatch.from_arrays([pa.array(node[use]), packed(values[np.repeat(use, n)], n[use])], names=["node", "full"])
 
     found = map_texts(docs.select(F.col(text).alias("__text")), work, "node long, full binary", "__text")
@@ -229,7 +245,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     first = lists.alias("x").join(heads_of.alias("h"), "value").filter(
         (F.col("x.node") != F.col("h.node")) & _possible("x", "h", k, similar)
     ).select(F.col("h.node").alias("a"), F.col("x.node").alias("b")).distinct()
-    first = stored(_estimated(first, nodes, k, similar), "pairs")
+    first = stored(_estimated(stored(first, "near"), nodes, k, similar), "pairs")
     linked = stored(_verified(first, stored(_sets_of(first, docs, text, size), "sets"), similar), "linked")
 
     # texts already linked to one head, or to heads that are linked, need no comparison with each other
@@ -237,12 +253,18 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     open_lists = lists.join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_lists = stored(open_lists, "open")
     mixed = open_lists.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("value")
-    left = open_lists.join(mixed, "value")
+    own = open_lists.join(mixed, "value").groupBy("node", "n", "root", "least").agg(
+        F.sort_array(F.collect_list(F.struct((-F.col("room")).alias("at"), "value"))).alias("own"))
+    left = own.select("node", "n", "root", "least", F.posexplode("own").alias("place", "it"), F.expr("transform(own, x -> x.value)").alias("values")).select(
+        "node", "n", "root", "least", F.col("it.value").alias("value"), (-F.col("it.at")).alias("room"), F.expr("slice(values, 1, place)").alias("before"))
+    left = stored(left, "left")
     rest = left.alias("x").join(left.alias("y"), "value").filter(
         (F.col("x.root") != F.col("y.root")) & (F.struct("x.n", "x.node") < F.struct("y.n", "y.node")) & _possible("x", "y", k, similar)
+        & ~F.arrays_overlap("x.before", "y.before")  # each pair at its first common value only
     ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     done = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = stored(_estimated(rest.join(done, ["a", "b"], "left_anti"), nodes, k, similar), "pairs")
+    rest = stored(rest.join(done, ["a", "b"], "left_anti"), "near")
+    rest = stored(_estimated(rest, nodes, k, similar), "pairs")
     if rest.head(1):
         more = _verified(rest, stored(_sets_of(rest, docs, text, size), "sets"), similar)
         label = components(linked.unionByName(more))
