@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablecare.llm import covertree, dac, minhash, packing, quality, rules, suffixes, toxicity, weighting
+from tablecare.llm import covertree, dac, minhash, packing, quality, rules, suffixes, toxicity, transducer, weighting
 from tablecare.llm.text import read_table
 
 
@@ -33,6 +33,10 @@ def op6_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighting.scored(read_table(spark, sf_dir, "documents"))
 
 
+def op7_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transducer.round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.without_repeats(read_table(spark, sf_dir, "documents"), digest_only=True).drop("kept")
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op4_quality": (op4_quality, None),
     "op5_rules": (op5_rules, None),
     "op6_context_tree": (op6_context_tree, None),
+    "op7_transducer": (op7_transducer, None),
     "op8_suffixes": (op8_suffixes, None),
     "op9_packing": (op9_packing, None),
     "op10_toxicity": (op10_toxicity, None),
