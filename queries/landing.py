@@ -8,10 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablecare.functions.dates import parse_timestamp
 from queries.tables import WITH_DIRTY, dirty_orders, table
 from tablecare.scratch import new_path
 from tablecare.sources import (
-    encodings, load_summary, manifest, read_csv, read_csv_checked, read_csv_files, read_json, read_parquet, write_csv,
+    encodings, load_summary, manifest, read_csv, read_csv_files, read_json, read_parquet, write_csv,
     write_parquet,
 )
 
@@ -19,7 +20,7 @@ from tablecare.sources import (
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "orders-csv")
     write_csv(dirty_orders(spark, sf_dir), path)
-    return read_csv(spark, path).selectExpr(
+    return read_csv(spark, path)[0].selectExpr(
         "CAST(o_orderkey AS BIGINT) AS o_orderkey", "CAST(amount AS DOUBLE) AS amount", "cust_txt", "priority", "status", "note"
     )
 
@@ -31,11 +32,40 @@ def csv_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     # one column named like the header; with tabs as separator nothing is quoted
     lines = table(spark, sf_dir, "events").select(line.alias("event_id,event_type"))
     lines.write.option("header", True).option("sep", "\t").csv(path)
-    good, rejects = read_csv_checked(spark, path)
+    good, rejects = read_csv(spark, path)
     return good.agg(F.count("*").alias("n")).select(F.lit("good").alias("part"), "n").unionByName(
         rejects.agg(F.count("*").alias("n")).select(F.lit("rejects").alias("part"), "n"))
 
 
+def csv_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts, with quotes and line breaks, come back as they were."""
+    path = new_path(spark, "documents-csv")
+    write_csv(table(spark, sf_dir, "documents"), path)
+    good, rejects = read_csv(spark, path)
+    return good.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.md5("text").alias("text_md5"), "lang", "source").unionByName(
+        rejects.select(F.lit(None).cast("bigint").alias("doc_id"), F.md5("line").alias("text_md5"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source")))
+
+
+def csv_short_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of orders with one, two, three or four fields under a header of three."""
+    path = new_path(spark, "orders-csv")
+    key = F.col("o_orderkey")
+    fields = [key.cast("string"), F.when(key % 4 != 1, F.col("o_orderstatus")), F.when(key % 4 > 2, F.col("o_orderpriority")), F.when(key % 7 == 0, F.lit("extra"))]
+    line = F.concat_ws(",", *[f if i != 3 else F.when(key % 4 > 2, f) for i, f in enumerate(fields)])
+    table(spark, sf_dir, "orders").select(line.alias("k,status,priority")).write.option("header", True).option("sep", "\t").csv(path)
+    good, rejects = read_csv(spark, path)
+    return good.select(F.lit("good").alias("part"), F.col("k").cast("bigint").alias("k"), "status", "priority").unionByName(
+        rejects.select(F.lit("reject").alias("part"), F.split("line", ",")[0].cast("bigint").alias("k"), F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("priority")))
+
+
+def csv_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timestamps keep their microseconds and are read as such."""
+    path = new_path(spark, "events-csv")
+    write_csv(table(spark, sf_dir, "events").select("event_id", "ts"), path)
+    good, _ = read_csv(spark, path)
+    return good.select(F.col("event_id").cast("bigint").alias("event_id"), F.unix_micros(parse_timestamp(F.col("ts"))).alias("micros"))
+
+
 def json_lines_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "documents-json")
     docs = table(spark, sf_dir, "documents")
@@ -82,10 +112,10 @@ def landing_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
     for encoding, sign in (("UTF-8", "日本"), ("ISO-8859-1", "é"), ("ISO-8859-1", "\x80")):
         path = new_path(spark, "customers-csv")
         part = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit(sign), F.col("c_mktsegment")).alias("segment"))
-        part.coalesce(1).write.option("header", True).option("encoding", encoding).csv(path)
+        part.write.option("header", True).option("encoding", encoding).csv(path)
         paths.append(path)
     files = [r["path"] for r in encodings(spark, paths).select("path").collect()]
-    return read_csv_files(spark, files).groupBy("segment").agg(F.count("*").alias("n"))
+    return read_csv_files(spark, files)[0].groupBy("segment").agg(F.count("*").alias("n"))
 
 
 QUERIES = {
@@ -93,6 +123,11 @@ QUERIES = {
         CASE WHEN status <> 'n/a' THEN status END AS status, note FROM dirty"""),
     "source_csv_rejects": (csv_rejects, """SELECT 'good' AS part, count(*) AS n FROM events WHERE user_id % 10 <> 0
         UNION ALL SELECT 'rejects', count(*) FROM events WHERE user_id % 10 = 0"""),
+    "source_csv_documents": (csv_documents, "SELECT doc_id, md5(text) AS text_md5, lang, source FROM documents"),
+    "source_csv_short_rows": (csv_short_rows, """SELECT CASE WHEN o_orderkey % 4 > 2 AND o_orderkey % 7 = 0 THEN 'reject' ELSE 'good' END AS part, o_orderkey AS k,
+        CASE WHEN o_orderkey % 4 <> 1 AND NOT (o_orderkey % 4 > 2 AND o_orderkey % 7 = 0) THEN o_orderstatus END AS status,
+        CASE WHEN o_orderkey % 4 > 2 AND o_orderkey % 7 <> 0 THEN o_orderpriority END AS priority FROM orders"""),
+    "source_csv_events": (csv_events, "SELECT event_id, epoch_us(ts) AS micros FROM events"),
     "source_json_lines": (json_lines_round_trip, "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents"),
     "source_json_rejects": (json_rejects, """SELECT 'good' AS part, count(*) AS n, sum(CAST(json_extract(props, '$.k') AS BIGINT))::BIGINT AS k
         FROM events WHERE user_id % 10 <> 0 UNION ALL SELECT 'rejects', count(*), NULL FROM events WHERE user_id % 10 = 0"""),

@@ -16,13 +16,31 @@ DEFAULT_FORMATS = (
     "yyyy-MM-dd'T'HH:mm:ss",
     "MM/dd/yyyy",
     "dd/MM/yyyy",
+    "yyyy-MM-dd HH:mm:ss.SSSSSS",
+    "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+    "yyyy-MM-dd HH:mm",
+    "yyyy-MM-dd'T'HH:mm",
+    "yyyy-MM-dd'T'HH:mm:ssXXX",
+    "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "yyyy-MM-dd HH:mm:ssXXX",
+    "yyyy/MM/dd",
+    "MM-dd-yyyy",
+    "dd-MM-yyyy",
+    "d MMM yyyy",
+    "d MMMM yyyy",
+    "MMM d, yyyy",
+    "MMMM d, yyyy",
 )
 
+#: Every text that a default format can fit.
+MAYBE_DATE = r"^(?:\d{1,4}[-/ ]|\p{L}{3,} \d)[^\n]{4,32}$"
+
 _FIELD_SHAPES = {
-    "yyyy": r"\d{4}", "yy": r"\d{2}", "MMMM": r"\p{L}+", "MMM": r"\p{L}+\.?",
+    "yyyy": r"\d{4}", "yy": r"\d{2}", "MMMM": r"\p{L}{4,}", "MMM": r"\p{L}{3}",
     "MM": r"(?:0[1-9]|1[0-2])", "M": r"(?:0?[1-9]|1[0-2])",
     "dd": r"(?:0[1-9]|[12]\d|3[01])", "d": r"(?:0?[1-9]|[12]\d|3[01])",
     "HH": r"(?:[01]\d|2[0-3])", "H": r"(?:[01]?\d|2[0-3])", "mm": r"[0-5]\d", "ss": r"[0-5]\d",
+    "SSSSSS": r"\d{1,6}", "XXX": r"(?:Z|[+-](?:0\d|1[0-8]):[0-5]\d)",
 }
 
 
@@ -55,7 +73,8 @@ def parse_timestamp(c: Column, formats=DEFAULT_FORMATS) -> Column:
         parsed = F.try_to_timestamp(text, F.lit(fmt))
         shape = format_shape(fmt)
         attempts.append(F.when(text.rlike(shape), parsed) if shape else parsed)
-    return F.coalesce(*attempts)
+    # most texts that are no dates fail this one test
+    return F.when(text.rlike(MAYBE_DATE), F.coalesce(*attempts)) if formats == DEFAULT_FORMATS else F.coalesce(*attempts)
 
 
 # period -> (label of the bucket a timestamp falls in, step between labels)

@@ -2,12 +2,12 @@
 
 from tablecare.sources.landing import encodings, load_summary, manifest, read_csv_files
 from tablecare.sources.readers import (
-    SourceError, check_table, null_tokens, read_csv, read_csv_checked, read_json, read_json_columns, read_parquet,
+    SourceError, check_table, null_tokens, read_csv, read_json, read_json_columns, read_parquet,
 )
 from tablecare.sources.writers import write_csv, write_parquet
 
 __all__ = [
     "SourceError", "check_table", "encodings", "load_summary", "manifest", "null_tokens", "read_csv",
-    "read_csv_checked", "read_csv_files", "read_json", "read_json_columns", "read_parquet", "write_csv",
+    "read_csv_files", "read_json", "read_json_columns", "read_parquet", "write_csv",
     "write_parquet",
 ]

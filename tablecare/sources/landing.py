@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from tablecare.operators.schema import column
 from tablecare.sources.readers import read_csv
 
-# Size limit, formats, and the first bytes that tell a format.
-MAX_BYTES = 500 * 1024 * 1024
+# Formats, and the first bytes that tell a format.
 SUPPORTED = ("csv", "xlsx", "xls", "json", "parquet")
 OFFICE = ("xlsx", "xls")
 SIGNATURES = (("504B0304", "xlsx"), ("D0CF11E0", "xls"), ("50415231", "parquet"))
@@ -34,13 +33,14 @@ def format_of(ext: Column, signature: Column) -> Column:
     return F.when(office, signature).when(ext.isin(*SUPPORTED), ext).otherwise(signature)
 
 
-def manifest(spark: SparkSession, folder: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+def manifest(spark: SparkSession, folder: str, max_bytes: int | None = None) -> DataFrame:
     """``(path, length, format, reason)`` of all files below *folder*.
 
     *reason* is null, ``too large`` or ``unsupported``. Spark lists no empty
     files. The listing reads names and sizes only; contents are opened just for files whose
-    extension does not settle the format, and never above the limit.
+    extension does not settle the format, and never above the limit, if one is given.
     """
+    max_bytes = 2**63 - 1 if max_bytes is None else max_bytes
     listed = _files(spark, folder).select("path", "length", extension(F.col("path")).alias("ext"))
     settled = F.col("ext").isin(*[e for e in SUPPORTED if e not in OFFICE])
     unclear = [r["path"] for r in listed.where(~settled & (F.col("length") <= max_bytes)).select("path").collect()]
@@ -96,18 +96,19 @@ def _windows_signs(df: DataFrame) -> DataFrame:
     ])
 
 
-def read_csv_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """CSV files of mixed encodings as one table, matched by column name."""
+def read_csv_files(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``(rows, rejects)`` of CSV files of mixed encodings as one table, matched by column name."""
     groups: dict[str, list[str]] = {}
     for r in encodings(spark, paths).collect():
         groups.setdefault(r["encoding"], []).append(r["path"])
     parts = []
     for encoding, files in sorted(groups.items()):
         if encoding == "windows-1252":
-            parts.append(_windows_signs(read_csv(spark, files, encoding="ISO-8859-1")))
+            parts.append(tuple(map(_windows_signs, read_csv(spark, files, encoding="ISO-8859-1"))))
         else:
             parts.append(read_csv(spark, files, encoding=encoding))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    rows, rejects = (reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), side) for side in zip(*parts))
+    return rows, rejects
 
 
 def load_summary(spark: SparkSession, path: str, fmt: str, df: DataFrame) -> DataFrame:

@@ -18,6 +18,8 @@ NULL_TOKENS = (
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 CORRUPT = "__corrupt"
+# Empty fields are read as empty texts, so that only fields that are not there are null.
+NO_FIELD = "\x00no field\x00"
 WIDE_TABLE = 500
 
 
@@ -41,6 +43,7 @@ def null_tokens(df: DataFrame, tokens: Sequence[str] = NULL_TOKENS) -> DataFrame
 def _csv(spark: SparkSession, encoding: str, multi_line: bool, sep: str):
     return (
         spark.read.option("header", True).option("sep", sep).option("escape", '"')
+        .option("nullValue", NO_FIELD).option("emptyValue", "")
         .option("encoding", encoding).option("multiLine", multi_line).option("enforceSchema", False)
     )
 
@@ -50,31 +53,19 @@ def read_csv(
     path: str | list[str],
     *,
     encoding: str = "UTF-8",
-    multi_line: bool = False,
+    multi_line: bool = True,
     sep: str = ",",
     tokens: Sequence[str] = NULL_TOKENS,
-) -> DataFrame:
-    """A CSV file or folder with a header; every column stays text.
+) -> tuple[DataFrame, DataFrame]:
+    """``(rows, rejects)`` of a CSV file or folder with a header; every column stays text.
 
     Types are given later by explicit cleaning steps, so no pass is spent on
-    guessing them. *multi_line* allows line breaks inside quotes but keeps
-    Spark from splitting a file.
-    """
-    return read_csv_checked(spark, path, encoding=encoding, multi_line=multi_line, sep=sep, tokens=tokens)[0]
-
-
-def read_csv_checked(
-    spark: SparkSession,
-    path: str | list[str],
-    *,
-    encoding: str = "UTF-8",
-    multi_line: bool = False,
-    sep: str = ",",
-    tokens: Sequence[str] = NULL_TOKENS,
-) -> tuple[DataFrame, DataFrame]:
-    """``(rows, rejects)``: good rows, and ``(line)`` of rows that do not fit the header.
+    guessing them. Rows with too few fields are filled up with nulls; ``(line)``
+    of those with too many are the rejects. Files of one folder need the same
+    header; another one is an error when read.
 
-    Files of one folder need the same header; another one is an error when read.
+    Quotes may hold line breaks, which keeps Spark from splitting a file. Where
+    none do, ``multi_line=False`` lets large files be split.
     """
     try:
         header = _csv(spark, encoding, multi_line, sep).csv(path).columns
@@ -87,7 +78,9 @@ def read_csv_checked(
         _csv(spark, encoding, multi_line, sep)
         .option("columnPruning", False).option("columnNameOfCorruptRecord", CORRUPT).schema(schema).csv(path)
     )
-    good, rejects = _split(rows)
+    # a line that has too few fields lacks the last; one that has too many does not
+    short = F.col(CORRUPT).isNotNull() & column(header[-1]).isNull()
+    good, rejects = _split(rows.withColumn(CORRUPT, F.when(~short, F.col(CORRUPT))))
     return null_tokens(good, tokens), rejects
 
 
