@@ -4,18 +4,21 @@ Row-wise operations are plain projections and filters; they also accept a
 streaming DataFrame. Operations that need figures of the whole column (fill,
 clip, label map) compute them once with an aggregate when applied and put them
 into the plan as literals, so the table itself is neither joined nor shuffled.
-None of the expressions can fail on a value at run time: what does not parse
-becomes null.
+No step can fail on a value at run time: what does not parse becomes null, and
+SQL of the user is planned with ANSI mode off, where a bad cast, a zero divisor
+or an index out of range gives null.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
+from functools import reduce
 from typing import Any, ClassVar
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablecare.functions.dates import DEFAULT_FORMATS, parse_timestamp
@@ -219,7 +222,8 @@ class DropMissing(Op):
     cols: Sequence[str] | None = None
 
     def apply(self, df: DataFrame) -> DataFrame:
-        return df.dropna(how="any", subset=list(self.cols) if self.cols else None)
+        names = list(self.cols) if self.cols else df.columns
+        return df.where(reduce(lambda a, b: a & b, [present(df, c).isNotNull() for c in names])) if names else df
 
 
 @dataclass(frozen=True)
@@ -240,7 +244,9 @@ class Dedupe(Op):
 
     def apply(self, df: DataFrame) -> DataFrame:
         if not self.subset:
-            return df.dropDuplicates()
+            # equal by their keys: NaN is as missing, and entries of a map have no order
+            keys = {f"__k{i}": F.coalesce(as_text(df, c), F.lit("")) if k == "nested" else present(df, c) for i, (c, k) in enumerate(kinds(df).items())}
+            return df.withColumns(keys).dropDuplicates(list(keys)).drop(*keys) if keys else df
         if not self.order_by:
             raise ValueError("order_by is needed to know the first row of a subset")
         w = Window.partitionBy(*[column(c) for c in self.subset]).orderBy(*[column(c) for c in self.order_by])
@@ -331,11 +337,11 @@ class MapLabels(Op):
         return [self.col]
 
     def apply(self, df: DataFrame) -> DataFrame:
-        labels = label_spellings(df, [self.col]).select("label", "canonical")
+        labels = label_spellings(df, [self.col]).select(F.col("label").alias("__label"), F.col("canonical").alias("__canonical"))
         side = small_side(labels)
-        new = F.coalesce(F.col("canonical"), column(self.col)).alias(self.col)
+        new = F.coalesce(F.col("__canonical"), column(self.col)).alias(self.col)
         return (
-            df.join(side, label_key(column(self.col)) == F.col("label"), "left")
+            df.join(side, label_key(column(self.col)) == F.col("__label"), "left")
             .select(*[new if c == self.col else column(c) for c in df.columns])
         )
 
@@ -348,8 +354,12 @@ class Derive(Op):
     name: str = ""
     sql: str = ""
 
+    def columns(self) -> list[str]:
+        return names_in(self.sql)
+
     def apply(self, df: DataFrame) -> DataFrame:
-        return df.withColumn(self.name, expression(self.sql))
+        with lenient(df.sparkSession):
+            return df.withColumn(self.name, expression(self.sql))
 
 
 @dataclass(frozen=True)
@@ -375,8 +385,12 @@ class Where(Op):
     type: ClassVar[str] = "filter_rows"
     sql: str = ""
 
+    def columns(self) -> list[str]:
+        return names_in(self.sql)
+
     def apply(self, df: DataFrame) -> DataFrame:
-        return df.where(expression(self.sql))
+        with lenient(df.sparkSession):
+            return df.where(expression(self.sql))
 
 
 @dataclass(frozen=True)
@@ -399,6 +413,37 @@ class Head(Op):
 _REFUSED = ("reflect", "java_method", "try_reflect")
 
 
+@contextmanager
+def lenient(spark: SparkSession) -> Iterator[None]:
+    """What is planned inside gives null where ANSI mode would fail."""
+    key = "spark.sql.ansi.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def names_in(sql: str) -> list[str]:
+    """The columns that a SQL expression names: words and quoted names that are neither called nor keywords."""
+    bare = re.sub(r"'(?:[^'\\]|\\.|'')*'", " ", sql)
+    quoted = re.findall(r"`((?:[^`]|``)+)`", bare)
+    bare = re.sub(r"`(?:[^`]|``)+`", " ", bare)
+    words = re.findall(r"(?<![\w.:])([A-Za-z_]\w*)(?!\w|\s*\(|\s*->)", bare)
+    bound = {w for group in re.findall(r"\(?([\w,\s]+?)\)?\s*->", bare) for w in re.findall(r"\w+", group)}
+    found = [q.replace("``", "`") for q in quoted] + [w for w in words if w.upper() not in _KEYWORDS and w not in bound]
+    return list(dict.fromkeys(found))
+
+
+# Words of expressions that are no columns.
+_KEYWORDS = frozenset(
+    "AND OR NOT IN IS NULL TRUE FALSE CASE WHEN THEN ELSE END BETWEEN LIKE ILIKE RLIKE REGEXP ESCAPE DISTINCT AS FROM ALL ANY SOME CAST "
+    "DIV INTERVAL DATE TIMESTAMP YEAR YEARS MONTH MONTHS WEEK WEEKS DAY DAYS HOUR HOURS MINUTE MINUTES SECOND SECONDS INT INTEGER BIGINT LONG "
+    "SMALLINT TINYINT DOUBLE FLOAT REAL DECIMAL NUMERIC STRING VARCHAR CHAR BOOLEAN BINARY ARRAY MAP STRUCT FOR BOTH LEADING TRAILING "
+    "CURRENT_DATE CURRENT_TIMESTAMP CURRENT_USER FILTER WHERE".split())
+
+
 def expression(sql: str) -> Column:
     """A SQL expression as a Column; calls into arbitrary Java code are refused."""
     called = {m.lower() for m in re.findall(r"`?(\w+)`?\s*\(", sql)}

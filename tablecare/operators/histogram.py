@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tablecare.functions.dates import DEFAULT_FORMATS, parse_timestamp
 from tablecare.functions.numbers import looks_number
 from tablecare.functions.text import strip
+from tablecare.operators.schema import column
 
 # Longer texts are shuffled as a digest. The digest form is 65 bytes long, so it
 # can never be mistaken for a text that is kept as it is.
@@ -81,6 +82,6 @@ def top_values(counts: DataFrame, k: int) -> DataFrame:
 def column_value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``(column, value, n)`` over the text form of the columns, values whole."""
     names = columns or df.columns
-    by_pos = {str(i): F.col(f"`{n}`").cast("string") for i, n in enumerate(names)}
+    by_pos = {str(i): column(n).cast("string") for i, n in enumerate(names)}
     label = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("pos").cast("int") + 1)
     return value_counts(df, by_pos).select(label.alias("column"), "value", "n")

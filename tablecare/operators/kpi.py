@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablecare.functions.numbers import finite
-from tablecare.operators.clean import expression
+from tablecare.operators.clean import expression, lenient
 from tablecare.operators.quantiles import exact_quantiles
 
 PRIORITIES = ("high", "medium", "low")
@@ -18,6 +19,10 @@ SCORECARDS = 6
 _SCHEMA = "position int, kpi string, value double, unit string, priority string"
 
 
+# Aggregates that keep all values of a column in one task.
+_HELD = re.compile(r"\b(median|percentile|percentile_cont|percentile_disc|mode|collect_list|collect_set|array_agg|listagg|string_agg|histogram_numeric)\s*\(", re.IGNORECASE)
+
+
 @dataclass(frozen=True)
 class Kpi:
     """A named figure. *sql* is an aggregate, such as ``sum(price * quantity)``.
@@ -57,6 +62,9 @@ def mean_age_days(column: str, as_of: str = "current_timestamp()") -> str:
 def _works(df: DataFrame, kpi: Kpi) -> bool:
     """Does the expression fit the table and give one number?"""
     try:
+        held = _HELD.search(kpi.sql)
+        if held:
+            raise ValueError(f"{held.group(1)} holds all values in one task: use quantile=")
         if kpi.quantile is None:
             field = df.agg(expression(kpi.sql).cast("double").alias("v")).schema["v"]
         else:
@@ -68,7 +76,8 @@ def _works(df: DataFrame, kpi: Kpi) -> bool:
 
 def screen_kpis(df: DataFrame, kpis: Sequence[Kpi]) -> list[Kpi]:
     """The KPIs whose expressions name only what the table has."""
-    return [k for k in kpis if _works(df, k)]
+    with lenient(df.sparkSession):
+        return [k for k in kpis if _works(df, _ranked(k))]
 
 
 def kpis(df: DataFrame, wanted: Sequence[Kpi]) -> DataFrame:
@@ -77,6 +86,18 @@ def kpis(df: DataFrame, wanted: Sequence[Kpi]) -> DataFrame:
     Aggregates share one scan. Quantiles are exact at any size and need a
     second one (:func:`exact_quantiles`).
     """
+    wanted = [_ranked(k) for k in wanted]
+    with lenient(df.sparkSession):
+        return _kpis(df, wanted)
+
+
+def _ranked(kpi: Kpi) -> Kpi:
+    """A plain median as a quantile, which no task has to hold."""
+    found = re.fullmatch(r"\s*median\s*\(([^()]*(?:\([^()]*\)[^()]*)*)\)\s*", kpi.sql, re.IGNORECASE)
+    return replace(kpi, sql=found.group(1), quantile=0.5) if found and kpi.quantile is None else kpi
+
+
+def _kpis(df: DataFrame, wanted: Sequence[Kpi]) -> DataFrame:
     good = set(screen_kpis(df, wanted))
     plain = [k for k in wanted if k in good and k.quantile is None]
     ranked = [k for k in wanted if k in good and k.quantile is not None]

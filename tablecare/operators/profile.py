@@ -148,7 +148,7 @@ def row_key(df: DataFrame) -> list[Column]:
     """
     keys = []
     for i, (name, kind) in enumerate(kinds(df).items()):
-        c = text_key(as_text(df, name)) if kind in ("text", "nested") else column(name)
+        c = text_key(as_text(df, name)) if kind in ("text", "nested") else present(df, name)
         keys.append(c.alias(f"k{i}"))
     return keys
 

@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablecare.functions.text import strip
 from tablecare.operators.joins import small_side
 from tablecare.plans.plan import RUN_ORDER
 
@@ -36,10 +37,16 @@ COLUMN_REFERENCE = r"""df\[['"]([^'"]+)['"]\]"""
 
 
 def unfence(text: Column) -> Column:
-    """The text without a Markdown code fence or single back-ticks around it."""
-    fenced = F.regexp_extract(text, r"(?s)^\s*```(?:json|JSON)?\s*(.*?)\s*```\s*$", 1)
-    ticked = F.regexp_extract(F.trim(text), r"^`(.+)`$", 1)
-    return F.when(fenced != "", fenced).when(ticked != "", ticked).otherwise(text)
+    """The text without a Markdown code fence or single back-ticks around it.
+
+    An opening fence goes with the language word behind it, then the closing one.
+    """
+    bare = strip(text)
+    open_, close = bare.startswith("```"), bare.endswith("```")
+    inside = strip(F.regexp_replace(bare.substr(F.lit(4), F.greatest(F.length(bare) - 6, F.lit(0))), r"^\w+(?=[\s{\[])", ""))
+    ticked = bare.substr(F.lit(2), F.greatest(F.length(bare) - 2, F.lit(0)))
+    one = bare.startswith("`") & bare.endswith("`") & (F.length(bare) > 2)
+    return F.when(open_ & close & (inside != ""), inside).when(one & ~open_, ticked).otherwise(text)
 
 
 def is_json(text: Column) -> Column:

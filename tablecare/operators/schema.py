@@ -38,11 +38,29 @@ def present(df: DataFrame, name: str) -> Column:
     return c
 
 
+def _ordered(c: Column, dtype: T.DataType) -> Column:
+    """The value with the entries of maps, at any depth, as arrays in order."""
+    if isinstance(dtype, T.MapType):
+        pairs = F.transform(F.map_entries(c), lambda e: F.struct(
+            F.to_json(F.array(_ordered(e["key"], dtype.keyType))).alias("key"), F.to_json(F.array(_ordered(e["value"], dtype.valueType))).alias("value")))
+        return F.sort_array(pairs)
+    if isinstance(dtype, T.ArrayType) and _has_map(dtype):
+        return F.transform(c, lambda x: _ordered(x, dtype.elementType))
+    if isinstance(dtype, T.StructType) and _has_map(dtype):
+        return F.when(c.isNotNull(), F.struct(*[_ordered(c.getField(f.name), f.dataType).alias(f.name) for f in dtype.fields]))
+    return c
+
+
+def _has_map(dtype: T.DataType) -> bool:
+    inner = [dtype.elementType] if isinstance(dtype, T.ArrayType) else [f.dataType for f in dtype.fields] if isinstance(dtype, T.StructType) else []
+    return isinstance(dtype, T.MapType) or any(map(_has_map, inner))
+
+
 def as_text(df: DataFrame, name: str) -> Column:
     """A text form in which equal values, and only those, are equal."""
     dtype = df.schema[name].dataType
     if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
-        return F.to_json(column(name))
+        return F.to_json(_ordered(column(name), dtype))
     if isinstance(dtype, T.BinaryType):
         return F.hex(column(name))
     return column(name).cast("string")

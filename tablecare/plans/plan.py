@@ -72,7 +72,7 @@ class Plan:
                 for op, step in zip(group, steps):
                     done, error = _try(step, current)
                     if error is None:
-                        names.update(_names_after(names, step.mapping(current)))
+                        names.update(names_after(names, step.mapping(current)))
                         current = done
                     steps_done.append((op, current, error))
             for op, _, error in steps_done:
@@ -95,7 +95,7 @@ def _try(op: Op, df: DataFrame) -> tuple[DataFrame, str | None]:
         return df, f"{type(error).__name__}: {str(error).splitlines()[0]}"
 
 
-def _names_after(before: dict[str, str], new: dict[str, str]) -> dict[str, str]:
+def names_after(before: dict[str, str], new: dict[str, str]) -> dict[str, str]:
     """Names known so far, followed through another rename."""
     return {**{old: new.get(name, name) for old, name in before.items()}, **new}
 

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from tablecare.functions.text import MISSING_LABELS
+from tablecare.functions.text import MISSING_LABELS, label_key
 from tablecare.operators.clean import (
     Dedupe, DropMissing, Fill, MissingLabels, Op, SplitMixed, Strip, Title, ToNumber, ToTimestamp,
     label_spellings,
@@ -25,7 +25,7 @@ def label_evidence(df: DataFrame, columns: list[str]) -> DataFrame:
     varied = label_spellings(df, columns).groupBy("column").agg(F.lit(True).alias("varied"))
     missing = (
         column_value_counts(df, columns)
-        .where(F.lower(F.trim("value")).isin(*MISSING_LABELS))
+        .where(label_key(F.col("value")).isin(*MISSING_LABELS))
         .groupBy("column").agg(F.lit(True).alias("missing"))
     )
     return varied.join(missing, "column", "full")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from tablecare.plans.plan import Plan
+from tablecare.plans.plan import Plan, names_after
 
 
 def clean_stream(df: DataFrame, plan: Plan) -> DataFrame:
@@ -12,6 +12,10 @@ def clean_stream(df: DataFrame, plan: Plan) -> DataFrame:
     wide = [op.id or op.type for op in plan.ops if not op.row_wise]
     if wide:
         raise ValueError(f"not row-wise, needs a finished table: {', '.join(wide)}")
+    names: dict[str, str] = {}
     for op in plan.ops:
-        df = op.apply(df)
+        step = op.renamed(names)
+        new = step.mapping(df)
+        names = names_after(names, new)
+        df = step.apply(df)
     return df
