@@ -75,7 +75,7 @@ PLAN = Plan([
     Rename({"cust_txt": "customer", "date_txt": "ordered"}, id="rename"),
     DropMissing(["ordered"], id="drop_undated"),
     Dedupe(["customer", "ordered"], ["o_orderkey"], id="dedupe"),
-    Where("no_such_column > 1", id="broken"),
+    Where("no_such_column > 1", id="broken"),  # names what the table lacks, so screening drops it
     Derive("total", "amount * 2", id="derive_total"),
 ])
 
@@ -213,8 +213,7 @@ QUERIES = {
         (4, 'fill_amount', 'fill_missing', 'ok'), (5, 'fill_customer', 'fill_missing', 'ok'),
         (6, 'drop_undated', 'drop_missing', 'ok'), (7, 'dedupe', 'drop_duplicates', 'ok'),
         (8, 'drop_constant', 'drop_column', 'ok'), (9, 'clip_amount', 'clip_outliers', 'ok'),
-        (10, 'title_priority', 'standardize_categories', 'ok'), (11, 'broken', 'filter_rows', 'skip'),
-        (12, 'derive_total', 'derive_column', 'ok')) t(position, id, type, status)"""),
+        (10, 'title_priority', 'standardize_categories', 'ok'), (11, 'derive_total', 'derive_column', 'ok')) t(position, id, type, status)"""),
     "plan_proposals": (proposals_dirty, _PROPOSALS),
     "plan_proposals_applied": (proposals_applied, f"""{WITH_DIRTY}, known AS (SELECT *,
             CASE WHEN lower(trim(status)) NOT IN ('n/a', 'na') THEN trim(status) END AS s FROM dirty),
