@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from queries.profiling import DIRTY_TEXTS, _DIRTY_NUMBERS, _EVERY, _FLAGS, _WITH_FACTS, _type_case, duck_date, duck_number
+from queries.profiling import DIRTY_TEXTS, _DIRTY_NUMBERS, _EVERY, _FLAGS, _WITH_FACTS, _type_case, duck_date, duck_number, some_twice
 from queries.tables import WITH_DIRTY, dirty_orders, table
 from tablecare import profile
 from tablecare.operators.clean import (
@@ -45,8 +45,7 @@ def fill_mean_line_quantity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedupe_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_quantity", "l_returnflag", "l_linestatus")
-    return Dedupe().apply(lines)
+    return Dedupe().apply(some_twice(table(spark, sf_dir, "lineitem"), "l_orderkey"))
 
 
 def dedupe_first(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,7 +162,7 @@ QUERIES = {
         f"{WITH_DIRTY} SELECT o_orderkey, note FROM dirty WHERE amount IS NOT NULL AND status IS NOT NULL AND note IS NOT NULL"),
     "clean_drop_missing_subset": (_select(_dirty(DropMissing(["amount"])), "o_orderkey", "amount"),
         f"{WITH_DIRTY} SELECT o_orderkey, amount FROM dirty WHERE amount IS NOT NULL"),
-    "clean_dedupe_rows": (dedupe_rows, "SELECT DISTINCT l_suppkey, l_quantity, l_returnflag, l_linestatus FROM lineitem"),
+    "clean_dedupe_rows": (dedupe_rows, "SELECT DISTINCT * FROM (FROM lineitem UNION ALL FROM lineitem WHERE l_orderkey % 50 = 0)"),
     "clean_dedupe_first": (dedupe_first, """SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER
         (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey) AS r FROM orders) WHERE r = 1"""),
     "clean_drop_column": (_dirty(Drop(["constant_col", "note", "mixed_txt"])),
