@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tablecare import Plan, profile, propose, roll_up, to_plan, validate
 from tablecare.operators.clean import (
     Clip, Dedupe, Derive, Drop, DropMissing, Fill, Head, MapLabels, Matches, MissingLabels, Rename, SnakeCase, SplitMixed,
-    Strip, Title, ToNumber, ToTimestamp, Where, expression, label_spellings,
+    Strip, Title, ToNumber, ToTimestamp, Where, expression, label_spellings, names_in,
 )
 from tablecare.operators.validate import compare, row_count_status
 from tablecare.plans.plan import RUN_ORDER
@@ -218,3 +218,21 @@ def test_row_wise_plan_on_a_stream(spark, tmp_path):
     assert sorted(r["item"] for r in spark.table("cleaned").collect()) == ["Milk", "TEA", "Tea", "tea", "tea"]
     with pytest.raises(ValueError):
         clean_stream(stream, Plan([Clip(["amount"])]))
+
+
+def test_expressions_give_null_where_they_would_fail(spark):
+    df = spark.createDataFrame([(1, "x", [1])], "a int, b string, c array<int>")
+    plan = Plan([Derive("d", "CAST(b AS INT)"), Derive("e", "a / 0"), Derive("f", "c[7]"), Where("a / 0 IS NULL")])
+    out, log = plan.apply(df)
+    assert [tuple(r)[3:] for r in out.collect()] == [(None, None, None)] and {r["status"] for r in log.collect()} == {"ok"}
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"
+
+
+def test_names_in_an_expression():
+    assert names_in("sum(`a.b` * price) / count_if(status = 'open' AND NOT is_big)") == ["a.b", "price", "status", "is_big"]
+    assert names_in("transform(items, x -> x + tax)") == ["items", "tax"] and names_in("CAST(b AS INT) IS NULL") == ["b"]
+
+
+def test_labels_beside_columns_of_the_same_names(spark):
+    df = spark.createDataFrame([("A", 1, 2), ("a", 1, 2), ("A", 3, 4)], "name string, label int, canonical int")
+    assert sorted(tuple(r) for r in MapLabels("name").apply(df).collect()) == [("A", 1, 2), ("A", 1, 2), ("A", 3, 4)]
