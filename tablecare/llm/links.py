@@ -14,9 +14,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    # files that shuffles left go once the driver's JVM sees that nothing refers to them; it looks when asked
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def components(links: DataFrame, kind: str = "long") -> DataFrame:
     """(node, root) of each node of ``links`` (a, b): ``root`` is the smallest node reachable.
 

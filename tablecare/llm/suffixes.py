@@ -7,10 +7,11 @@ to keep two thirds of all suffixes. The neighbouring strings that share one seed
 1. Sampled suffixes: one for each block, cut to the block's depth. Blocks whose seed occurs once can hold no repeat and
    are left out. The others are named by their triple: seed, first and last string (which together are all its bytes).
 2. Of each name the first occurrence, in order of document and place, is found; the strings of all others occur earlier.
-3. The first occurrences of blocks whose seed has several names go on to the next round: they fall into parts of SUB
-   strings, of which those are left out whose common bytes no other part has.
+3. The first occurrences of blocks whose seed has several names go on to the next round, where the same is done with
+   parts of SUB strings: those are left out whose common bytes no other part has, the others are named, the first of each
+   name is found, and first parts go on whose common bytes have several names.
 4. Remaining suffixes: the strings of these parts meet in their bytes; next to each other, equal ones show which is later.
-5. What is covered by strings found in 2 and 4 is removed.
+5. What is covered by strings found in 2, 3 and 4 is removed.
 
 Hot strings are combined in each task to one row before they are shuffled; the joins back to occurrences are plain
 equi-joins, which Spark splits. A long text is handled in slices, since blocks may be cut anywhere.
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablecare.llm.links import bit_filter, passes, stored
+from tablecare.llm.links import bit_filter, discard, passes, stored
 from tablecare.llm.text import Texts, map_texts, mix
 
 SIZE = 100
@@ -184,16 +185,11 @@ def repeated(rows: DataFrame) -> DataFrame:
     later = sampled.join(named.filter("seen > 1").select("name", "seed", "first"), ["seed", "name"]).filter(
         _place() != F.col("first")).select("id", F.col("start").alias("first"), (F.col("start") + F.col("many") + SIZE - 1).alias("end"))
     later = stored(later, "later")
-    # strings of seeds with more than one name
+    # first occurrences of seeds with more than one name
     mixed = named.groupBy("seed").agg(F.count("*").alias("names")).filter("names > 1").select("seed")
     ask = stored(named.join(mixed, "seed").select("name", "first.*"), "firsts")
-
-    def marks(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_marks(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy(), b.column(2).to_numpy()))], names=["mark"])
-
-    firsts = spark.sparkContext.broadcast(bit_filter(ask.mapInArrow(marks, "mark long"), ROW_BITS))
-    texts_of = spark.sparkContext.broadcast(bit_filter(ask.select("id"), ROW_BITS))
+    firsts, texts_of = _filters(ask)
+    discard(sampled, named, ask)
 
     def asked(part: Texts) -> Blocks | None:
         """The first occurrences among the blocks, of the texts that have any."""
@@ -211,24 +207,65 @@ def repeated(rows: DataFrame) -> DataFrame:
     common = map_texts(rows, cores, "core long", step=STEP).groupBy("core").agg(F.count("*").alias("seen")).filter("seen > 1")
     kept = spark.sparkContext.broadcast(bit_filter(common.select("core"), SEED_BITS))
 
-    def remaining(part: Texts) -> pa.RecordBatch | None:
+    def parts(part: Texts) -> tuple[Texts, np.ndarray, ...] | None:
+        """Row, first string, number of strings, core and name of the parts whose common bytes others have."""
         blocks = asked(part)
         if blocks is None:
             return None
-        part = blocks.part
-        block, first, many, _, key = _subs(blocks)
-        use = passes(kept.value, key.view(np.int64))
-        block, first, many = block[use], first[use], many[use]
-        of = np.repeat(np.arange(len(block)), many)
-        start = blocks.start[block][of] + first[of] + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
-        row = blocks.row[block][of]
+        block, first, many, _, core = _subs(blocks)
+        use = passes(kept.value, core.view(np.int64))
+        block, first, many, core = block[use], first[use], many[use], core[use]
+        start = blocks.start[block] + first
+        row, eights = blocks.row[block], _eights(blocks.part.data)
+        at = blocks.part.offs[row] + start
+        name = mix(_hashed(eights, at, SIZE) * _B + _hashed(eights, at + many - 1, SIZE) * _C + many.astype(np.uint64))
+        return blocks.part, row, start, many, core, name
+
+    def second(part: Texts) -> pa.RecordBatch | None:
+        found = parts(part)
+        if found is None:
+            return None
+        part, row, start, many, core, name = found
+        return pa.RecordBatch.from_arrays(
+            [_signed(core), _signed(name), pa.array(part.rows.column(0).to_numpy()[row]), pa.array(start), pa.array(many.astype(np.int32))], names=["core", "name", "id", "start", "many"])
+
+    sampled = stored(map_texts(rows, second, "core long, name long, id long, start long, many int", step=STEP), "parts")
+    named = stored(sampled.groupBy("core", "name").agg(F.min(_place()).alias("first"), F.count("*").alias("seen")), "names")
+    again = sampled.join(named.filter("seen > 1").select("core", "name", "first"), ["core", "name"]).filter(
+        _place() != F.col("first")).select("id", F.col("start").alias("first"), (F.col("start") + F.col("many") + SIZE - 1).alias("end"))
+    again = stored(again, "later")
+    mixed = named.groupBy("core").agg(F.count("*").alias("names")).filter("names > 1").select("core")
+    ask = stored(named.join(mixed, "core").select("name", "first.*"), "firsts")
+    lasts, _ = _filters(ask)
+    discard(sampled, named, ask)
+
+    def remaining(part: Texts) -> pa.RecordBatch | None:
+        found = parts(part)
+        if found is None:
+            return None
+        part, row, start, many, _, name = found
+        use = passes(lasts.value, _marks(name, part.rows.column(0).to_numpy()[row], start))
+        row, start, many = row[use], start[use], many[use]
+        of = np.repeat(np.arange(len(row)), many)
+        start = start[of] + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+        row = row[of]
         string = _hashed(_eights(part.data), part.offs[row] + start, SIZE)
         return pa.RecordBatch.from_arrays([_signed(string), pa.array(part.rows.column(0).to_numpy()[row]), pa.array(start)], names=["string", "id", "start"])
 
     strings = stored(map_texts(rows, remaining, "string long, id long, start long", step=STEP), "strings")
     ordered = strings.groupBy("string").agg(F.count("*").alias("seen"), F.min(_place()).alias("first")).filter("seen > 1")
     other = strings.join(ordered, "string").filter(_place() != F.col("first")).select("id", F.col("start").alias("first"), (F.col("start") + SIZE).alias("end"))
-    return later.unionByName(other)
+    return later.unionByName(again).unionByName(other)
+
+
+def _filters(firsts: DataFrame) -> tuple:
+    """Of first occurrences (name, id, start): filters of the names at their places, and of the texts."""
+    def marks(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_marks(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy(), b.column(2).to_numpy()))], names=["mark"])
+
+    context = firsts.sparkSession.sparkContext
+    return (context.broadcast(bit_filter(firsts.mapInArrow(marks, "mark long"), ROW_BITS)), context.broadcast(bit_filter(firsts.select("id"), ROW_BITS)))
 
 
 def without_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", digest_only: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
