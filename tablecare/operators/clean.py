@@ -431,7 +431,8 @@ def names_in(sql: str) -> list[str]:
     quoted = re.findall(r"`((?:[^`]|``)+)`", bare)
     bare = re.sub(r"`(?:[^`]|``)+`", " ", bare)
     words = re.findall(r"(?<![\w.:])([A-Za-z_]\w*)(?!\w|\s*\(|\s*->)", bare)
-    bound = {w for group in re.findall(r"\(?([\w,\s]+?)\)?\s*->", bare) for w in re.findall(r"\w+", group)}
+    heads = re.findall(r"(?:(\w+)|\(([\w,\s]+)\))\s*->", bare)
+    bound = {w for head in heads for w in re.findall(r"\w+", " ".join(head))}
     found = [q.replace("``", "`") for q in quoted] + [w for w in words if w.upper() not in _KEYWORDS and w not in bound]
     return list(dict.fromkeys(found))
 
