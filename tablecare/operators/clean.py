@@ -25,6 +25,7 @@ from tablecare.functions.dates import DEFAULT_FORMATS, parse_timestamp
 from tablecare.functions.numbers import finite, parse_number
 from tablecare.functions.text import MISSING_LABELS, label_key, missing_to_null, strip, title
 from tablecare.operators.catalog import unique_snake_names
+from tablecare.operators.histogram import top_values, value_counts
 from tablecare.operators.jobs import together
 from tablecare.operators.joins import small_side
 from tablecare.operators.quantiles import exact_quantiles
@@ -169,11 +170,17 @@ class MissingLabels(Op):
         return _with(df, self.cols, lambda c: missing_to_null(c, self.labels))
 
 
-def most_frequent(df: DataFrame, col: str) -> Any:
-    """The most frequent value, the smallest of several; None without values."""
-    counts = df.where(present(df, col).isNotNull()).groupBy(column(col).alias("v")).count()
-    row = counts.orderBy(F.desc("count"), F.asc("v")).first()
-    return row["v"] if row else None
+def most_frequent(df: DataFrame, cols: Sequence[str]) -> list[Any]:
+    """The most frequent value of each column, the smallest of several; None without values.
+
+    Columns of one type are counted by one scan.
+    """
+    families: dict[str, dict[str, Column]] = {}
+    for i, c in enumerate(cols):
+        families.setdefault(df.schema[c].dataType.simpleString(), {})[str(i)] = present(df, c)
+    rows = together(*[lambda f=f: top_values(value_counts(df, f), 1).select("pos", "value").collect() for f in families.values()])
+    found = {int(r["pos"]): r["value"] for part in rows for r in part}
+    return [found.get(i) for i in range(len(cols))]
 
 
 @dataclass(frozen=True)
@@ -192,8 +199,7 @@ class Fill(Op):
         if self.how == "value":
             return dict.fromkeys(self.cols, self.value)
         if self.how == "mode":
-            modes = together(*[lambda c=c: most_frequent(df, c) for c in self.cols])
-            return dict(zip(self.cols, modes))
+            return dict(zip(self.cols, most_frequent(df, self.cols)))
         if self.how == "mean":
             row = df.agg(*[F.avg(v).alias(str(i)) for i, v in enumerate(numbers.values())]).first()
             return dict(zip(self.cols, row))
