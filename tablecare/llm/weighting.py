@@ -38,7 +38,7 @@ FOLDS, HELD = 10, 0
 PART_NODES = 12_000_000
 #: Words whose counts tasks hold; the rest is joined.
 FREQUENT = 1 << 19
-TRAIN_STEP = 8 << 20
+TRAIN_STEP = 4 << 20
 END = np.uint64(0xE17A1465E17A1465)
 
 _LN2 = np.log(2)
