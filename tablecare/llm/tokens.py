@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 
 import numpy as np
 
 #: Pieces of a worker's memory; what it forgets is encoded again.
-REMEMBERED = 600_000
+REMEMBERED = 1_400_000
 
 #: A character that ends a piece when many are encoded together.
 MARK = "\0"
@@ -21,7 +22,12 @@ AT_ONCE = 20_000
 #: One text in so many tells which pieces are in use.
 SEEN_EVERY = 8
 
+#: Pieces that are Latin letters and then punctuation: always two tokens or more, so the letters are encoded once for all.
+_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-įıĲ-ſ]+)([!-/:-@\[-`{-~]*)")
 _ALONE = re.compile(r"(?<=\S) (?=\S)")
+#: Byte-level tokenizers show bytes as characters: printable ones of Latin-1 as themselves, the others from U+0100 on.
+_PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_SHOWN = {b: chr(b) for b in _PLAIN} | {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in set(_PLAIN))}
 _encoders: dict[str, Encoder] = {}
 
 
@@ -36,6 +42,11 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[str, bytes] = {}
         self.used: set[str] = set()
+        self.stems: dict[str, bytes] = {}
+        shown = self.tokenizer.pre_tokenizer.pre_tokenize_str(" a")
+        self.space = shown[0][0][:-1]  # how a space before a word shows in its token, if it does
+        normal = self.tokenizer.normalizer
+        self.lower = normal is not None and normal.normalize_str("A") == "a"
         self.mark = np.array(self.tokenizer.encode(f" {MARK}", add_special_tokens=False).ids, "<u4")
 
     def pieces(self, new: list[str]) -> list[bytes]:
@@ -50,12 +61,32 @@ class Encoder:
             found += [raw[a:b] for a, b in zip(starts.tolist(), (4 * (ends - len(self.mark))).tolist())]
         return found
 
+    def stem(self, text: str, before: str) -> bytes:
+        """Ids of letters, or of punctuation, that are a word of the tokenizer by themselves."""
+        key = before + text
+        if key not in self.stems:
+            raw = text if text.isascii() else "".join(map(_SHOWN.__getitem__, text.encode()))
+            found = [x.id for x in self.tokenizer.model.tokenize(before + raw)]
+            self.stems[key] = struct.pack(f"<{len(found)}I", *found)
+        return self.stems[key]
+
     def learn(self, new: list[str]) -> None:
-        alone = [x for x in new if MARK in x or x[-1].isspace()]  # a text can end in white space
+        if len(self.stems) > REMEMBERED // 2:
+            self.stems.clear()
+        rest = []
+        for piece in new:
+            found = _WORD.fullmatch(piece)
+            if not found:
+                rest.append(piece)
+                continue
+            letters, marks = found.groups()
+            ids = self.stem(letters.lower() if self.lower else letters, self.space)
+            self.known[piece] = ids + self.stem(marks, "") if marks else ids
+        alone = [x for x in rest if MARK in x or x[-1].isspace()]  # a text can end in white space
         if alone:
-            new = list(set(new).difference(alone))
+            rest = list(set(rest).difference(alone))
             self.known.update(zip(alone, self.raw([" " + x for x in alone])))
-        self.known.update(zip(new, self.pieces(new)))
+        self.known.update(zip(rest, self.pieces(rest)))
 
     def raw(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
