@@ -22,9 +22,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one of the smallest id. Documents without an id all stay."""
-    best = minhash.near_duplicates(docs).filter("kept").select("doc_id")
-    one = docs.join(best, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """One document of each group of near-duplicates stays: the one of the smallest id. Documents without an id all stay.
+
+    Of documents that share an id each is judged by its own text.
+    """
+    rows = suffixes.keyed(docs)
+    key = F.when(F.col("doc_id").isNotNull(), F.struct("__id", "__tag"))
+    best = minhash.near_duplicates(rows.select(key.alias("key"), "text"), "key").filter("kept").select("key.*")
+    one = rows.join(best, ["__id", "__tag"], "left_semi").select(docs.columns)
     return one.unionByName(docs.filter("doc_id is null"))
 
 

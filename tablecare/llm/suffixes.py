@@ -16,8 +16,8 @@ to keep two thirds of all suffixes. The neighbouring strings that share one seed
 Hot strings are combined in each task to one row before they are shuffled; the joins back to occurrences are plain
 equi-joins, which Spark splits. A long text is handled in slices, since blocks may be cut anywhere.
 
-Null and empty texts have nothing to remove. A null id comes before all others. Rows that share an id are taken as copies
-of one document and get the same cuts. Extra columns are not read.
+Null and empty texts have nothing to remove. A null id comes before all others. Every row is a document of its own: those
+that share an id, or have none, follow each other by the digests of their texts. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablecare.llm.links import bit_filter, discard, passes, stored
-from tablecare.llm.text import Texts, map_texts, mix
+from tablecare.llm.text import Texts, bounded_batches, map_texts, mix
 
 SIZE = 100
 SEED = 40
@@ -40,7 +40,7 @@ NO_ID = -(2**63)
 #: Bytes of text of a step: little enough to stay near the processor.
 STEP = 1 << 18
 SLICE = 4 << 20
-#: Bits of the filters of seeds and parts that occur twice, of first occurrences and of documents to cut.
+#: Bits of the filters of seeds and parts that occur twice, of first occurrences, of documents to cut and of ids of several rows.
 SEED_BITS = 1 << 26
 ROW_BITS = 1 << 24
 
@@ -123,17 +123,46 @@ def _marks(name: np.ndarray, ids: np.ndarray, start: np.ndarray) -> np.ndarray:
     return mix(name ^ mix(ids.view(np.uint64)) ^ start.astype(np.uint64) * _D).view(np.int64)
 
 
-def _rows(docs: DataFrame, id_column: str, text: str) -> DataFrame:
-    """(id, text) with a long id that is never null."""
-    return docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("text"))
+def keyed(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with ``__id``, a long that is never null, and ``__tag``; both together name a row and order the rows.
+
+    Rows whose id is theirs alone have the tag -1. The others are stored in order of id, digest of the text and row, and
+    numbered once.
+    """
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    whole = docs.withColumn("__id", F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)))
+    several = whole.groupBy("__id").agg(F.count("*").alias("n")).filter((F.col("n") > 1) | (F.col("__id") == NO_ID))
+    found = bit_filter(several.select("__id"), ROW_BITS)
+    no_tag = F.lit(-1).cast("long")
+    if not found.any():
+        return whole.withColumn("__tag", no_tag)
+    shared, at = spark.sparkContext.broadcast(found), len(docs.columns)
+
+    def those(wanted: bool):
+        def run(batches):
+            for b in batches:
+                yield b.filter(pa.array(passes(shared.value, b.column(at).to_numpy()) == wanted))
+
+        return run
+
+    alone = whole.mapInArrow(those(False), whole.schema).withColumn("__tag", no_tag)
+    some = whole.mapInArrow(those(True), whole.schema).withColumn("__row", F.monotonically_increasing_id())
+    some = some.orderBy(F.col(id_column).cast("long").asc_nulls_first(), F.sha2(F.col(text).cast("binary"), 256), "__row").drop("__row")
+    return alone.unionByName(stored(some.withColumn("__tag", F.monotonically_increasing_id()), "shared"))
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
+def _keys(part: Texts, row: np.ndarray) -> list[pa.Array]:
+    """Id and tag of these rows."""
+    return [pa.array(part.rows.column(i).to_numpy()[row]) for i in (0, 1)]
+
+
 def _place() -> Column:
-    return F.struct("id", "start")
+    return F.struct("id", "tag", "start")
 
 
 def _subs(blocks: Blocks) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -157,7 +186,7 @@ def _subs(blocks: Blocks) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
 
 
 def repeated(rows: DataFrame) -> DataFrame:
-    """(id, first, end) of byte ranges of texts that occur earlier; ranges overlap. ``rows``: id, text."""
+    """(id, tag, first, end) of byte ranges of texts that occur earlier; ranges overlap. ``rows``: id, tag, text."""
     spark = rows.sparkSession
 
     def seeds(part: Texts) -> pa.RecordBatch:
@@ -176,14 +205,14 @@ def repeated(rows: DataFrame) -> DataFrame:
     def sample(part: Texts) -> pa.RecordBatch:
         blocks = shared(part)
         return pa.RecordBatch.from_arrays(
-            [_signed(blocks.seed), _signed(blocks.name), pa.array(part.rows.column(0).to_numpy()[blocks.row]), pa.array(blocks.start), pa.array(blocks.many.astype(np.int32))],
-            names=["seed", "name", "id", "start", "many"])
+            [_signed(blocks.seed), _signed(blocks.name), *_keys(part, blocks.row), pa.array(blocks.start), pa.array(blocks.many.astype(np.int32))],
+            names=["seed", "name", "id", "tag", "start", "many"])
 
-    sampled = stored(map_texts(rows, sample, "seed long, name long, id long, start long, many int", step=STEP), "blocks")
+    sampled = stored(map_texts(rows, sample, "seed long, name long, id long, tag long, start long, many int", step=STEP), "blocks")
     named = stored(sampled.groupBy("seed", "name").agg(F.min(_place()).alias("first"), F.count("*").alias("seen")), "names")
     # other occurrences of a name
     later = sampled.join(named.filter("seen > 1").select("name", "seed", "first"), ["seed", "name"]).filter(
-        _place() != F.col("first")).select("id", F.col("start").alias("first"), (F.col("start") + F.col("many") + SIZE - 1).alias("end"))
+        _place() != F.col("first")).select("id", "tag", F.col("start").alias("first"), (F.col("start") + F.col("many") + SIZE - 1).alias("end"))
     later = stored(later, "later")
     # first occurrences of seeds with more than one name
     mixed = named.groupBy("seed").agg(F.count("*").alias("names")).filter("names > 1").select("seed")
@@ -227,12 +256,12 @@ def repeated(rows: DataFrame) -> DataFrame:
             return None
         part, row, start, many, core, name = found
         return pa.RecordBatch.from_arrays(
-            [_signed(core), _signed(name), pa.array(part.rows.column(0).to_numpy()[row]), pa.array(start), pa.array(many.astype(np.int32))], names=["core", "name", "id", "start", "many"])
+            [_signed(core), _signed(name), *_keys(part, row), pa.array(start), pa.array(many.astype(np.int32))], names=["core", "name", "id", "tag", "start", "many"])
 
-    sampled = stored(map_texts(rows, second, "core long, name long, id long, start long, many int", step=STEP), "parts")
+    sampled = stored(map_texts(rows, second, "core long, name long, id long, tag long, start long, many int", step=STEP), "parts")
     named = stored(sampled.groupBy("core", "name").agg(F.min(_place()).alias("first"), F.count("*").alias("seen")), "names")
     again = sampled.join(named.filter("seen > 1").select("core", "name", "first"), ["core", "name"]).filter(
-        _place() != F.col("first")).select("id", F.col("start").alias("first"), (F.col("start") + F.col("many") + SIZE - 1).alias("end"))
+        _place() != F.col("first")).select("id", "tag", F.col("start").alias("first"), (F.col("start") + F.col("many") + SIZE - 1).alias("end"))
     again = stored(again, "later")
     mixed = named.groupBy("core").agg(F.count("*").alias("names")).filter("names > 1").select("core")
     ask = stored(named.join(mixed, "core").select("name", "first.*"), "firsts")
@@ -250,22 +279,22 @@ def repeated(rows: DataFrame) -> DataFrame:
         start = start[of] + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
         row = row[of]
         string = _hashed(_eights(part.data), part.offs[row] + start, SIZE)
-        return pa.RecordBatch.from_arrays([_signed(string), pa.array(part.rows.column(0).to_numpy()[row]), pa.array(start)], names=["string", "id", "start"])
+        return pa.RecordBatch.from_arrays([_signed(string), *_keys(part, row), pa.array(start)], names=["string", "id", "tag", "start"])
 
-    strings = stored(map_texts(rows, remaining, "string long, id long, start long", step=STEP), "strings")
+    strings = stored(map_texts(rows, remaining, "string long, id long, tag long, start long", step=STEP), "strings")
     ordered = strings.groupBy("string").agg(F.count("*").alias("seen"), F.min(_place()).alias("first")).filter("seen > 1")
-    other = strings.join(ordered, "string").filter(_place() != F.col("first")).select("id", F.col("start").alias("first"), (F.col("start") + SIZE).alias("end"))
+    other = strings.join(ordered, "string").filter(_place() != F.col("first")).select("id", "tag", F.col("start").alias("first"), (F.col("start") + SIZE).alias("end"))
     return later.unionByName(again).unionByName(other)
 
 
 def _filters(firsts: DataFrame) -> tuple:
-    """Of first occurrences (name, id, start): filters of the names at their places, and of the texts."""
+    """Of first occurrences (name, id, tag, start): filters of the names at their places, and of the texts."""
     def marks(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(_marks(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy(), b.column(2).to_numpy()))], names=["mark"])
 
     context = firsts.sparkSession.sparkContext
-    return (context.broadcast(bit_filter(firsts.mapInArrow(marks, "mark long"), ROW_BITS)), context.broadcast(bit_filter(firsts.select("id"), ROW_BITS)))
+    return (context.broadcast(bit_filter(firsts.select("name", "id", "start").mapInArrow(marks, "mark long"), ROW_BITS)), context.broadcast(bit_filter(firsts.select("id"), ROW_BITS)))
 
 
 def without_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", digest_only: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -274,13 +303,14 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     ``kept`` is the remaining bytes; characters that the removal cuts in two are left out of it. ``digest_only`` leaves it null.
     """
     spark = docs.sparkSession
-    rows = _rows(docs, id_column, text)
-    rest = F.struct(F.lit(0).alias("none"), *(F.col(c) for c in carry)).alias("rest")
-    told_of = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("id"), rest, F.col(text).alias("text"))
+    base = keyed(docs.select(id_column, *carry, text), id_column, text)
+    rest = F.struct(id_column, *carry).alias("rest")
+    told_of = base.select(F.col("__id").alias("id"), F.col("__tag").alias("tag"), rest, F.col(text).alias("text"))
+    rows = told_of.select("id", "tag", "text")
     kind = told_of.schema["rest"].dataType.simpleString()
-    cuts = stored(repeated(rows).groupBy("id").agg(F.collect_list(F.struct("first", "end")).alias("cuts")), "cuts")
+    cuts = stored(repeated(rows).groupBy("id", "tag").agg(F.collect_list(F.struct("first", "end")).alias("cuts")), "cuts")
     touched = spark.sparkContext.broadcast(bit_filter(cuts.select("id"), ROW_BITS))
-    schema = f"id long, rest {kind}, n_bytes long, digest string, text string"
+    schema = f"id long, tag long, rest {kind}, n_bytes long, digest string, text string"
 
     def split(part: Texts) -> pa.RecordBatch:
         """Texts that may be cut go on as texts, the others as what is to be told of them."""
@@ -289,18 +319,18 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
         raw = part.data.tobytes()
         own = [raw[a:b] for a, b in zip(part.offs[:-1].tolist(), part.offs[1:].tolist())]
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids), part.rows.column(1), pa.array(np.diff(part.offs)), pa.array([None if c else hashlib.sha256(x).hexdigest() for c, x in zip(cut, own)], pa.string()),
-             pa.array([x if c or not digest_only else None for c, x in zip(cut, own)], pa.binary()).cast(pa.string())], names=["id", "rest", "n_bytes", "digest", "text"])
+            [*part.rows.columns[:3], pa.array(np.diff(part.offs)), pa.array([None if c else hashlib.sha256(x).hexdigest() for c, x in zip(cut, own)], pa.string()),
+             pa.array([x if c or not digest_only else None for c, x in zip(cut, own)], pa.binary()).cast(pa.string())], names=["id", "tag", "rest", "n_bytes", "digest", "text"])
 
     told = map_texts(told_of, split, schema)
-    whole = told.filter("digest is not null").select("id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("digest").alias("kept_sha256"), F.col("text").alias("kept"), "rest")
+    whole = told.filter("digest is not null").select("n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("digest").alias("kept_sha256"), F.col("text").alias("kept"), "rest")
 
     def remove(batches):
         for batch in batches:
             out: list[tuple] = []
             for i in range(batch.num_rows):
-                raw = batch.column(1)[i].as_py().encode()
-                ranges = batch.column(2)[i]
+                raw = batch.column(0)[i].as_py().encode()
+                ranges = batch.column(1)[i]
                 covered = np.zeros(len(raw) + 1, np.int64)
                 if ranges.is_valid:
                     flat = ranges.values
@@ -311,11 +341,10 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
                 spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1])) if len(raw) else 0
                 out.append((len(raw), int(gone.sum()), spans, hashlib.sha256(left).hexdigest(), None if digest_only else left.decode("utf-8", "ignore")))
             columns = list(zip(*out)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), *(pa.array(c, pa.string()) for c in columns[3:]), batch.column(3)],
-                                             names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "rest"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), *(pa.array(c, pa.string()) for c in columns[3:]), batch.column(2)],
+                                             names=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "rest"])
 
-    cut = told.filter("digest is null").select("id", "rest", "text").join(cuts, "id", "left").select("id", "text", "cuts", "rest").mapInArrow(
-        remove, f"id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, rest {kind}")
+    cut = told.filter("digest is null").select("id", "tag", "rest", "text").join(cuts, ["id", "tag"], "left").select("text", "cuts", "rest").mapInArrow(
+        remove, f"n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, rest {kind}")
     both = whole.unionByName(cut)
-    name = F.when(F.col("id") != NO_ID, F.col("id")).cast(docs.schema[id_column].dataType)
-    return both.select(name.alias(id_column), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *(F.col(f"rest.{c}").alias(c) for c in carry))
+    return both.select(F.col(f"rest.{id_column}").alias(id_column), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *(F.col(f"rest.{c}").alias(c) for c in carry))
