@@ -6,6 +6,8 @@ in repeated windows. A sketch of a measure counts values by buckets whose bounds
 are sketches for each language and source, and merged ones for each language and for all. A text fails a measure that lies
 far outside the quartiles of its language and source (of its language, or of all, where there are too few texts to tell):
 beyond the quartile by WIDE times the distance from the median to it, and by a least distance that is the measure's own.
+Most texts repeat nothing, so the quartiles of repeats are often zero; their upper thresholds also keep TAIL times the
+distance from the quartile to the ninth decile. Of repeats, texts that fail the base tell nothing about their group.
 
 Null and empty texts have zero words and fail the base. A null language or source is a group like others. Rows are judged
 each for itself. Extra columns are not read.
@@ -25,10 +27,12 @@ from tablecare.llm.text import _SPACE, Texts, map_texts, runs, span_hashes, wind
 WINDOW = 5
 GROWTH = 1.02
 WIDE = 6.0
+TAIL = 2.0
 #: Texts a group needs for thresholds of its own.
 ENOUGH = 200
 #: Measures, with the least distance above and below the quartiles; none below means no lower threshold.
-MEASURES = {"word_length": (2.0, 1.0), "symbols": (0.25, None), "dup_lines": (0.3, None), "repeats": (0.2, None)}
+MEASURES = {"word_length": (2.0, 1.0), "symbols": (0.25, None), "dup_lines": (0.15, None), "repeats": (0.05, None)}
+REPEATS = ("dup_lines", "repeats")
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(x) for x in "#*$%&|<>"]] = True
@@ -93,24 +97,30 @@ def measured(docs: DataFrame, id_column: str, text: str, lang: str, source: str)
     return map_texts(rows, work, ", ".join([fields, *(f"{x} long" for x in names), *(f"{m} double" for m in MEASURES), *(f"{m}_at int" for m in MEASURES)]))
 
 
+def base_failed() -> F.Column:
+    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+
+
 def thresholds(rows: DataFrame) -> DataFrame:
     """(lang, source, low and high of each measure) of every language and source among ``rows`` of measured()."""
     stack = ", ".join(f"'{m}', {m}_at" for m in MEASURES)
-    sketch = rows.filter("n_words > 0").selectExpr("lang", "source", f"stack({len(MEASURES)}, {stack}) as (measure, at)").groupBy("lang", "source", "measure", "at").agg(F.count("*").alias("n"))
+    sketch = rows.filter("n_words > 0").select("lang", "source", base_failed().alias("out"), F.expr(f"stack({len(MEASURES)}, {stack}) as (measure, at)"))
+    sketch = sketch.filter(~F.col("out") | ~F.col("measure").isin(*REPEATS)).groupBy("lang", "source", "measure", "at").agg(F.count("*").alias("n"))
     sketch = stored(sketch, "sketches")  # buckets, not rows
     levels = sketch.withColumn("level", F.lit(0)).unionByName(
         sketch.groupBy("lang", "measure", "at").agg(F.sum("n").alias("n")).withColumns({"level": F.lit(1), "source": F.lit(None).cast("string")})).unionByName(
         sketch.groupBy("measure", "at").agg(F.sum("n").alias("n")).withColumns({"level": F.lit(2), "source": F.lit(None).cast("string"), "lang": F.lit(None).cast("string")}))
     group = ["level", "lang", "source", "measure"]
     up_to = levels.withColumn("upto", F.sum("n").over(Window.partitionBy(*group).orderBy("at"))).withColumn("all", F.sum("n").over(Window.partitionBy(*group)))
-    quartile = [F.min(F.when(F.col("upto") >= F.col("all") * q, F.col("at"))).alias(f"q{i}") for i, q in enumerate((0.25, 0.5, 0.75))]
+    quartile = [F.min(F.when(F.col("upto") >= F.col("all") * q, F.col("at"))).alias(f"q{i}") for i, q in enumerate((0.25, 0.5, 0.75, 0.9))]
     found = up_to.groupBy(*group).agg(F.max("all").alias("all"), *quartile)
     cut = []
     for m, (above, below) in MEASURES.items():
-        q = [F.max(F.when(F.col("measure") == m, value(F.col(f"q{i}")))) for i in range(3)]
-        cut.append((q[2] + WIDE * (q[2] - q[1]) + above).alias(f"{m}_high"))
+        q = [F.max(F.when(F.col("measure") == m, value(F.col(f"q{i}")))) for i in range(4)]
+        wide = WIDE * (q[2] - q[1])
+        cut.append((q[2] + (F.greatest(wide, TAIL * (q[3] - q[2])) if m in REPEATS else wide) + above).alias(f"{m}_high"))
         cut.append((F.lit(float("-inf")) if below is None else q[0] - WIDE * (q[1] - q[0]) - below).alias(f"{m}_low"))
-    found = found.groupBy("level", "lang", "source").agg(F.max("all").alias("all"), *cut)
+    found = found.groupBy("level", "lang", "source").agg(F.when(F.count("*") == len(MEASURES), F.min("all")).alias("all"), *cut)
     ends = [f"{m}_{e}" for m in MEASURES for e in ("high", "low")]
 
     def at(level: int) -> DataFrame:
@@ -129,6 +139,6 @@ def judge(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang:
     cut = thresholds(rows).withColumnsRenamed({"lang": "cut_lang", "source": "cut_source"})
     both = rows.join(cut, F.col("lang").eqNullSafe(F.col("cut_lang")) & F.col("source").eqNullSafe(F.col("cut_source")), "left")
     outside = F.array_compact(F.array(*(F.when((F.col(m) > F.col(f"{m}_high")) | (F.col(m) < F.col(f"{m}_low")), F.lit(m)) for m in MEASURES)))
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    failed = base_failed()
     return both.select(F.col("id").alias(id_column), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                        failed.alias("base_failed"), (~failed & (F.size(outside) == 0)).alias("kept"), outside.alias("failed"))
