@@ -29,10 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablecare.llm.links import stored
+from tablecare.llm.links import discard, stored
 from tablecare.llm.text import Texts, crc_fold, map_texts, mix, span_hashes
 
-DEPTH = 4
+#: Bytes of the longest context: with 6, a string and its place in the byte still fit 64-bit keys.
+DEPTH = 6
 FOLDS, HELD = 10, 0
 #: Nodes, and strings, of a part of the model that tasks hold at once.
 PART_NODES = 12_000_000
@@ -126,8 +127,12 @@ def nodes(grams: DataFrame) -> DataFrame:
             parent = above.select(F.col("context").alias("up"), F.col("place").alias("same"), F.col("sum").alias("s"), F.col("rest").alias("r"))
             here = level.join(parent, (F.col("context").bitwiseAND(F.lit(mask)) == F.col("up")) & (F.col("place") == F.col("same"))).select(
                 "context", "place", (F.col("s") + F.col("r") * F.col("stop") * estimate).alias("sum"), (F.col("r") * (1 - F.col("stop"))).alias("rest"))
+        one = (F.col("sum") + F.col("rest") * 0.5).alias("one")
+        if depth == DEPTH:  # nothing is below
+            here = here.select("context", "place", one)
         above = stored(here, "down")
-        done.append(above.select(F.lit(depth).alias("depth"), "context", "place", (F.col("sum") + F.col("rest") * 0.5).alias("one")))
+        discard(level)
+        done.append(above.select(F.lit(depth).alias("depth"), "context", "place", "one" if depth == DEPTH else one))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
@@ -138,8 +143,8 @@ class Part:
     """The nodes of a part, by depth: sorted keys of context and place, and the probability of a one."""
 
     def __init__(self, table: pa.Table):
-        depth, context, place, one = (table.column(c).to_numpy() for c in ("depth", "context", "place", "one"))
-        key = context.astype(np.uint64) << np.uint64(8) | place.astype(np.uint64)
+        depth, key, one = (table.column(c).to_numpy() for c in ("depth", "key", "one"))
+        key = key.view(np.uint64)
         self.keys, self.ones = [], []
         for d in range(DEPTH + 1):
             own = depth == d
@@ -207,7 +212,7 @@ def scored(docs: DataFrame, id_column: str = "doc_id", text: str = "text", part_
     both = stored(map_texts(training, count, "word boolean, key long, n long", step=TRAIN_STEP).groupBy("word", "key").agg(F.sum("n").alias("n")), "counts")
     known = both.filter("word").select("key", "n")
     total = known.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    tree = stored(nodes(both.filter("not word").select(F.col("key").alias("gram"), "n")), "tree")
+    tree = nodes(both.filter("not word").select(F.col("key").alias("gram"), "n"))
     size = tree.filter("depth > 1").count()
     parts = max(1, -(-size // part_nodes))
     top = known.orderBy(F.desc("n"), "key").limit(frequent).toArrow()
@@ -231,7 +236,7 @@ def scored(docs: DataFrame, id_column: str = "doc_id", text: str = "text", part_
         at, part_of = pairs.column("id").to_numpy().astype(np.uint64), pairs.column("part").to_numpy()
         owners = {k: at[part_of == k] for k in range(parts)}
     for which in range(parts):
-        model = spark.sparkContext.broadcast(Part(tree.filter(F.col("part").isin(-1, which)).select("depth", "context", "place", "one").toArrow()))
+        model = spark.sparkContext.broadcast(Part(tree.filter(F.col("part").isin(-1, which)).select(F.col("depth").cast("byte").alias("depth"), _key(F.col("context"), F.col("place")).alias("key"), "one").toArrow()))
         mark = uuid.uuid4().hex
 
         def score(part: Texts, model=model, which=which, mark=mark) -> pa.RecordBatch:
