@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -26,3 +29,24 @@ def shared_folder(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Hand this package to the Python workers of the session, once, so that they find it whatever folder they start in."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, file.relative_to(root.parent))
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{new_path(spark, 'package')}.zip")
+    stream = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path)
+    stream.write(bytearray(packed.getvalue()))
+    stream.close()
+    context.addPyFile(path.toString())
+    _shipped.add(context.applicationId)
