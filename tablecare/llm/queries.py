@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablecare.llm import covertree, dac, minhash, packing, quality, rules, suffixes, toxicity, transducer, weighting
+from tablecare.llm import covertree, dac, linebits, minhash, packing, prefixes, quality, rules, suffixes, toxicity, transducer, variants, weighting
 from tablecare.llm.text import read_table
 
 
@@ -49,6 +49,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op11_line_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linebits.digests(read_table(spark, sf_dir, "documents"))
+
+
+def op12_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(read_table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.prefix_nodes(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_minhash": (op1_minhash, None),
     "op2_cover_tree": (op2_cover_tree, None),
@@ -60,4 +72,7 @@ QUERIES = {
     "op8_suffixes": (op8_suffixes, None),
     "op9_packing": (op9_packing, None),
     "op10_toxicity": (op10_toxicity, None),
+    "op11_line_bitmaps": (op11_line_bitmaps, linebits.ORACLE_SQL),
+    "op12_partenum": (op12_partenum, None),
+    "op13_prefix_trie": (op13_prefix_trie, None),
 }

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablecare.scratch import ship_package
+
 #: Bytes of text that one step of a task works on; a longer text is a step of its own.
 STEP_BYTES = 2 << 20
 #: Bytes that Spark hands to a task at once.
@@ -22,7 +24,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound what Spark hands to a Python task at once by bytes, since rows can be long."""
+    """Bound what Spark hands to a Python task at once by bytes, since rows can be long; and let tasks find this package."""
+    ship_package(spark)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark.conf.get(key, str(2**31 - 1))) > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
