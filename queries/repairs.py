@@ -94,13 +94,24 @@ def dotted_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return DropMissing(["cust.key"]).apply(rows).select("o_orderkey", F.col("`cust.key`").alias("cust_key"))
 
 
+#: Objects of one written array, on average.
+_ARRAY = 1_000_000
+
+
 def json_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers of each nation as one array of objects a file."""
+    """Customers as arrays of objects, one a file; files are as many as the rows ask for, and none is held as a whole."""
     path = new_path(spark, "customers-json")
-    item = F.struct("c_custkey", "c_name", "c_acctbal")
-    table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.to_json(F.collect_list(item)).alias("value")).select("value", "c_nationkey").write.partitionBy("c_nationkey").text(path)
-    rows, rejects = read_json(spark, path, schema="c_custkey bigint, c_name string, c_acctbal double")
-    return rows.select("c_custkey", "c_name", "c_acctbal").unionByName(rejects.selectExpr("CAST(NULL AS bigint) AS c_custkey", "line AS c_name", "CAST(NULL AS double) AS c_acctbal"))
+    customers = table(spark, sf_dir, "customer")
+    files = max(1, -(-customers.count() // _ARRAY))
+    item = F.to_json(F.struct("c_custkey", "c_name", "c_acctbal"))
+    rows = customers.select(F.pmod(F.xxhash64("c_custkey"), F.lit(files)).alias("file"), F.col("c_custkey").alias("key"), item.alias("item"))
+    ends = rows.groupBy("file").agg(F.min("key").alias("first"))
+    opened = rows.join(F.broadcast(ends), "file").select("file", "key", F.concat(F.when(F.col("key") == F.col("first"), F.lit("[")).otherwise(F.lit(",")), "item").alias("value"))
+    closed = ends.select("file", F.lit(None).cast("bigint").alias("key"), F.lit("]").alias("value"))
+    lines = opened.unionByName(closed).repartition("file").sortWithinPartitions("file", F.asc_nulls_last("key"))
+    lines.select("file", "value").write.partitionBy("file").text(path)
+    found, rejects = read_json(spark, path, schema="c_custkey bigint, c_name string, c_acctbal double")
+    return found.select("c_custkey", "c_name", "c_acctbal").unionByName(rejects.selectExpr("CAST(NULL AS bigint) AS c_custkey", "line AS c_name", "CAST(NULL AS double) AS c_acctbal"))
 
 
 _DUCK_SHAPES = " ".join(

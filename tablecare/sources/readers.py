@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablecare.operators.schema import column
+from tablecare.sources import ranges
 
 # Texts that stand for a missing value in a CSV file.
 NULL_TOKENS = (
@@ -64,8 +66,11 @@ def read_csv(
     of those with too many are the rejects. Files of one folder need the same
     header; another one is an error when read.
 
-    Quotes may hold line breaks, which keeps Spark from splitting a file. Where
-    none do, ``multi_line=False`` lets large files be split.
+    Quotes may hold line breaks. Files are read range by range all the same
+    (see ``ranges``), in encodings that have ASCII as it is and with line feeds
+    (with or without a return before) between lines; a file in another encoding
+    is read by one task. Where no quotes hold line breaks, ``multi_line=False``
+    saves the pass that looks for them.
     """
     try:
         header = _csv(spark, encoding, multi_line, sep).csv(path).columns
@@ -73,17 +78,55 @@ def read_csv(
         raise SourceError(f"cannot read CSV {path}: {_cause(error)}") from error
     if not header:
         raise SourceError(f"no columns in CSV {path}: it lacks a header row")
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, CORRUPT]])
-    rows = (
-        _csv(spark, encoding, multi_line, sep)
-        .option("columnPruning", False).option("columnNameOfCorruptRecord", CORRUPT).schema(schema).csv(path)
-    )
+    if multi_line and _ascii_inside(encoding) and len(sep) == 1:
+        rows = _csv_ranges(spark, [path] if isinstance(path, str) else path, header, encoding, sep)
+    else:
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, CORRUPT]])
+        rows = (
+            _csv(spark, encoding, multi_line, sep)
+            .option("columnPruning", False).option("columnNameOfCorruptRecord", CORRUPT).schema(schema).csv(path)
+        )
     # a line that has too few fields lacks the last; one that has too many does not
     short = F.col(CORRUPT).isNotNull() & column(header[-1]).isNull()
     good, rejects = _split(rows.withColumn(CORRUPT, F.when(~short, F.col(CORRUPT))))
     return null_tokens(good, tokens), rejects
 
 
+def _ascii_inside(encoding: str) -> bool:
+    """Is every ASCII byte of a text in this encoding that ASCII character, and no part of another?"""
+    name = encoding.lower().replace("_", "-")
+    return name in ("utf-8", "utf8", "us-ascii", "ascii", "latin1") or name.startswith(("iso-8859-", "windows-125", "cp125"))
+
+
+def _csv_ranges(spark: SparkSession, paths: Sequence[str], header: Sequence[str], encoding: str, sep: str) -> DataFrame:
+    """The columns of *header* and the text of lines that do not fit it, of files that are read range by range."""
+    found = ranges.records(spark, paths, ranges.csv_grammar(sep))
+    text = F.col("record").cast("string") if _utf8(encoding) else F.decode("record", encoding)
+    lines = found.select(F.regexp_replace(text, r"\r\z", "").alias("line"), "first").where(F.col("line") != "")
+    names = [f"c{i}" for i in range(len(header))]
+    options = {
+        "sep": sep, "escape": '"', "nullValue": NO_FIELD, "emptyValue": "", "columnNameOfCorruptRecord": CORRUPT, "multiLine": "true",
+    }
+    fields = F.from_csv("line", ", ".join(f"{n} string" for n in [*names, CORRUPT]), options)
+    rows = lines.select(fields.alias("f"), "first")
+    # a name that the header has twice was made unique, and an empty one was made up
+    own = [F.lower(F.col(f"f.{n}")).eqNullSafe(F.lit(c.lower())) | F.col(f"f.{n}").isin("") | F.lit(_made(c, header))
+           for n, c in zip(names, header)]
+    same = reduce(lambda x, y: x & y, own) & F.col(f"f.{CORRUPT}").isNull()
+    wrong = F.raise_error(F.lit(f"a CSV file below {paths[0]} has another header than {list(header)}")).cast("boolean")
+    body = rows.where(F.when(F.col("first"), F.when(same, F.lit(False)).otherwise(wrong)).otherwise(F.lit(True)))
+    return body.select(*[F.col(f"f.{n}").alias(c) for n, c in zip(names, header)], F.col(f"f.{CORRUPT}").alias(CORRUPT))
+
+
+def _utf8(encoding: str) -> bool:
+    return encoding.lower().replace("_", "-") in ("utf-8", "utf8")
+
+
+def _made(name: str, header: Sequence[str]) -> bool:
+    """Could Spark have made this name up, for a header cell that is empty or there twice?"""
+    return name.startswith("_c") or any(c != name and name.lower().startswith(c.rstrip("0123456789").lower()) and name[-1:].isdigit() for c in header)
+
+
 def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Good rows, and the lines that did not parse.
 
@@ -99,9 +142,11 @@ def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def read_json(
     spark: SparkSession, path: str | list[str], *, lines: bool = False, schema: str | T.StructType | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """``(rows, rejects)`` of JSON: an array of objects per file, or one object per line.
+    """``(rows, rejects)`` of JSON: an array of objects per file (or one object), or one object per line.
 
-    Give a *schema* for large data; without one Spark reads it all to infer it.
+    Give a *schema* for large data; without one Spark reads it all to infer it, an array by one task.
+    With one, array files are read range by range (see ``ranges``): an element that is no object, does
+    not fit or is cut off by the end of its file is a reject, the others are rows.
     """
     reader = spark.read.option("multiLine", not lines)
     try:
@@ -114,10 +159,31 @@ def read_json(
     if not fields:
         raise SourceError(f"cannot read JSON {path}: no array of objects")
     full = T.StructType([*fields, T.StructField(CORRUPT, T.StringType())])
-    rows = reader.option("columnNameOfCorruptRecord", CORRUPT).schema(full).json(path)
+    if lines:
+        rows = reader.option("columnNameOfCorruptRecord", CORRUPT).schema(full).json(path)
+    else:
+        rows = _json_ranges(spark, [path] if isinstance(path, str) else path, full)
     return _split(rows)
 
 
+def _json_ranges(spark: SparkSession, paths: Sequence[str], schema: T.StructType) -> DataFrame:
+    found = ranges.records(spark, paths, ranges.json_grammar())
+    text = F.col("record").cast("string")
+    # the array's own signs around its elements
+    element = F.regexp_replace(F.concat(text, F.when(F.col("whole"), F.lit("}")).otherwise(F.lit(""))), r"\A\s*[\[,]?\s*|\s+\z", "")
+    rest = F.regexp_replace(element, r"\s*\]?\z", "")
+    # numbers, texts and the like before an object end nowhere by themselves
+    plain = F.regexp_extract(element, r'(?s)\A((?:[^{\["]|"[^"\\]*+(?:\\.[^"\\]*+)*+")*+)\{', 1)
+    parts = F.array(F.regexp_replace(plain, r"[\s,]+\z", ""), F.substr(element, F.length(plain) + 1))
+    split = found.select(F.explode(F.when(F.col("whole"), parts).otherwise(F.array(rest))).alias("text"), "whole")
+    texts = split.where(F.col("text") != "")
+    parsed = F.from_json("text", schema, {"columnNameOfCorruptRecord": CORRUPT})
+    rows = texts.select(F.when(F.col("whole"), parsed).alias("f"), "text")
+    # what is cut off is a reject even if its beginning makes sense
+    corrupt = F.when(F.col("f").isNull(), F.col("text")).otherwise(F.col(f"f.{CORRUPT}"))
+    return rows.select(*[F.col("f")[f.name].alias(f.name) for f in schema.fields if f.name != CORRUPT], corrupt.alias(CORRUPT))
+
+
 def read_json_columns(spark: SparkSession, path: str | list[str], columns: Sequence[str]) -> DataFrame:
     """JSON of the form ``{column: {row label: value}}``, as texts with ``row_label``.
 
