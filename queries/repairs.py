@@ -42,15 +42,34 @@ def plan_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _STEPS.apply(table(spark, sf_dir, "orders"))[0].select("o_orderkey", "as_number", "share", "third", "half")
 
 
+def _log_beside_table(plan: Plan, orders: DataFrame, only_ids: list[str] | None = None) -> DataFrame:
+    """The log, and beside each step the rows and halves that the finished table has."""
+    rows, log = plan.apply(orders, only_ids)
+    told = rows.agg(F.count("*").alias("n"), F.round(F.sum("half"), 1).alias("halves"))
+    return log.select("id", "status", told.select("n").scalar().alias("n"), told.select("halves").scalar().alias("halves"))
+
+
 def plan_lenient_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _STEPS.apply(table(spark, sf_dir, "orders"))[1].select("id", "status")
+    return _log_beside_table(_STEPS, table(spark, sf_dir, "orders"))
 
 
 def plan_screened(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps that name what the table lacks are dropped before the run, and only chosen ones run."""
     orders = table(spark, sf_dir, "orders")
-    plan = _STEPS.screen(orders.columns)
-    return plan.apply(orders, ["half", "gone"])[1].select("id", "status")
+    return _log_beside_table(_STEPS.screen(orders.columns), orders, ["half", "gone"])
+
+
+_NAMES = Plan([
+    Where("year > 2000", id="no such column"), Derive("day", "o_orderkey % 7", id="makes one called day"), Where("day < 5", id="reads it, not yet there"),
+    Derive("late", "exists(array(o_custkey, o_orderkey), year -> year > 700)", id="bound"), Derive("when", "date_add(current_date, 0) IS NOT NULL AND o_orderstatus <> 'year'", id="words in texts"),
+    Where("exists(array(1), x -> x + amount > 0)", id="free in a lambda"), Derive("first", "s.year + 1", id="field of a struct"), Derive("none", "t.year", id="no such struct"),
+])
+
+
+def plan_screened_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which steps the parser's names leave, and the rows that they give."""
+    orders = table(spark, sf_dir, "orders").withColumn("s", F.struct(F.col("o_custkey").alias("year")))
+    return _NAMES.screen(orders.columns).apply(orders)[0].drop("s")
 
 
 def map_labels_beside_label(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,14 +136,17 @@ def json_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DUCK_SHAPES = " ".join(
     f"WHEN {i} THEN epoch_us(date_trunc('{unit}', ts)){' - 7200000000' if '+02' in duck else ''}" for i, (_, duck, unit) in enumerate(_SHAPES))
 
+_HALVES = "(SELECT count(*) AS n, round(sum(o_totalprice / 2), 1) AS halves FROM orders) h"
+
 QUERIES = {
     "kpi_failing": (kpi_failing, """SELECT 0 AS position, 'revenue' AS kpi, round(sum(o_totalprice), 2) AS "value" FROM orders
         UNION ALL SELECT 1, 'no divisor', NULL UNION ALL SELECT 2, 'no number', NULL UNION ALL SELECT 3, 'no such place', NULL
         UNION ALL SELECT 4, 'no such column', NULL UNION ALL SELECT 5, 'held', NULL UNION ALL SELECT 6, 'middle', round(quantile_cont(o_totalprice, 0.5), 2) FROM orders"""),
     "kpi_screened": (kpi_screened, """SELECT 'a' AS kpi, round(sum(o_totalprice), 2) AS "value" FROM orders UNION ALL SELECT 'c', count(*) FROM orders"""),
     "plan_lenient": (plan_lenient, """SELECT o_orderkey, NULL::INT AS as_number, NULL::DOUBLE AS share, NULL::VARCHAR AS third, o_totalprice / 2 AS half FROM orders"""),
-    "plan_lenient_log": (plan_lenient_log, "SELECT * FROM (VALUES ('cast', 'ok'), ('zero', 'ok'), ('place', 'ok'), ('gone', 'skip'), ('where', 'ok'), ('half', 'ok')) t(id, status)"),
-    "plan_screened": (plan_screened, "SELECT 'half' AS id, 'ok' AS status"),
+    "plan_lenient_log": (plan_lenient_log, f"""SELECT * FROM (VALUES ('cast', 'ok'), ('zero', 'ok'), ('place', 'ok'), ('gone', 'skip'), ('where', 'ok'), ('half', 'ok')) t(id, status), {_HALVES}"""),
+    "plan_screened": (plan_screened, f"SELECT 'half' AS id, 'ok' AS status, * FROM {_HALVES}"),
+    "plan_screened_names": (plan_screened_names, """SELECT *, o_orderkey % 7 AS day, o_custkey > 700 OR o_orderkey > 700 AS late, o_orderstatus <> 'year' AS "when", o_custkey + 1 AS first FROM orders"""),
     "clean_map_labels_embeddings": (map_labels_beside_label, """WITH r AS (SELECT vec_id, label, CASE WHEN vec_id % 5 = 0 THEN upper(concat('kind ', label)) ELSE concat('kind ', label) END AS name FROM embeddings),
         n AS (SELECT lower(name) AS k, name AS best, row_number() OVER (PARTITION BY lower(name) ORDER BY count(*) DESC, name) AS r FROM r GROUP BY name)
         SELECT vec_id, label, best AS name FROM r JOIN n ON lower(r.name) = n.k AND n.r = 1"""),

@@ -18,6 +18,7 @@ from dataclasses import dataclass, field, replace
 from functools import reduce
 from typing import Any, ClassVar
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -431,24 +432,40 @@ def lenient(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+# Names that stand for a value where the table has no such column.
+_VALUES = frozenset(("current_date", "current_timestamp", "current_time", "localtimestamp", "current_user", "user", "session_user"))
+
+
 def names_in(sql: str) -> list[str]:
-    """The columns that a SQL expression names: words and quoted names that are neither called nor keywords."""
-    bare = re.sub(r"'(?:[^'\\]|\\.|'')*'", " ", sql)
-    quoted = re.findall(r"`((?:[^`]|``)+)`", bare)
-    bare = re.sub(r"`(?:[^`]|``)+`", " ", bare)
-    words = re.findall(r"(?<![\w.:])([A-Za-z_]\w*)(?!\w|\s*\(|\s*->)", bare)
-    heads = re.findall(r"(?:(\w+)|\(([\w,\s]+)\))\s*->", bare)
-    bound = {w for head in heads for w in re.findall(r"\w+", " ".join(head))}
-    found = [q.replace("``", "`") for q in quoted] + [w for w in words if w.upper() not in _KEYWORDS and w not in bound]
-    return list(dict.fromkeys(found))
-
-
-# Words of expressions that are no columns.
-_KEYWORDS = frozenset(
-    "AND OR NOT IN IS NULL TRUE FALSE CASE WHEN THEN ELSE END BETWEEN LIKE ILIKE RLIKE REGEXP ESCAPE DISTINCT AS FROM ALL ANY SOME CAST "
-    "DIV INTERVAL DATE TIMESTAMP YEAR YEARS MONTH MONTHS WEEK WEEKS DAY DAYS HOUR HOURS MINUTE MINUTES SECOND SECONDS INT INTEGER BIGINT LONG "
-    "SMALLINT TINYINT DOUBLE FLOAT REAL DECIMAL NUMERIC STRING VARCHAR CHAR BOOLEAN BINARY ARRAY MAP STRUCT FOR BOTH LEADING TRAILING "
-    "CURRENT_DATE CURRENT_TIMESTAMP CURRENT_USER FILTER WHERE".split())
+    """The columns that a SQL expression names, from its parsed tree; of a struct's field the struct.
+
+    Whether a word is a column is the parser's decision, so a column may be called ``year`` or ``date``. Variables that a lambda
+    binds are no columns. An expression that does not parse names none; it fails when applied.
+    """
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        raise RuntimeError("expressions are read by Spark's parser: start a session first")
+    try:
+        tree = spark._jsparkSession.sessionState().sqlParser().parseExpression(sql)
+    except PySparkException:
+        return []
+    return list(dict.fromkeys(n for n in _named(tree, frozenset()) if n.lower() not in _VALUES))
+
+
+def _named(node, bound: frozenset[str]) -> Iterator[str]:
+    kind = node.getClass().getSimpleName()
+    if kind in ("UnresolvedAttribute", "UnresolvedNamedLambdaVariable"):
+        first = node.nameParts().apply(0)
+        if kind == "UnresolvedAttribute" or first.lower() not in bound:
+            yield first
+        return
+    children = node.children()
+    parts = [children.apply(i) for i in range(children.size())]
+    if kind == "LambdaFunction":  # the body, then what it binds
+        bound = bound | {p.nameParts().apply(0).lower() for p in parts[1:]}
+        parts = parts[:1]
+    for part in parts:
+        yield from _named(part, bound)
 
 
 def expression(sql: str) -> Column:

@@ -228,7 +228,10 @@ def test_expressions_give_null_where_they_would_fail(spark):
     assert spark.conf.get("spark.sql.ansi.enabled") == "true"
 
 
-def test_names_in_an_expression():
+def test_names_in_an_expression(spark):
+    assert names_in("year > 2000 and date = '2020-01-01' and amount > 1 and `day` < current_date") == ["year", "date", "amount", "day"]
+    assert names_in("aggregate(a, 0, (acc, x) -> acc + x.y + s.z, acc -> acc * b)") == ["a", "s", "b"]
+    assert names_in("x -> x + 1 >") == [] and names_in("interval 1 day + day") == ["day"]
     assert names_in("sum(`a.b` * price) / count_if(status = 'open' AND NOT is_big)") == ["a.b", "price", "status", "is_big"]
     assert names_in("transform(items, x -> x + tax)") == ["items", "tax"] and names_in("CAST(b AS INT) IS NULL") == ["b"]
 
