@@ -1,17 +1,19 @@
 """Toxic passages by maximum-scoring segments of token log-odds, calibrated by extreme values.
 
 Tokens are runs of letters and digits, in lower case. A token has as features itself and its beginnings of 3 to 8 bytes,
-as inflected words share their stem. Over a bounded sample of labelled documents, a feature's log-odds of being in toxic
-against other documents have an informative Dirichlet prior (the whole sample's frequencies); features whose log-odds are
-some standard deviations above zero are the lexicon. A token scores the largest log-odds of its features, and a token
-without any scores the log-odds of not being in the lexicon, which is below zero. One scan over a text's tokens finds all
+as inflected words share their stem. Over a bounded sample of labelled documents, a feature's log-odds of being among the
+distinct tokens of toxic against other documents have an informative Dirichlet prior (the whole sample's rates); these are rates
+a token, so that longer texts of a label favour no word. Features whose log-odds are at least EFFECT, and whose
+likelihood ratio against equal rates is as sure as SURE standard deviations, are the lexicon. A token scores the largest log-odds of its features, and a token without any scores the log-odds
+of not being in the lexicon, or less, so that the mean score of clean text is below zero. One scan over a text's tokens finds all
 maximal segments (no part of one that is cut off at either end sums to less than zero, and none can be longer); those
 whose score could hardly come from clean text are its toxic passages. How probable a score is follows the extreme-value law
 of segment scores: lambda solves E[exp(lambda s)] = 1 over tokens of clean documents, K comes from their best segments.
-A logistic function of the best passage's surprise, fitted on the sample, gives the score.
+A logistic function of the best passage's surprise, fitted on the sample and never falling, gives the score.
 
 Null and empty texts have no tokens and score as such a text. Rows are scored each for itself, a null id too (its fold is
-null). Without labels of both kinds every score is the share of toxic labels, or 0. Extra columns are not read.
+null). Without labels of both kinds every score is the share of toxic labels, or 0. Equal texts have equal scores. A very long text
+is scanned whole and needs some 40 bytes a byte of text. An empty table gives an empty table. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -25,15 +27,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablecare.llm.labelled import labelled, sampled, with_texts
+from tablecare.llm.links import discard, stored
 from tablecare.llm.text import Texts, crc_fold, map_texts, mix, runs, span_hashes
 
 #: Documents of each label that are learned from.
 SAMPLE = 20_000
 #: Features of the lexicon at most, the surest first; part of the model's size, not of what is scored.
 LEXICON = 50_000
-SURE = 4.0
-#: Weight of the prior, in documents.
-PRIOR = 10.0
+SURE = 5.0
+#: Least log-odds of a feature: toxic text has it this many times (as a logarithm) as often.
+EFFECT = 1.0
+#: Weight of the prior, in tokens.
+PRIOR = 500.0
 PREFIXES = range(3, 9)
 FOLDS, HELD = 5, 0
 THRESHOLD = 0.5
@@ -148,8 +153,14 @@ def surprise(best: np.ndarray, n: np.ndarray, lam: float, k: float) -> np.ndarra
     return -np.log(-np.expm1(-np.maximum(expected, 1e-300)))
 
 
+def _distinct(part: Texts, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Distinct tokens of each document, summed for label 0 and 1."""
+    pairs = np.unique(np.stack([rows.astype(np.uint64), span_hashes(part.data, starts, ends)], 1), axis=0) if len(rows) else np.zeros((0, 2), np.uint64)
+    return np.bincount(label[pairs[:, 0].astype(np.int64)], minlength=2)
+
+
 def _lexicon(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Features whose log-odds are surely above zero, by the documents that have them."""
+    """Features whose log-odds are surely above zero: the documents that have them against all distinct tokens of documents."""
     def count(part: Texts) -> pa.RecordBatch:
         label = part.rows.column(0).to_numpy()
         low, starts, ends, rows = tokens(part)
@@ -162,56 +173,70 @@ def _lexicon(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         keys, of = keys[order], of[order]
         first = np.ones(len(keys), bool)
         first[1:] = (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])
+        whole = _distinct(low, starts, ends, rows, label)
         keys, toxic = keys[first], label[of[first]]
         start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
         ones = np.add.reduceat(toxic, start) if len(start) else start
+        many = np.diff(np.append(start, len(keys)))
         return pa.RecordBatch.from_arrays(
-            [pa.array(keys[start].view(np.int64)), pa.array(ones.astype(np.int64)), pa.array(np.diff(np.append(start, len(keys))) - ones)],
+            [pa.array(np.append(keys[start].view(np.int64), 0)), pa.array(np.append(ones, whole[1]).astype(np.int64)), pa.array(np.append(many - ones, whole[0]).astype(np.int64))],
             names=["feature", "ones", "zeros"])
 
-    many = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
-    ones, zeros = many.get(1, 0), many.get(0, 0)
     counted = map_texts(sample, count, "feature long, ones long, zeros long", step=8 << 20).groupBy("feature").agg(
         F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
-    prior = F.lit(PRIOR) * (F.col("ones") + F.col("zeros")) / F.lit(ones + zeros)
+    # the row of feature 0 counts whole tokens, once a document
+    counted = stored(counted, "features")
+    total = counted.filter("feature = 0").agg(F.sum("ones"), F.sum("zeros")).first()
+    ones, zeros = (x or 0 for x in total)
+    prior = F.lit(PRIOR) * (F.col("ones") + F.col("zeros")) / F.lit(max(ones + zeros, 1))
     y, x = F.col("ones") + prior, F.col("zeros") + prior
     odds = F.log(y / (ones + PRIOR - y)) - F.log(x / (zeros + PRIOR - x))
-    counted = counted.filter("ones > 2").withColumn("odds", odds).withColumn("z", F.col("odds") / F.sqrt(1 / y + 1 / x))
-    rows = counted.filter(F.col("z") > SURE).orderBy(F.desc("z"), "feature").limit(LEXICON).toArrow()
+    # the likelihood ratio holds for features that clean text never has, whose odds have no standard deviation to speak of
+    share = ones / max(ones + zeros, 1)
+    seen = F.col("ones") + F.col("zeros")
+    ratio = F.col("ones") * F.log(F.col("ones") / (seen * share)) + F.when(F.col("zeros") > 0, F.col("zeros") * F.log(F.col("zeros") / (seen * (1 - share)))).otherwise(0.0)
+    found = counted.filter("feature != 0 and ones > 2").withColumn("odds", odds).withColumn("z", F.sqrt(F.greatest(2 * ratio, F.lit(0.0)))).filter(F.col("odds") > EFFECT)
+    rows = found.filter(F.col("z") > SURE).orderBy(F.desc("z"), "feature").limit(LEXICON).toArrow()
+    discard(counted)
     keys, odds = rows.column("feature").to_numpy().view(np.uint64), rows.column("odds").to_numpy()
     order = np.argsort(keys)
     return keys[order], odds[order]
 
 
 def _measured(sample: DataFrame, model: Model) -> tuple[np.ndarray, ...]:
-    """Of each sampled document: label, tokens, hits and best segment; and the counts of scores in clean documents."""
+    """Of each sampled document: label, tokens, hits and best segment; and how often which score is in clean documents."""
     shared = sample.sparkSession.sparkContext.broadcast(model)
 
     def measure(part: Texts) -> pa.RecordBatch:
         model = shared.value
+        label = part.rows.column(0).to_numpy()
         index, scores, _, _, rows = hits(part, model, model.table())
-        best, found, grid = np.zeros(len(part)), np.zeros(len(part), np.int64), [[] for _ in range(len(part))]
+        best, found = np.zeros(len(part)), np.zeros(len(part), np.int64)
         for row, _, places, own in _by_row(index, scores, rows, len(part)):
             best[row] = max(s for s, _, _ in segments(places, own, model.miss))
-            found[row], grid[row] = len(own), own
+            found[row] = len(own)
+        grid, many = np.unique(np.round(scores[label[rows[index]] == 0], 3), return_counts=True)
+        # documents first, then (-1, count, 0, score)
         return pa.RecordBatch.from_arrays(
-            [part.rows.column(0), pa.array(np.bincount(rows, minlength=len(part))), pa.array(found), pa.array(best), pa.array(grid, pa.list_(pa.float64()))],
-            names=["label", "n", "found", "best", "scores"])
+            [pa.array(np.append(label, np.full(len(grid), -1)).astype(np.int32)), pa.array(np.append(np.bincount(rows, minlength=len(part)), many)),
+             pa.array(np.append(found, np.zeros(len(grid), np.int64))), pa.array(np.append(best, grid))], names=["label", "n", "found", "best"])
 
-    rows = map_texts(sample, measure, "label int, n long, found long, best double, scores array<double>")
-    table = rows.select("label", "n", "found", "best", F.expr("if(label = 0, aggregate(scores, 0D, (a, x) -> a + exp(least(x, 50D))), 0D)").alias("mass"),
-                        F.expr("if(label = 0, scores, array())").alias("clean")).toArrow()
-    clean = table.column("clean").combine_chunks().flatten().to_numpy() if table.num_rows else np.zeros(0)
-    return (*(table.column(c).to_numpy() for c in ("label", "n", "found", "best")), clean)
+    rows = stored(map_texts(sample, measure, "label int, n long, found long, best double"), "measured")
+    table, clean = rows.filter("label >= 0").toArrow(), rows.filter("label < 0").groupBy("best").agg(F.sum("n").alias("n")).toArrow()
+    discard(rows)
+    return (*(table.column(c).to_numpy() for c in ("label", "n", "found", "best")), np.stack([clean.column(c).to_numpy() for c in ("best", "n")]))
 
 
 def _lambda(clean: np.ndarray, tokens_: int, miss: float, odds: np.ndarray) -> float:
-    """The root above zero of E[exp(lambda s)] = 1; one imagined hit of middling score keeps it finite."""
-    values = np.append(clean, np.median(odds) if len(odds) else 1.0)
-    share = 1 / max(tokens_, 2)
+    """The root above zero of E[exp(lambda s)] = 1; one imagined hit of middling score keeps it finite.
+
+    The mean of s is below zero (see ``_miss``), so there is one root.
+    """
+    values, many = np.append(clean[0], np.median(odds) if len(odds) else 1.0), np.append(clean[1], 1)
+    share = 1 / max(tokens_, 2 * many.sum())
 
     def over(lam: float) -> bool:
-        return share * np.exp(lam * values).sum() + (1 - share * len(values)) * np.exp(lam * miss) > 1
+        return share * (many * np.exp(lam * values)).sum() + (1 - share * many.sum()) * np.exp(lam * miss) > 1
 
     low, high = 1e-6, 1.0
     while not over(high) and high < 64:
@@ -222,8 +247,17 @@ def _lambda(clean: np.ndarray, tokens_: int, miss: float, odds: np.ndarray) -> f
     return high
 
 
+def _miss(toxic: float, clean: float, scores: np.ndarray, tokens_: int) -> float:
+    """The score of tokens outside the lexicon, from the rates of hits in toxic and clean text.
+
+    It is the log-odds of no hit, or what makes clean tokens score half of what their hits bring below zero, if that is lower.
+    """
+    gained = (scores[0] * scores[1]).sum() / max(tokens_, 1)
+    return min(-1e-3, float(np.log((1 - toxic) / (1 - clean))), -1.5 * gained / max(1 - clean, 0.1))
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Newton's method for one input, with a little ridge."""
+    """Newton's method for one input, with a little ridge; the slope is not below zero."""
     w = np.zeros(2)
     design = np.stack([x, np.ones_like(x)], 1)
     for _ in range(50):
@@ -234,6 +268,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
         w = w - np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
+    if w[0] < 0:  # surprise never speaks for clean text: the share of toxic documents alone
+        share = np.clip((weight * y).sum() / max(weight.sum(), 1e-9), 1e-9, 1 - 1e-9)
+        return 0.0, float(np.log(share / (1 - share)))
     return float(w[0]), float(w[1])
 
 
@@ -254,13 +291,11 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", folds: int
         return empty
     toxic = label == 1
     rate = [(found[own].sum() + 0.5) / (n[own].sum() + 1000.0) for own in (toxic, ~toxic)]
-    model.miss = min(-1e-4, float(np.log((1 - rate[0]) / (1 - rate[1]))))
+    model.miss = _miss(*rate, clean, int(n[~toxic].sum()))
     model.lam = _lambda(clean, int(n[~toxic].sum()), model.miss, model.odds)
     label, n, found, best, clean = _measured(sample, model)
-    # K: as many segments above the scores of clean documents as are expected there
-    level = best[~toxic & (best > 0)]
-    model.k = float(np.mean(np.exp(model.lam * np.minimum(level, 600 / model.lam)) / np.maximum(n[~toxic & (best > 0)], 1))) if len(level) else 0.1
-    model.k = float(np.clip(model.k * max(len(level), 1) / max((~toxic).sum(), 1), 1e-4, 1.0))
+    # K by maximum likelihood of the clean documents' best scores under exp(-K n exp(-lambda s)), no passage being a score of 0
+    model.k = float(np.clip((~toxic).sum() / max((n[~toxic] * np.exp(-model.lam * np.minimum(best[~toxic], 600 / model.lam))).sum(), 1.0), 1e-6, 1.0))
     weight = np.where(toxic, ones / max(toxic.sum(), 1), zeros / max((~toxic).sum(), 1))
     model.a, model.b = _logistic(surprise(best, n, model.lam, model.k).clip(0, 100), label.astype(float), weight / weight.sum() * len(label))
     return model
