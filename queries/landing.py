@@ -12,8 +12,8 @@ from tablecare.functions.dates import parse_timestamp
 from queries.tables import WITH_DIRTY, dirty_orders, table
 from tablecare.scratch import new_path
 from tablecare.sources import (
-    encodings, load_summary, manifest, read_csv, read_csv_files, read_json, read_parquet, write_csv,
-    write_parquet,
+    encodings, load_summary, manifest, read_csv, read_csv_files, read_json, read_parquet, read_parquet_files,
+    write_csv, write_parquet,
 )
 
 
@@ -105,6 +105,31 @@ def landing_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.coalesce("reason", F.lit("")).alias("reason"))
 
 
+def manifest_of_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions written in several formats, texts that begin like other formats, and customers above the size limit."""
+    root = new_path(spark, "mixed")
+    region = table(spark, sf_dir, "region").select("r_regionkey", "r_name").repartition(1)
+    region.write.parquet(f"{root}/a-parquet")
+    region.write.option("header", True).csv(f"{root}/b-csv")
+    region.write.json(f"{root}/c-json")
+    for name, head in (("d-plain", ""), ("e-like-parquet", "PAR1"), ("f-like-office", "PK\x03\x04")):
+        region.orderBy("r_regionkey").select(F.concat(F.lit(head), "r_name").alias("value")).coalesce(1).write.text(f"{root}/{name}")
+    table(spark, sf_dir, "customer").repartition(1).write.csv(f"{root}/g-large")
+    found = manifest(spark, root, max_bytes=5000).where(~F.col("path").rlike(r"/[_.][^/]*$"))
+    return found.select(F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1).alias("folder"), F.coalesce("format", F.lit("")).alias("format"), F.coalesce("reason", F.lit("")).alias("reason"))
+
+
+def parquet_with_broken_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in good Parquet files, and a text file that only ends like one: all rows, and the file as a reject."""
+    path = new_path(spark, "orders-parquet")
+    orders = table(spark, sf_dir, "orders")
+    orders.repartition(3).write.parquet(path)
+    orders.limit(1).select(F.lit("no Parquet, but PAR1").alias("value")).write.option("lineSep", "\x01").mode("append").text(path)
+    rows, rejects = read_parquet_files(spark, path)
+    return rows.agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 1).alias("price")).select(F.lit("rows").alias("part"), "n", "price").unionByName(
+        rejects.groupBy("reason").agg(F.count("*").alias("n")).select(F.col("reason").alias("part"), "n", F.lit(None).cast("double").alias("price")))
+
+
 def landing_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers written in three encodings, told apart and read as one table."""
     paths = []
@@ -135,6 +160,10 @@ QUERIES = {
         FROM lineitem GROUP BY l_returnflag"""),
     "source_load_summary": (summary_of_load, """SELECT 'parquet' AS format, 1 AS files, count(*) AS "rows", 11 AS columns FROM lineitem"""),
     "source_manifest": (landing_manifest, None),
+    "source_manifest_kinds": (manifest_of_kinds, """SELECT * FROM (VALUES ('a-parquet', 'parquet', ''), ('b-csv', 'csv', ''), ('c-json', 'json', ''), ('d-plain', '', 'unsupported'),
+        ('e-like-parquet', 'parquet', ''), ('f-like-office', 'xlsx', ''), ('g-large', 'csv', 'too large')) t(folder, format, reason)"""),
+    "source_parquet_broken": (parquet_with_broken_files, """SELECT 'rows' AS part, count(*) AS n, round(sum(o_totalprice), 1) AS price FROM orders
+        UNION ALL SELECT 'does not begin as Parquet', 1, NULL"""),
     "source_encodings": (landing_encodings, """SELECT s || c_mktsegment AS segment, count(*) AS n FROM customer,
         (VALUES ('日本'), ('é'), ('€')) t(s) GROUP BY 1"""),
 }

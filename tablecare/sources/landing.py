@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablecare.operators.schema import column
-from tablecare.sources.readers import read_csv
+from tablecare.scratch import new_path, ship_package
+from tablecare.sources.readers import SourceError, read_csv, read_parquet
 
 # Formats, and the first bytes that tell a format.
 SUPPORTED = ("csv", "xlsx", "xls", "json", "parquet")
@@ -37,19 +41,13 @@ def manifest(spark: SparkSession, folder: str, max_bytes: int | None = None) ->
     """``(path, length, format, reason)`` of all files below *folder*.
 
     *reason* is null, ``too large`` or ``unsupported``. Spark lists no empty
-    files. The listing reads names and sizes only; contents are opened just for files whose
-    extension does not settle the format, and never above the limit, if one is given.
+    files. The listing reads names and sizes only; of files whose extension does
+    not settle the format, and that are not above the limit, tasks read the first bytes.
     """
     max_bytes = 2**63 - 1 if max_bytes is None else max_bytes
     listed = _files(spark, folder).select("path", "length", extension(F.col("path")).alias("ext"))
     settled = F.col("ext").isin(*[e for e in SUPPORTED if e not in OFFICE])
-    unclear = [r["path"] for r in listed.where(~settled & (F.col("length") <= max_bytes)).select("path").collect()]
-    if unclear:
-        heads = _files(spark, unclear).where(F.col("length") <= max_bytes).select(
-            "path", F.hex(F.substring("content", 1, 8)).alias("head")
-        )
-    else:
-        heads = spark.createDataFrame([], "path string, head string")
+    heads = ends_of(listed.where(~settled & (F.col("length") <= max_bytes))).select("path", F.hex("head").alias("head"))
     fmt = format_of(F.col("ext"), signature_format(F.coalesce("head", F.lit(""))))
     reason = (
         F.when(F.col("length") > max_bytes, F.lit("too large"))
@@ -62,6 +60,89 @@ def manifest(spark: SparkSession, folder: str, max_bytes: int | None = None) ->
     )
 
 
+#: Bytes that are read at either end of a file.
+END_BYTES = 8
+
+
+def ends_of(files: DataFrame) -> DataFrame:
+    """``(path, head, tail)``: first and last bytes of the files (``path``, ``length``), read by tasks that open each and read no more.
+
+    Tasks open local and shared folders, S3, GCS and HDFS by themselves. Of a file system that only Spark's readers know, Spark
+    reads the files' contents instead; the paths of these files alone pass through the driver.
+    """
+    spark = files.sparkSession
+    ship_package(spark)
+    path = new_path(spark, "file-ends")
+    files.select("path", "length").repartition("path").mapInArrow(_read_ends, "path string, head binary, tail binary, opened boolean").write.parquet(path)
+    seen = spark.read.parquet(path)
+    opened = seen.where("opened").drop("opened")
+    others = [r["path"] for r in seen.where("NOT opened").select("path").collect()]
+    if not others:
+        return opened
+    tail = F.substring("content", -END_BYTES, END_BYTES)
+    return opened.unionByName(_files(spark, others).select("path", F.substring("content", 1, END_BYTES).alias("head"), tail.alias("tail")))
+
+
+def _read_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [_ends(path, length) for path, length in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).cast(pa.string()), *(pa.array([r and r[i] for r in rows], pa.binary()) for i in (0, 1)), pa.array([r is not None for r in rows])],
+            names=["path", "head", "tail", "opened"])
+
+
+def _ends(path: str, length: int) -> tuple[bytes, bytes] | None:
+    """First and last bytes, or None if the file system is not known here."""
+    scheme, _, rest = path.partition(":")
+    try:
+        if scheme == "file":
+            system, place = fs.LocalFileSystem(), "/" + rest.lstrip("/")
+        else:
+            system, place = fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + ":" + rest)
+        with system.open_input_file(place) as file:
+            return file.read_at(END_BYTES, 0), file.read_at(END_BYTES, max(length - END_BYTES, 0))
+    except (pa.ArrowException, OSError, ValueError):
+        return None
+
+
+# The bytes at both ends of a Parquet file (the second where the footer is encrypted), and the bytes of a footer's length.
+_MAGIC = (b"PAR1", b"PARE")
+_FOOTER_LENGTH = 4
+
+
+def broken_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``(path, reason)`` of files that are no whole Parquet files, told by their ends; hidden files are not looked at."""
+    files = _files(spark, path).where(~F.col("path").rlike(r"/[_.][^/]*$")).select("path", "length")
+    ends = files.join(ends_of(files), "path")
+    magic = [F.substring("tail", -4, 4).isin(*_MAGIC), F.substring("head", 1, 4).isin(*_MAGIC)]
+    little = F.concat(*[F.substring(F.hex(F.substring("tail", 1, _FOOTER_LENGTH)), 7 - 2 * i, 2) for i in range(_FOOTER_LENGTH)])
+    footer = F.conv(little, 16, 10).cast("bigint")
+    reason = (
+        F.when(F.col("length") < 12, F.lit("too short"))
+        .when(~magic[1], F.lit("does not begin as Parquet"))
+        .when(~magic[0], F.lit("cut off"))
+        .when(footer + 12 > F.col("length"), F.lit("footer longer than the file"))
+    )
+    return ends.select("path", reason.alias("reason")).where(F.col("reason").isNotNull())
+
+
+def read_parquet_files(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """``(rows, rejects)``: the rows of all whole Parquet files, and ``(path, reason)`` of the others.
+
+    Where all are whole the folder is read as it is; else the whole ones are listed for Spark. An error if none is.
+    """
+    where = new_path(spark, "broken-parquet")
+    broken_parquet(spark, path).write.parquet(where)
+    rejects = spark.read.schema("path string, reason string").parquet(where)
+    if rejects.isEmpty():
+        return read_parquet(spark, path), rejects
+    files = _files(spark, path).where(~F.col("path").rlike(r"/[_.][^/]*$")).select("path")
+    whole = [r["path"] for r in files.join(rejects, "path", "left_anti").collect()]
+    if not whole:
+        raise SourceError(f"no whole Parquet file in {path}")
+    return read_parquet(spark, whole), rejects
+
+
 def _files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
 
