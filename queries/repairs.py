@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from queries.tables import table
+from queries.tables import WITH_DIRTY, dirty_orders, table
 from tablecare.functions.dates import parse_timestamp
-from tablecare.operators.clean import Dedupe, Derive, DropMissing, MapLabels, Where
+from tablecare.operators.clean import Dedupe, Derive, DropMissing, Fill, Head, MapLabels, Strip, ToNumber, Where
 from tablecare.operators.kpi import Kpi, kpis, screen_kpis
 from tablecare.operators.profile import duplicate_count
 from tablecare.plans.plan import Plan
@@ -72,6 +72,19 @@ def plan_screened_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _NAMES.screen(orders.columns).apply(orders)[0].drop("s")
 
 
+_COUNTED = Plan([
+    Strip(["priority"], id="strip"), ToNumber(["cust_txt"], id="number"), Fill(["amount"], how="median", id="fill"), Derive("none", "nowhere + 1", id="none"),
+    DropMissing(["status"], id="drop"), Where("o_orderkey % 5 > 0", id="where"), Dedupe(["cust_txt"], ["o_orderkey"], id="first"), Head(n=10, order_by=["o_orderkey"], id="head"),
+])
+
+
+def plan_log_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each step did to the rows of dirty orders, counted while the cleaned table is read."""
+    rows, counts = _COUNTED.observed(dirty_orders(spark, sf_dir))
+    rows.write.parquet(new_path(spark, "counted"))
+    return counts.frame().select("id", "status", "rows_in", "rows_out", "changed")
+
+
 def map_labels_beside_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most frequent spelling in a table that has a column ``label`` of its own."""
     rows = table(spark, sf_dir, "embeddings").selectExpr("vec_id", "label", "CASE WHEN vec_id % 5 = 0 THEN upper(concat('kind ', label)) ELSE concat('kind ', label) END AS name")
@@ -146,6 +159,11 @@ QUERIES = {
     "plan_lenient": (plan_lenient, """SELECT o_orderkey, NULL::INT AS as_number, NULL::DOUBLE AS share, NULL::VARCHAR AS third, o_totalprice / 2 AS half FROM orders"""),
     "plan_lenient_log": (plan_lenient_log, f"""SELECT * FROM (VALUES ('cast', 'ok'), ('zero', 'ok'), ('place', 'ok'), ('gone', 'skip'), ('where', 'ok'), ('half', 'ok')) t(id, status), {_HALVES}"""),
     "plan_screened": (plan_screened, f"SELECT 'half' AS id, 'ok' AS status, * FROM {_HALVES}"),
+    "plan_log_counts": (plan_log_counts, f"""{WITH_DIRTY}, a AS (SELECT count(*) AS n, count(*) FILTER (priority <> trim(priority)) AS padded, count(*) FILTER (cust_txt = 'abc') AS words,
+        count(*) FILTER (amount IS NULL) AS gaps, count(status) AS kept, count(status) FILTER (o_orderkey % 5 > 0) AS few, count(DISTINCT CASE WHEN status IS NOT NULL AND o_orderkey % 5 > 0 THEN cust_txt END) AS first FROM dirty)
+        SELECT 'strip' AS id, 'ok' AS status, n AS rows_in, n AS rows_out, padded AS changed FROM a UNION ALL SELECT 'number', 'ok', n, n, words FROM a UNION ALL SELECT 'fill', 'ok', n, n, gaps FROM a
+        UNION ALL SELECT 'none', 'skip', n, n, 0 FROM a UNION ALL SELECT 'drop', 'ok', n, kept, 0 FROM a UNION ALL SELECT 'where', 'ok', kept, few, 0 FROM a
+        UNION ALL SELECT 'first', 'ok', few, first, NULL FROM a UNION ALL SELECT 'head', 'ok', first, least(first, 10), NULL FROM a"""),
     "plan_screened_names": (plan_screened_names, """SELECT *, o_orderkey % 7 AS day, o_custkey > 700 OR o_orderkey > 700 AS late, o_orderstatus <> 'year' AS "when", o_custkey + 1 AS first FROM orders"""),
     "clean_map_labels_embeddings": (map_labels_beside_label, """WITH r AS (SELECT vec_id, label, CASE WHEN vec_id % 5 = 0 THEN upper(concat('kind ', label)) ELSE concat('kind ', label) END AS name FROM embeddings),
         n AS (SELECT lower(name) AS k, name AS best, row_number() OVER (PARTITION BY lower(name) ORDER BY count(*) DESC, name) AS r FROM r GROUP BY name)

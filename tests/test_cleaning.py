@@ -239,3 +239,26 @@ def test_names_in_an_expression(spark):
 def test_labels_beside_columns_of_the_same_names(spark):
     df = spark.createDataFrame([("A", 1, 2), ("a", 1, 2), ("A", 3, 4)], "name string, label int, canonical int")
     assert sorted(tuple(r) for r in MapLabels("name").apply(df).collect()) == [("A", 1, 2), ("A", 1, 2), ("A", 3, 4)]
+
+
+def test_counts_of_steps_cost_no_job(spark):
+    df = spark.createDataFrame([(1, " a", "1"), (2, "b", "x"), (3, None, "3"), (4, "d", "7")], "id int, s string, n string").repartition(2)
+    plan = Plan([Strip(["s"], id="strip"), ToNumber(["n"], id="number"), Derive("d", "nowhere + 1", id="none"), DropMissing(["s"], id="drop"), Rename({"s": "t"}, id="rename"),
+                 Strip(["s"], id="again"), Where("id > 1", id="where"), Dedupe(id="equal"), Fill(["n"], how="median", id="fill")])
+
+    def jobs(run):
+        spark.sparkContext.setJobGroup(name := f"jobs {id(run)}", name)
+        run()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+    held = []
+
+    def observed():
+        done, counts = plan.observed(df)
+        done.collect()
+        held.append(counts)
+
+    assert jobs(lambda: plan.apply(df)[0].collect()) == jobs(observed)
+    got = {r["id"]: (r["status"], r["rows_in"], r["rows_out"], r["changed"]) for r in held[0].frame().collect()}
+    assert got == {"strip": ("ok", 4, 4, 1), "number": ("ok", 4, 4, 1), "none": ("skip", 4, 4, 0), "drop": ("ok", 4, 3, 0), "rename": ("ok", 3, 3, None), "again": ("ok", 3, 3, 0),
+                   "where": ("ok", 3, 2, 0), "equal": ("ok", 2, 2, None), "fill": ("ok", 2, 2, 1)}
