@@ -52,7 +52,8 @@ def components(links: DataFrame, kind: str = "long") -> DataFrame:
     edges = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "links")
     seen = state(edges)
     while seen[0]:
-        edges = stored(star(star(edges, True), False), "links")
+        last, edges = edges, stored(star(star(edges, True), False), "links")
+        discard(last)
         now = state(edges)
         if now == seen:
             break

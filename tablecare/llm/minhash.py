@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablecare.llm.links import bit_filter, components, passes, stored
+from tablecare.llm.links import bit_filter, components, discard, passes, stored
 from tablecare.llm.text import Texts, bounded_batches, map_texts, packed, unpacked, window_hashes, span_hashes
 
 WORDS = 5
@@ -238,6 +238,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     rows = stored(sketches(docs, text, [id_column], size, k), "sketches")
     full = rows.filter("node is not null")
     nodes = stored(full.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
+    # sketches are needed once a node from here on
+    slim = stored(rows.drop("sketch"), "rows")
+    discard(rows)
+    rows, full = slim, slim.filter("node is not null")
     lists = stored(_listed(nodes, k, similar), "lists")
 
     heads_of = lists.groupBy("value").agg(
@@ -245,29 +249,38 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     first = lists.alias("x").join(heads_of.alias("h"), "value").filter(
         (F.col("x.node") != F.col("h.node")) & _possible("x", "h", k, similar)
     ).select(F.col("h.node").alias("a"), F.col("x.node").alias("b")).distinct()
-    first = stored(_estimated(stored(first, "near"), nodes, k, similar), "pairs")
-    linked = stored(_verified(first, stored(_sets_of(first, docs, text, size), "sets"), similar), "linked")
+    near = stored(first, "near")
+    first = stored(_estimated(near, nodes, k, similar), "pairs")
+    discard(near)
+    sets = stored(_sets_of(first, docs, text, size), "sets")
+    linked = stored(_verified(first, sets, similar), "linked")
+    discard(sets)
 
     # texts already linked to one head, or to heads that are linked, need no comparison with each other
     label = stored(components(linked), "labels")
     open_lists = lists.join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_lists = stored(open_lists, "open")
+    discard(lists)
     mixed = open_lists.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("value")
     own = open_lists.join(mixed, "value").groupBy("node", "n", "root", "least").agg(
         F.sort_array(F.collect_list(F.struct((-F.col("room")).alias("at"), "value"))).alias("own"))
     left = own.select("node", "n", "root", "least", F.posexplode("own").alias("place", "it"), F.expr("transform(own, x -> x.value)").alias("values")).select(
         "node", "n", "root", "least", F.col("it.value").alias("value"), (-F.col("it.at")).alias("room"), F.expr("slice(values, 1, place)").alias("before"))
     left = stored(left, "left")
+    discard(open_lists)
     rest = left.alias("x").join(left.alias("y"), "value").filter(
         (F.col("x.root") != F.col("y.root")) & (F.struct("x.n", "x.node") < F.struct("y.n", "y.node")) & _possible("x", "y", k, similar)
         & ~F.arrays_overlap("x.before", "y.before")  # each pair at its first common value only
     ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     done = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = stored(rest.join(done, ["a", "b"], "left_anti"), "near")
-    rest = stored(_estimated(rest, nodes, k, similar), "pairs")
+    near = stored(rest.join(done, ["a", "b"], "left_anti"), "near")
+    discard(left)
+    rest = stored(_estimated(near, nodes, k, similar), "pairs")
+    discard(near, nodes)
     if rest.head(1):
-        more = _verified(rest, stored(_sets_of(rest, docs, text, size), "sets"), similar)
-        label = components(linked.unionByName(more))
+        sets = stored(_sets_of(rest, docs, text, size), "sets")
+        label = components(linked.unionByName(_verified(rest, sets, similar)))
+        discard(sets)
 
     ids = full.groupBy("node").agg(F.min(id_column).alias("low")).join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
     low = ids.groupBy("root").agg(F.min("low").alias("component_id"))

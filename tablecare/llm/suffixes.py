@@ -185,8 +185,8 @@ def _subs(blocks: Blocks) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return of, first, many, common, key
 
 
-def repeated(rows: DataFrame) -> DataFrame:
-    """(id, tag, first, end) of byte ranges of texts that occur earlier; ranges overlap. ``rows``: id, tag, text."""
+def repeated(rows: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(id, tag, first, end) of byte ranges of texts that occur earlier; ranges overlap. And the tables that they are read from. ``rows``: id, tag, text."""
     spark = rows.sparkSession
 
     def seeds(part: Texts) -> pa.RecordBatch:
@@ -284,7 +284,7 @@ def repeated(rows: DataFrame) -> DataFrame:
     strings = stored(map_texts(rows, remaining, "string long, id long, tag long, start long", step=STEP), "strings")
     ordered = strings.groupBy("string").agg(F.count("*").alias("seen"), F.min(_place()).alias("first")).filter("seen > 1")
     other = strings.join(ordered, "string").filter(_place() != F.col("first")).select("id", "tag", F.col("start").alias("first"), (F.col("start") + SIZE).alias("end"))
-    return later.unionByName(again).unionByName(other)
+    return later.unionByName(again).unionByName(other), [later, again, strings]
 
 
 def _filters(firsts: DataFrame) -> tuple:
@@ -308,7 +308,9 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     told_of = base.select(F.col("__id").alias("id"), F.col("__tag").alias("tag"), rest, F.col(text).alias("text"))
     rows = told_of.select("id", "tag", "text")
     kind = told_of.schema["rest"].dataType.simpleString()
-    cuts = stored(repeated(rows).groupBy("id", "tag").agg(F.collect_list(F.struct("first", "end")).alias("cuts")), "cuts")
+    found, tables = repeated(rows)
+    cuts = stored(found.groupBy("id", "tag").agg(F.collect_list(F.struct("first", "end")).alias("cuts")), "cuts")
+    discard(*tables)
     touched = spark.sparkContext.broadcast(bit_filter(cuts.select("id"), ROW_BITS))
     schema = f"id long, tag long, rest {kind}, n_bytes long, digest string, text string"
 
