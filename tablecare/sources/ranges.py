@@ -37,7 +37,8 @@ class Grammar:
     """How pieces change the state, as columns of the piece (a text column named ``piece``).
 
     closed, opened: are quotes open after the piece, if they were closed, open before it; up, up_opened: change of depth in these
-    cases; nested: does the file's first piece make depth 1 the level of records; ``terminated``: a record needs its last separator,
+    cases; nested: does the file's first piece make depth 1 the level of records; spans: would a reader of plain lines cut
+    records elsewhere; ``terminated``: a record needs its last separator,
     which belongs to it.
     """
 
@@ -47,6 +48,7 @@ class Grammar:
     up: Column
     up_opened: Column
     nested: Column
+    spans: Column
     terminated: bool
 
 
@@ -56,7 +58,8 @@ def csv_grammar(sep: str) -> Grammar:
     inside = r'[^"]*+(?:""[^"]*+)*+'
     rest = f'(?:(?:"{inside}"{other}*+|[^"{_in_class(sep)}]{other}*+|){_literal(sep)})*+"{inside}\\z'
     piece, none = F.col("piece"), F.lit(0)
-    return Grammar("\n", piece.rlike(f"\\A{rest}"), piece.rlike(f'\\A{inside}(?:\\z|"{other}*+{_literal(sep)}{rest})'), none, none, F.lit(False), False)
+    closed = piece.rlike(f"\\A{rest}")
+    return Grammar("\n", closed, piece.rlike(f'\\A{inside}(?:\\z|"{other}*+{_literal(sep)}{rest})'), none, none, F.lit(False), closed | piece.rlike(r"(?s)\r."), False)
 
 
 def json_grammar() -> Grammar:
@@ -73,7 +76,7 @@ def json_grammar() -> Grammar:
 
     odd = quotes % 2 == 1
     return Grammar("}", odd, ~odd, depth(plain, odd), depth(F.regexp_replace(plain, r'\A[^"]*+(?:"|\z)', ""), ~odd),
-                   F.col("piece").rlike(r"\A\s*\["), True)
+                   F.col("piece").rlike(r"\A\s*\["), F.lit(True), True)
 
 
 def _literal(char: str) -> str:
@@ -142,8 +145,8 @@ def _composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[tuple, list] = {}
 
     def out() -> pa.RecordBatch:
-        rows = [(*key, read, nested, *(x for state in states for x in state)) for key, (read, nested, states) in held.items()]
-        names = [*_RANGE, "read", "nested", "end0", "depth0", "least0", "end1", "depth1", "least1"]
+        rows = [(*key, read, nested, spans, *(x for state in states for x in state)) for key, (read, nested, states, spans) in held.items()]
+        names = [*_RANGE, "read", "nested", "spans", "end0", "depth0", "least0", "end1", "depth1", "least1"]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names)
 
     for batch in batches:
@@ -152,10 +155,11 @@ def _composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if held:
                     yield out()
                     held.clear()
-                held[key] = [0, part.column(part.schema.get_field_index("nested"))[0].as_py(), [(False, 0, _NONE), (True, 0, _NONE)]]
+                held[key] = [0, part.column(part.schema.get_field_index("nested"))[0].as_py(), [(False, 0, _NONE), (True, 0, _NONE)], False]
             own = held[key]
             own[0] += pc.sum(part.column(part.schema.get_field_index("size"))).as_py()
             closed, opened, up, up_opened = _arrays(part)
+            own[3] = own[3] or bool(pc.any(part.column(part.schema.get_field_index("spans"))).as_py())
             for h, (state, depth, least) in enumerate(own[2]):
                 after = _states(closed, opened, state)
                 depths = _depths(after, state, depth, up, up_opened)
@@ -165,15 +169,16 @@ def _composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _ranges(pieces: DataFrame, grammar: Grammar) -> DataFrame:
-    """The true start of each range: (id, file, start, length, opened_before, depth_before, origin, final, cut, any_open).
+def starts(spark: SparkSession, paths: Sequence[str], grammar: Grammar) -> DataFrame:
+    """The true start of each range: (id, file, start, length, opened_before, depth_before, origin, final, cut, spans and more).
 
     ``origin`` is the range in which the record that is unfinished at the start began, null if none is; ``depth_before`` counts from
-    the level of records; ``cut``: the file's last piece lacks its separator.
+    the level of records; ``cut``: the file's last piece lacks its separator; ``spans``: a reader of plain lines would
+    cut records elsewhere, as a piece of the range opens quotes that it does not close, say.
     """
-    spark = pieces.sparkSession
-    coded = pieces.select(*_RANGE, (F.octet_length("piece") + 1).cast("long").alias("size"), grammar.nested.alias("nested"), *_codes(grammar))
-    schema = ("file long, start long, length long, file_size long, read long, nested boolean, end0 boolean, depth0 long, least0 long, end1 boolean, depth1 long, least1 long")
+    pieces = _pieces(spark, paths, grammar)
+    coded = pieces.select(*_RANGE, (F.octet_length("piece") + 1).cast("long").alias("size"), grammar.nested.alias("nested"), grammar.spans.alias("spans"), *_codes(grammar))
+    schema = ("file long, start long, length long, file_size long, read long, nested boolean, spans boolean, end0 boolean, depth0 long, least0 long, end1 boolean, depth1 long, least1 long")
     path = new_path(spark, "ranges")
     coded.mapInArrow(_composed, schema).write.parquet(path)
     rows = spark.read.parquet(path)
@@ -196,7 +201,7 @@ def _ranges(pieces: DataFrame, grammar: Grammar) -> DataFrame:
                              "cut": F.lit(grammar.terminated) & ~over.isin(0, -3)}).withColumn("id", F.monotonically_increasing_id())
     # ids ascend within a file, as rows are sorted by start there; stored, so that they stay what they are
     path = new_path(spark, "range-starts")
-    rows.select("id", *_RANGE, "opened_before", "depth_before", "inside", "through", "final", "cut").write.parquet(path)
+    rows.select("id", *_RANGE, "opened_before", "depth_before", "inside", "through", "final", "cut", "spans").write.parquet(path)
     stored = spark.read.parquet(path)
     began = F.last(F.when(~F.col("through"), F.col("id")), ignorenulls=True).over(earlier)
     return stored.withColumn("origin", F.when(F.col("inside"), F.coalesce(began, F.col("id"))))
@@ -295,10 +300,9 @@ def _plain(batch: pa.RecordBatch) -> pa.RecordBatch:
     return batch.set_column(0, "record", batch.column(0).cast(pa.binary()))
 
 
-def records(spark: SparkSession, paths: Sequence[str], grammar: Grammar) -> DataFrame:
+def records(spark: SparkSession, paths: Sequence[str], grammar: Grammar, ranges: DataFrame) -> DataFrame:
     """(record binary, whole boolean, first boolean): the records of files; ``first``: that of its file; not ``whole``: the file ends within it."""
     pieces = _pieces(spark, paths, grammar)
-    ranges = _ranges(pieces, grammar)
     many = ranges.count()
     if many > MOST_RANGES:
         raise ValueError(f"{many} ranges of files: raise spark.sql.files.maxPartitionBytes")

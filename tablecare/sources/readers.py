@@ -69,8 +69,8 @@ def read_csv(
     Quotes may hold line breaks. Files are read range by range all the same
     (see ``ranges``), in encodings that have ASCII as it is and with line feeds
     (with or without a return before) between lines; a file in another encoding
-    is read by one task. Where no quotes hold line breaks, ``multi_line=False``
-    saves the pass that looks for them.
+    is read by one task. A first pass looks whether quotes hold line breaks; where
+    none do, ``multi_line=False`` saves that pass.
     """
     try:
         header = _csv(spark, encoding, multi_line, sep).csv(path).columns
@@ -78,8 +78,14 @@ def read_csv(
         raise SourceError(f"cannot read CSV {path}: {_cause(error)}") from error
     if not header:
         raise SourceError(f"no columns in CSV {path}: it lacks a header row")
+    paths = [path] if isinstance(path, str) else path
+    starts = None
     if multi_line and _ascii_inside(encoding) and len(sep) == 1:
-        rows = _csv_ranges(spark, [path] if isinstance(path, str) else path, header, encoding, sep)
+        starts = ranges.starts(spark, paths, ranges.csv_grammar(sep))
+        # without line breaks in quotes Spark's own reader cuts the files as well
+        multi_line = not starts.where("spans").isEmpty()
+    if starts is not None and multi_line:
+        rows = _csv_ranges(spark, paths, header, encoding, sep, starts)
     else:
         schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, CORRUPT]])
         rows = (
@@ -98,9 +104,11 @@ def _ascii_inside(encoding: str) -> bool:
     return name in ("utf-8", "utf8", "us-ascii", "ascii", "latin1") or name.startswith(("iso-8859-", "windows-125", "cp125"))
 
 
-def _csv_ranges(spark: SparkSession, paths: Sequence[str], header: Sequence[str], encoding: str, sep: str) -> DataFrame:
+def _csv_ranges(
+    spark: SparkSession, paths: Sequence[str], header: Sequence[str], encoding: str, sep: str, starts: DataFrame
+) -> DataFrame:
     """The columns of *header* and the text of lines that do not fit it, of files that are read range by range."""
-    found = ranges.records(spark, paths, ranges.csv_grammar(sep))
+    found = ranges.records(spark, paths, ranges.csv_grammar(sep), starts)
     text = F.col("record").cast("string") if _utf8(encoding) else F.decode("record", encoding)
     lines = found.select(F.regexp_replace(text, r"\r\z", "").alias("line"), "first").where(F.col("line") != "")
     names = [f"c{i}" for i in range(len(header))]
@@ -167,7 +175,8 @@ def read_json(
 
 
 def _json_ranges(spark: SparkSession, paths: Sequence[str], schema: T.StructType) -> DataFrame:
-    found = ranges.records(spark, paths, ranges.json_grammar())
+    grammar = ranges.json_grammar()
+    found = ranges.records(spark, paths, grammar, ranges.starts(spark, paths, grammar))
     text = F.col("record").cast("string")
     # the array's own signs around its elements
     element = F.regexp_replace(F.concat(text, F.when(F.col("whole"), F.lit("}")).otherwise(F.lit(""))), r"\A\s*[\[,]?\s*|\s+\z", "")

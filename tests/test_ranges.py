@@ -74,6 +74,9 @@ def test_encodings_blank_lines_and_another_separator(spark, cut, tmp_path):
 def test_another_header_in_a_folder_is_an_error(spark, cut, tmp_path):
     (tmp_path / "a.csv").write_text("k,v\n1,2\n")
     (tmp_path / "b.csv").write_text("k,w\n1,2\n")
+    with pytest.raises(Exception, match="FAILED_READ_FILE"):  # by Spark's reader, as each line is a record
+        read_csv(spark, str(tmp_path))[0].collect()
+    (tmp_path / "a.csv").write_text('k,v\n1,"2\n"\n')
     with pytest.raises(Exception, match="another header"):
         read_csv(spark, str(tmp_path))[0].collect()
     with pytest.raises(SourceError):
@@ -140,3 +143,8 @@ def test_a_csv_without_line_breaks_in_quotes_needs_no_second_look(spark, cut, tm
     good, rejects = read_csv(spark, str(tmp_path / "n"), multi_line=False)
     again, _ = read_csv(spark, str(tmp_path / "n"))
     assert good.count() == again.count() == 1000 and rejects.isEmpty() and again.exceptAll(good).isEmpty()
+
+
+def test_returns_in_quotes_are_no_ends(spark, cut, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b'k,v\r\n1,"a\rb"\r\n2,c\r\n')
+    assert {tuple(r) for r in read_csv(spark, str(tmp_path / "a.csv"))[0].collect()} == {("1", "a\rb"), ("2", "c")}
