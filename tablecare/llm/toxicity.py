@@ -45,6 +45,8 @@ THRESHOLD = 0.5
 #: Passages under this probability in clean text are reported.
 SIGNIFICANT = 0.01
 _TABLE = 1 << 20
+#: Bytes of text whose features are counted at once, at some 80 bytes each.
+_COUNT_BYTES = 3 << 20
 
 
 _LETTER = np.zeros(256, bool)
@@ -155,8 +157,12 @@ def surprise(best: np.ndarray, n: np.ndarray, lam: float, k: float) -> np.ndarra
 
 def _distinct(part: Texts, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray, label: np.ndarray) -> np.ndarray:
     """Distinct tokens of each document, summed for label 0 and 1."""
-    pairs = np.unique(np.stack([rows.astype(np.uint64), span_hashes(part.data, starts, ends)], 1), axis=0) if len(rows) else np.zeros((0, 2), np.uint64)
-    return np.bincount(label[pairs[:, 0].astype(np.int64)], minlength=2)
+    words = span_hashes(part.data, starts, ends)
+    order = np.lexsort((words, rows))
+    rows, words = rows[order], words[order]
+    first = np.ones(len(rows), bool)
+    first[1:] = (rows[1:] != rows[:-1]) | (words[1:] != words[:-1])
+    return np.bincount(label[rows[first]], minlength=2)
 
 
 def _lexicon(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -167,7 +173,7 @@ def _lexicon(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         keys, of = [], []
         for at, found in features(low, starts, ends):
             keys.append(found)
-            of.append(rows[at])
+            of.append(rows[at].astype(np.int32))
         keys, of = np.concatenate(keys), np.concatenate(of)
         order = np.lexsort((of, keys))
         keys, of = keys[order], of[order]
@@ -182,7 +188,7 @@ def _lexicon(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             [pa.array(np.append(keys[start].view(np.int64), 0)), pa.array(np.append(ones, whole[1]).astype(np.int64)), pa.array(np.append(many - ones, whole[0]).astype(np.int64))],
             names=["feature", "ones", "zeros"])
 
-    counted = map_texts(sample, count, "feature long, ones long, zeros long", step=8 << 20).groupBy("feature").agg(
+    counted = map_texts(sample, count, "feature long, ones long, zeros long", step=_COUNT_BYTES).groupBy("feature").agg(
         F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
     # the row of feature 0 counts whole tokens, once a document
     counted = stored(counted, "features")
