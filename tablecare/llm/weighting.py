@@ -5,285 +5,478 @@ has a binary source with a context tree of its own: its node at depth d is named
 the Krichevsky-Trofimov estimate of the zeros and ones seen there; its weighted probability is half that of its own
 estimate and half the product of its children's. So all depths are mixed with the weights that the training texts earn them.
 
-Counts of strings of DEPTH + 1 bytes are combined over all training texts; from them nodes are summed depth by depth, the
-deepest first, each level a grouped aggregate. On the way back down every node gets the probability of a one that holds
-when it is the deepest node known of its context: what the nodes above it contribute, and its own rest. The nodes are dealt
-to as many parts as keep a part under PART_NODES, by the last two bytes of the context, and texts are scored once for each
-part; what depends on the parts adds up, so the model's size is no limit and needs no other way.
+Texts are dealt to blocks of some megabytes as they are read, and each block says once which strings of DEPTH + 1 bytes it
+holds and how often training texts hold them. Strings are dealt to buckets by the SPLIT bytes before their last byte, so the
+nodes of deeper contexts are all in one bucket and are worked out there, from the strings themselves, without rows of their
+own. Nodes of shorter contexts are summed depth by depth in grouped aggregates. Back down, every bucket gets what the nodes
+above it contribute, gives each of its strings a cost, and each block the costs of the strings it asked for; the block's
+texts then meet that list. Strings that only held-out texts have are nodes without counts, which code a bit with 1/2 and change
+no other node. The model never passes through the driver, and a task holds one block's list or one bucket's strings.
 
-Beside it, the base: unigram probabilities of words, smoothed. The most frequent words' counts are in each task; the other
-words of a text are joined with the table of counts.
+Beside it, the base: unigram probabilities of words, smoothed. Words take the same way as strings, with counts for costs.
 
 Texts are scored in lower case (A-Z), with a zero byte as their end. Null and empty texts have the end alone. A text whose
-id is null is scored but not learned from. Rows are scored each for itself. Without training texts each bit costs one bit.
-Extra columns are not read.
+id is null is scored but not learned from. Rows are scored each for itself, repeated ones too; a very long text is a block of
+its own and is worked through in steps. Without training texts each bit costs one bit. Extra columns are not read.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablecare.llm.links import discard, stored
-from tablecare.llm.text import Texts, crc_fold, map_texts, mix, span_hashes
+from tablecare.llm.text import Texts, bounded_batches, crc_fold, mix, span_hashes, texts
 
-#: Bytes of the longest context: with 6, a string and its place in the byte still fit 64-bit keys.
+#: Bytes of the longest context: with 6, a string and a bit beside it fit 64-bit keys.
 DEPTH = 6
+#: Bytes of the contexts that buckets are dealt by: a bucket's context has at most 2 ** (8 * (DEPTH - SPLIT + 1)) strings.
+SPLIT = 4
 FOLDS, HELD = 10, 0
-#: Nodes, and strings, of a part of the model that tasks hold at once.
-PART_NODES = 12_000_000
-#: Words whose counts tasks hold; the rest is joined.
-FREQUENT = 1 << 19
-TRAIN_STEP = 4 << 20
-END = np.uint64(0xE17A1465E17A1465)
+#: Bytes of text of a block, which asks once for each string it holds.
+BLOCK_BYTES = 32 << 20
+#: Bytes of text for which there is one bucket of strings and one of words.
+BUCKET_BYTES = 8 << 20
+STEP = 4 << 20
+END = np.uint64(0xE17A1465E17A1465 >> 1)
+
+#: Kinds of rows that meet: strings or words, a bucket's parents, what a block asks for; texts.
+STRINGS, WORDS, TEXT = 0, 1, 2
 
 _LN2 = np.log(2)
+_TABLED = 1 << 16
+_HALVES = 0.5 * np.log(np.pi) + np.concatenate([[0.0], np.cumsum(np.log(np.arange(_TABLED - 1) + 0.5))])
+_WHOLES = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, _TABLED)))])
+
 
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    """ln of the gamma function of large numbers, by Stirling's series."""
+    return (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + 1 / (12 * x) - 1 / (360 * x**3)
 
-def lgamma(x: np.ndarray) -> np.ndarray:
-    """ln of the gamma function of numbers of at least 1/2, by Stirling's series after eight steps up."""
-    x = np.asarray(x, float)
-    y = x + 8
-    steps = sum(np.log(x + i) for i in range(8))
-    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - steps
+
+def _tabled(table: np.ndarray, counts: np.ndarray, plus: float) -> np.ndarray:
+    out = table[np.minimum(counts, _TABLED - 1)]
+    large = counts >= _TABLED
+    if large.any():
+        out[large] = _lgamma(counts[large] + plus)
+    return out
 
 
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """ln of the Krichevsky-Trofimov probability of a sequence with these counts."""
-    return lgamma(zeros + 0.5) + lgamma(ones + 0.5) - lgamma(zeros + ones + 1.0) - np.log(np.pi)
+    """ln of the Krichevsky-Trofimov probability of a sequence with these counts (integers)."""
+    return _tabled(_HALVES, zeros, 0.5) + _tabled(_HALVES, ones, 0.5) - _tabled(_WHOLES, zeros + ones, 1.0) - np.log(np.pi)
 
 
-def strings(part: Texts) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte of the lower-cased texts and their ends: the DEPTH bytes before it and itself as one number; bytes by row."""
+def strings(part: Texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The string at each byte of the lower-cased texts and their ends, and its row, in steps.
+
+    A string is a number: the DEPTH bytes before the byte, the nearest one highest, and the byte lowest.
+    """
     low = part.lower()
-    n = np.diff(low.offs)
-    wide = n + DEPTH + 1  # zeros before the text, a zero after it
+    n = np.diff(low.offs) + 1
+    wide = n + DEPTH  # zeros before the text, a zero after it
     starts = np.cumsum(wide) - wide
-    data = np.zeros(int(wide.sum()), np.uint8)
-    data[np.arange(len(low.data)) + np.repeat(starts + DEPTH - low.offs[:-1], n)] = low.data
-    at = np.arange(int((n + 1).sum())) + np.repeat(starts + DEPTH - (np.cumsum(n + 1) - (n + 1)), n + 1)
-    key = np.zeros(len(at), np.uint64)
-    for i in range(DEPTH + 1):
-        key = key << np.uint64(8) | data[at - DEPTH + i]
-    return key, n + 1
-
-
-def counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    values = np.sort(values)
-    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
-    return values[first], np.diff(np.append(first, len(values)))
+    own = np.ones(int(wide.sum()), bool)
+    own[(starts[:, None] + np.arange(DEPTH)).ravel()] = False
+    filled = own.copy()
+    filled[starts + wide - 1] = False
+    data = np.zeros(len(own), np.uint8)
+    data[filled] = low.data
+    ends = np.cumsum(n)
+    done = 0
+    for first in range(0, len(data) - DEPTH, STEP):
+        d = data[first : first + STEP + DEPTH].astype(np.uint64)
+        two = d[1:-1] << np.uint64(8) | d[:-2]  # one byte fewer than there is: the last is never a context
+        four = two[2:] << np.uint64(16) | two[:-2]
+        six = two[4:] << np.uint64(32) | four[: len(two) - 4]
+        keys = (six << np.uint64(8) | d[DEPTH:])[own[first + DEPTH : first + STEP + DEPTH]]
+        counts = np.clip(np.minimum(ends, done + len(keys)) - np.maximum(ends - n, done), 0, None)
+        yield keys, np.repeat(np.arange(len(n)), counts)
+        done += len(keys)
 
 
 def words(part: Texts) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and rows of the words, with one end for each row."""
+    """Hashes (63 bits) and rows of the words, with one end for each row."""
     low = part.lower()
     starts, ends, rows = low.words()
-    return np.concatenate([span_hashes(low.data, starts, ends), np.full(len(part), END)]), np.concatenate([rows, np.arange(len(part))])
-
-
-def _key(context: F.Column, place: F.Column) -> F.Column:
-    return F.shiftleft(context, 8).bitwiseOR(place)
-
-
-def nodes(grams: DataFrame) -> DataFrame:
-    """(depth, context, place, one): the probability of a one where the node is the deepest known, from (gram, n)."""
-    # decisions of a byte: the bits before them with a leading one, and the bit itself
-    byte = F.col("gram").bitwiseAND(255)
-    bits = F.explode(F.array(*(F.struct((F.shiftright(byte + 256, 8 - i)).alias("place"), F.shiftright(byte, 7 - i).bitwiseAND(1).alias("bit")) for i in range(8))))
-    leaf = grams.select(F.shiftright("gram", 8).alias("context"), "n", bits.alias("d")).groupBy("context", F.col("d.place").alias("place")).agg(
-        F.sum(F.when(F.col("d.bit") == 0, F.col("n")).otherwise(0)).alias("zeros"), F.sum(F.when(F.col("d.bit") == 1, F.col("n")).otherwise(0)).alias("ones"),
-        F.lit(0.0).alias("below"))
-
-    def weigh(last: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                zeros, ones, below = (b.column(i).to_numpy(zero_copy_only=False).astype(float) for i in (2, 3, 4))
-                own = log_kt(zeros, ones)
-                whole = own if last else np.logaddexp(own, below) - _LN2
-                stop = np.ones(len(own)) if last else np.exp(np.minimum(own - _LN2 - whole, 0))
-                yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(whole), pa.array(stop)], names=["context", "place", "zeros", "ones", "whole", "stop"])
-
-        return run
-
-    kind = "context long, place long, zeros long, ones long, whole double, stop double"
-    levels = [stored(leaf.select("context", F.col("place").cast("long").alias("place"), "zeros", "ones", "below").mapInArrow(weigh(True), kind), "nodes")]
-    for depth in range(DEPTH - 1, -1, -1):
-        mask = (1 << (8 * depth)) - 1
-        up = levels[-1].groupBy(F.col("context").bitwiseAND(F.lit(mask)).alias("context"), "place").agg(
-            F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("whole").alias("below"))
-        levels.append(stored(up.mapInArrow(weigh(False), kind), "nodes"))
-    estimate = (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1.0)
-    done, above = [], None
-    for depth, level in enumerate(reversed(levels)):
-        if above is None:
-            here = level.select("context", "place", (F.col("stop") * estimate).alias("sum"), (1 - F.col("stop")).alias("rest"))
-        else:
-            mask = (1 << (8 * (depth - 1))) - 1
-            parent = above.select(F.col("context").alias("up"), F.col("place").alias("same"), F.col("sum").alias("s"), F.col("rest").alias("r"))
-            here = level.join(parent, (F.col("context").bitwiseAND(F.lit(mask)) == F.col("up")) & (F.col("place") == F.col("same"))).select(
-                "context", "place", (F.col("s") + F.col("r") * F.col("stop") * estimate).alias("sum"), (F.col("r") * (1 - F.col("stop"))).alias("rest"))
-        one = (F.col("sum") + F.col("rest") * 0.5).alias("one")
-        if depth == DEPTH:  # nothing is below
-            here = here.select("context", "place", one)
-        above = stored(here, "down")
-        discard(level)
-        done.append(above.select(F.lit(depth).alias("depth"), "context", "place", "one" if depth == DEPTH else one))
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-class Part:
-    """The nodes of a part, by depth: sorted keys of context and place, and the probability of a one."""
+    hashes = span_hashes(low.data, starts, ends) >> np.uint64(1)
+    return np.concatenate([hashes, np.full(len(part), END)]), np.concatenate([rows, np.arange(len(part))])
+
+
+def _firsts(keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys start."""
+    first = np.ones(len(keys), bool)
+    first[1:] = keys[1:] != keys[:-1]
+    return np.flatnonzero(first)
+
+
+class Tally:
+    """Distinct keys and how often they were counted; a key may be there without being counted."""
+
+    MERGED_AT = 1 << 22
+
+    def __init__(self):
+        self.keys, self.n, self.waiting = [], [], 0
+
+    def see(self, keys: np.ndarray, counted: np.ndarray) -> None:
+        both = np.sort(keys << np.uint64(1) | counted)
+        at = _firsts(both >> np.uint64(1))
+        if len(at):
+            self.add(both[at] >> np.uint64(1), np.add.reduceat(both & np.uint64(1), at))
+
+    def add(self, keys: np.ndarray, n: np.ndarray) -> None:
+        self.keys.append(keys)
+        self.n.append(n)
+        self.waiting += len(keys)
+        if self.waiting > self.MERGED_AT and len(self.keys) > 1 and self.waiting > 2 * len(self.keys[0]):
+            self.result()
+
+    def result(self) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.keys) != 1:
+            keys, n = (np.concatenate([np.zeros(0, np.uint64), *x]) for x in (self.keys, self.n))
+            order = np.argsort(keys, kind="stable")
+            keys, n = keys[order], n[order]
+            at = _firsts(keys)
+            self.keys, self.n = [keys[at]], [np.add.reduceat(n, at) if len(at) else n]
+            self.waiting = len(at)
+        return self.keys[0], self.n[0]
+
+
+def pack(values: np.ndarray) -> bytes:
+    """64-bit numbers by planes of equal bytes, which compress well."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending numbers as the steps between them."""
+    return pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack_keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpack(raw), dtype=np.uint64)
+
+
+class Tree:
+    """The nodes with contexts of SPLIT to DEPTH bytes over ascending strings and their counts, for all eight bits of a byte."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray):
+        n = n.astype(np.int64)
+        self.levels = [(keys, n, None)]  # the deepest first; for each string of a level its string one byte shorter
+        for _ in range(DEPTH - SPLIT):
+            short = keys >> np.uint64(16) << np.uint64(8) | keys & np.uint64(255)
+            order = np.argsort(short, kind="stable")
+            ranked = short[order]
+            at = _firsts(ranked)
+            up = np.empty(len(keys), np.int64)
+            up[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(keys))))
+            keys, n = ranked[at], np.add.reduceat(n[order], at)
+            self.levels[-1] = (*self.levels[-1][:2], up)
+            self.levels.append((keys, n, None))
+
+    def bit(self, i: int) -> list[tuple]:
+        """Nodes of the i-th bit by level: (node of each string, first string, parent, zeros, ones, whole, stop)."""
+        out, whole, parent = [], None, None
+        for depth, (keys, n, up) in enumerate(self.levels):
+            at = _firsts(keys >> np.uint64(8 - i))
+            node = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(keys))))
+            ones = np.add.reduceat(n * (keys >> np.uint64(7 - i) & np.uint64(1)).astype(np.int64), at)
+            zeros = np.add.reduceat(n, at) - ones
+            own = log_kt(zeros, ones)
+            if depth:
+                below = np.bincount(node[parent], weights=whole, minlength=len(at))
+                out[-1][2] = node[parent]
+                whole = np.logaddexp(own, below) - _LN2
+                stop = np.exp(np.minimum(own - _LN2 - whole, 0))
+            else:
+                whole, stop = own, np.ones(len(at))
+            out.append([node, at, None, zeros, ones, whole, stop])
+            parent = up[at] if up is not None else None
+        return out
 
-    def __init__(self, table: pa.Table):
-        depth, key, one = (table.column(c).to_numpy() for c in ("depth", "key", "one"))
-        key = key.view(np.uint64)
-        self.keys, self.ones = [], []
-        for d in range(DEPTH + 1):
-            own = depth == d
-            order = np.argsort(key[own])
-            self.keys.append(key[own][order])
-            self.ones.append(one[own][order])
+    def named(self, i: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Context and place of the nodes of the i-th bit at the top level."""
+        keys = self.levels[-1][0][at]
+        return keys >> np.uint64(8), keys >> np.uint64(8 - i) & np.uint64((1 << i) - 1) | np.uint64(1 << i)
 
-    def cost(self, grams: np.ndarray) -> np.ndarray:
-        """log10 of the probability of the last byte of each string, after the others."""
-        total = np.zeros(len(grams))
-        byte = grams & np.uint64(255)
+    def tops(self) -> list[tuple[np.ndarray, ...]]:
+        """(context, place, zeros, ones, whole) of the nodes with SPLIT bytes."""
+        found = []
         for i in range(8):
-            place = (byte + np.uint64(256)) >> np.uint64(8 - i)
-            one = np.full(len(grams), 0.5)
-            for depth, (keys, ones) in enumerate(zip(self.keys, self.ones)):
-                if not len(keys):
-                    break
-                key = (grams >> np.uint64(8) & np.uint64((1 << (8 * depth)) - 1)) << np.uint64(8) | place
-                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                one = np.where(keys[at] == key, ones[at], one)  # nodes of a context are known down to some depth
-            bit = (byte >> np.uint64(7 - i)) & np.uint64(1)
-            total += np.log10(np.where(bit == 1, one, 1 - one))
+            _, at, _, zeros, ones, whole, _ = self.bit(i)[-1]
+            found.append((*self.named(i, at), zeros, ones, whole))
+        return [np.concatenate(x) for x in zip(*found)]
+
+    def costs(self, names: np.ndarray, sums: np.ndarray, rests: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each string's last byte; given what stands above the top nodes, by context and place."""
+        order = np.argsort(names)
+        names, sums, rests = names[order], sums[order], rests[order]
+        keys = self.levels[0][0]
+        total = np.zeros(len(keys))
+        for i in range(8):
+            levels = self.bit(i)
+            context, place = self.named(i, levels[-1][1])
+            where = np.searchsorted(names, context << np.uint64(8) | place)
+            one, rest = sums[where], rests[where]
+            for depth in range(len(levels) - 1, -1, -1):
+                _, _, parent, zeros, ones, _, stop = levels[depth]
+                if depth < len(levels) - 1:
+                    one, rest = one[parent], rest[parent]
+                one = one + rest * stop * ((ones + 0.5) / (zeros + ones + 1.0))
+                rest = rest * (1 - stop)
+            node = levels[0][0]
+            bit = keys >> np.uint64(7 - i) & np.uint64(1)
+            total += np.where(bit == 1, np.log10(one)[node], np.log10(1 - one)[node])
         return total
 
 
-class Memo:
-    """Costs of strings asked before, in a table of fixed size; a string whose place is taken is asked anew."""
-
-    SLOTS = 1 << 21
-
-    def __init__(self, part: Part):
-        self.part = part
-        self.keys = np.full(self.SLOTS, np.uint64(2**64 - 1))
-        self.costs = np.zeros(self.SLOTS)
-
-    def __call__(self, grams: np.ndarray) -> np.ndarray:
-        slot = (grams * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(43)).astype(np.int64)
-        out = self.costs[slot]
-        miss = np.flatnonzero(self.keys[slot] != grams)
-        if len(miss):
-            new, back = np.unique(grams[miss], return_inverse=True)
-            cost = self.part.cost(new)
-            out[miss] = cost[back]
-            to = (new * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(43)).astype(np.int64)
-            self.keys[to], self.costs[to] = new, cost
+class Lookup:
+    """Values of keys that are all there: two tables of slots, and a search for those whose places are taken."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        at = np.sort(np.unique(keys, return_index=True)[1])
+        keys, values = keys[at], values[at]
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+        self.tables = []
+        left = np.arange(len(self.keys))
+        for factor in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+            bits = max(8, int(2 * len(left)).bit_length())
+            own = np.full(1 << bits, -1, np.int64)
+            slot = self._slot(self.keys[left], factor, bits)
+            own[slot] = left
+            self.tables.append((factor, bits, np.where(own < 0, np.uint64(2**64 - 1), self.keys[own] if len(self.keys) else np.uint64(0)), self.values[own] if len(self.keys) else np.zeros(len(own))))
+            left = left[own[slot] != left]
+
+    @staticmethod
+    def _slot(keys: np.ndarray, factor: int, bits: int) -> np.ndarray:
+        return (keys * np.uint64(factor) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        (factor, bits, held, values), second = self.tables
+        slot = self._slot(keys, factor, bits)
+        out = values[slot]
+        miss = np.flatnonzero(held[slot] != keys)
+        factor, bits, held, values = second
+        slot = self._slot(keys[miss], factor, bits)
+        out[miss] = values[slot]
+        miss = miss[held[slot] != keys[miss]]
+        out[miss] = self.values[np.searchsorted(self.keys, keys[miss])]
         return out
 
 
-_memos: dict[str, Memo] = {}
-
-
-def scored(docs: DataFrame, id_column: str = "doc_id", text: str = "text", part_nodes: int = PART_NODES, frequent: int = FREQUENT) -> DataFrame:
+def _runs(*columns: np.ndarray) -> Iterator[tuple[int, int]]:
+    """First and end of the runs of rows that are equal in all columns."""
+    n = len(columns[0])
+    change = np.zeros(max(n - 1, 0), bool)
+    for c in columns:
+        change |= c[1:] != c[:-1]
+    edges = [0, *(np.flatnonzero(change) + 1).tolist(), n]
+    return zip(edges[:-1], edges[1:])
+
+
+def _ask(block: int, kind: int, keys: np.ndarray, n: np.ndarray, buckets: int) -> dict:
+    """Rows by bucket of the keys of a block."""
+    of = (mix(keys >> np.uint64(8 * (DEPTH - SPLIT + 1)) if kind == STRINGS else keys) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(of, kind="stable")
+    keys, n, of = keys[order], n[order], of[order]
+    cuts = list(_runs(of)) if len(of) else []
+    return {"block": [block] * len(cuts), "kind": [kind] * len(cuts), "bucket": [int(of[a]) + buckets * kind for a, _ in cuts],
+            "keys": [pack_keys(keys[a:b]) for a, b in cuts], "n": [pack(n[a:b]) for a, b in cuts]}
+
+
+def _read(rows: DataFrame, kind: str, buckets: int, block_bytes: int) -> DataFrame:
+    """The texts with their blocks (kind TEXT), and what each block asks for (kinds STRINGS and WORDS)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, tallies, schema = TaskContext.get().partitionId() << 32, 0, (Tally(), Tally()), None
+
+        def asked() -> Iterator[pa.RecordBatch]:
+            for which, tally in zip((STRINGS, WORDS), tallies):
+                made = _ask(block, which, *tally.result(), buckets)
+                m = len(made["block"])
+                if m:
+                    yield pa.RecordBatch.from_pydict(made | {"id": pa.nulls(m, schema.field("id").type), "text": pa.nulls(m, schema.field("text").type)}, schema)
+
+        for part in texts(batches, step=STEP):
+            if schema is None:
+                schema = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("n", pa.binary()),
+                                    ("id", part.rows.schema.field("id").type), ("text", part.rows.schema.field("text").type)])
+            n = len(part)
+            train = part.rows.column(part.rows.schema.get_field_index("train")).to_numpy(zero_copy_only=False).astype(np.uint64)
+            for keys, row in strings(part):
+                tallies[STRINGS].see(keys, train[row])
+            tokens, row = words(part)
+            tallies[WORDS].see(tokens, train[row])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, block)), pa.array(np.full(n, TEXT, np.int32)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()),
+                 part.rows.column(part.rows.schema.get_field_index("id")), part.rows.column(part.rows.schema.get_field_index("text"))], schema=schema)
+            held += len(part.data) + n
+            if held >= block_bytes:
+                yield from asked()
+                block, held, tallies = block + 1, 0, (Tally(), Tally())
+        if held:
+            yield from asked()
+
+    return rows.mapInArrow(run, f"block long, kind int, bucket int, keys binary, n binary, id {kind}, text string")
+
+
+def _grown(asked: DataFrame, tasks: int) -> DataFrame:
+    """A row of keys and counts per bucket; for strings also rows of the nodes with SPLIT bytes, for words their numbers."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, kind, tally = None, None, None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if now is None:
+                return
+            keys, n = tally.result()
+            yield pa.RecordBatch.from_pydict(
+                {"bucket": [now], "kind": [kind], "keys": [pack_keys(keys)], "n": [pack(n)], "total": [int(n.sum())], "known": [int((n > 0).sum())]} | dict.fromkeys(["context", "place", "zeros", "ones", "whole"], [None]), schema)
+            if kind == STRINGS:
+                context, place, zeros, ones, whole = Tree(keys, n).tops()
+                m = len(context)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(m, now, np.int32)), pa.array(np.full(m, kind, np.int32)), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()),
+                     pa.array(context.astype(np.int64)), pa.array(place.astype(np.int64)), pa.array(zeros), pa.array(ones), pa.array(whole)], schema=schema)
+
+        schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("n", pa.binary()), ("total", pa.int64()), ("known", pa.int64()),
+                            ("context", pa.int64()), ("place", pa.int64()), ("zeros", pa.int64()), ("ones", pa.int64()), ("whole", pa.float64())])
+        for b in batches:
+            for row in range(b.num_rows):
+                bucket = b.column(0)[row].as_py()
+                if bucket != now:
+                    yield from done()
+                    now, kind, tally = bucket, b.column(1)[row].as_py(), Tally()
+                tally.add(unpack_keys(b.column(2)[row].as_py()), unpack(b.column(3)[row].as_py()))
+        yield from done()
+
+    return asked.select("bucket", "kind", "keys", "n").repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(
+        run, "bucket int, kind int, keys binary, n binary, total long, known long, context long, place long, zeros long, ones long, whole double")
+
+
+def _above(tops: DataFrame) -> DataFrame:
+    """(bucket, name, sum, rest) per node with SPLIT bytes: the probability of a one that the nodes above give it, and its rest."""
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            zeros, ones = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+            own = log_kt(zeros, ones)
+            whole = np.logaddexp(own, b.column(4).to_numpy(zero_copy_only=False)) - _LN2
+            stop = np.exp(np.minimum(own - _LN2 - whole, 0))
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(whole), pa.array(stop)], names=["context", "place", "zeros", "ones", "whole", "stop"])
+
+    levels = [tops]
+    for _ in range(SPLIT):
+        up = levels[-1].groupBy(F.shiftright("context", 8).alias("context"), "place").agg(
+            F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("whole").alias("below"))
+        levels.append(stored(up.mapInArrow(weigh, "context long, place long, zeros long, ones long, whole double, stop double"), "nodes"))
+    estimate = (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1.0)
+    above = None
+    for level in reversed(levels):
+        if above is None:
+            above = stored(level.select("context", "place", (F.col("stop") * estimate).alias("sum"), (1 - F.col("stop")).alias("rest")), "down")
+        else:
+            parent = above.select(F.col("context").alias("up"), F.col("place").alias("same"), "sum", "rest")
+            here = level.join(parent, (F.shiftright(level["context"], 8) == F.col("up")) & (level["place"] == F.col("same")))
+            if level is tops:
+                return here.select("bucket", F.shiftleft("context", 8).bitwiseOR(F.col("place")).alias("name"), "sum", "rest")
+            last, above = above, stored(here.select(
+                "context", "place", (F.col("sum") + F.col("rest") * F.col("stop") * estimate).alias("sum"), (F.col("rest") * (1 - F.col("stop"))).alias("rest")), "down")
+            discard(last)
+        discard(level)
+    return above
+
+
+def _answered(trees: DataFrame, above: DataFrame, asked: DataFrame, tasks: int) -> DataFrame:
+    """(block, kind, keys, values): costs of the strings, counts of the words that each block asked for."""
+    def none(kind: str, *names: str) -> list:
+        return [F.lit(None).cast(kind).alias(x) for x in names]
+
+    rows = trees.select("bucket", F.lit(0).alias("turn"), *none("long", "block"), "kind", "keys", "n", *none("long", "name"), *none("double", "sum", "rest"))
+    rows = rows.unionByName(above.select("bucket", F.lit(1).alias("turn"), *none("long", "block"), *none("int", "kind"), *none("binary", "keys", "n"), "name", "sum", "rest"))
+    rows = rows.unionByName(asked.select("bucket", F.lit(2).alias("turn"), "block", "kind", "keys", *none("binary", "n"), *none("long", "name"), *none("double", "sum", "rest")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, keys, n, above, values = None, None, None, [], None
+        for b in batches:
+            bucket, turn = (b.column(i).to_numpy() for i in (0, 1))
+            for first, end in _runs(bucket, turn):
+                if bucket[first] != now:
+                    now, above, values = bucket[first], [], None
+                part = b.slice(first, end - first)
+                if turn[first] == 0:
+                    keys, n = unpack_keys(part.column(4)[0].as_py()), unpack(part.column(5)[0].as_py())
+                elif turn[first] == 1:
+                    above.append([part.column(i).to_numpy() for i in (6, 7, 8)])
+                else:
+                    kind = part.column(3)[0].as_py()
+                    if values is None:
+                        if kind == STRINGS:
+                            name, total, rest = (np.concatenate(x) for x in zip(*above))
+                            values = Tree(keys, n).costs(name.astype(np.uint64), total, rest)
+                        else:
+                            values = n.astype(float)
+                    raw = [x.as_py() for x in part.column(4)]
+                    found = [values[np.searchsorted(keys, unpack_keys(x))].tobytes() for x in raw]
+                    yield pa.RecordBatch.from_arrays([part.column(2), part.column(3), part.column(4), pa.array(found, pa.binary())], names=["block", "kind", "keys", "values"])
+
+    return rows.repartition(tasks, "bucket").sortWithinPartitions("bucket", "turn").mapInArrow(run, "block long, kind int, keys binary, values binary")
+
+
+def scored(docs: DataFrame, id_column: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) per row of ``docs``."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
-    training = rows.filter(crc_fold("id", FOLDS) != HELD).select("text")
-
-    def count(part: Texts) -> pa.RecordBatch:
-        grams, n = counted(strings(part)[0])
-        tokens, m = counted(words(part)[0])
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([np.zeros(len(grams), bool), np.ones(len(tokens), bool)])), pa.array(np.concatenate([grams, tokens]).view(np.int64)), pa.array(np.concatenate([n, m]))],
-            names=["word", "key", "n"])
-
-    both = stored(map_texts(training, count, "word boolean, key long, n long", step=TRAIN_STEP).groupBy("word", "key").agg(F.sum("n").alias("n")), "counts")
-    known = both.filter("word").select("key", "n")
-    total = known.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    tree = nodes(both.filter("not word").select(F.col("key").alias("gram"), "n"))
-    size = tree.filter("depth > 1").count()
-    parts = max(1, -(-size // part_nodes))
-    top = known.orderBy(F.desc("n"), "key").limit(frequent).toArrow()
-    keys, counts = top.column("key").to_numpy().view(np.uint64), top.column("n").to_numpy()
-    order = np.argsort(keys)
-    hot = spark.sparkContext.broadcast((keys[order], counts[order]))
-    bottom = total["n"] + 0.1 * (total["v"] + 1)
-    # a context's part is that of its last two bytes; nodes nearer to the root are in every part
-    of = F.when(F.col("depth") < 2, -1).otherwise(F.pmod(F.xxhash64(F.col("context").bitwiseAND(65535)), F.lit(parts)))
-    tree = tree.withColumn("part", of)
-    bases = rows.select("id", F.monotonically_increasing_id().alias("rid"), "text")
+    bounded_batches(spark)
     kind = docs.schema[id_column].dataType.simpleString()
-
-    def mine(grams: np.ndarray, which: int, owner: dict[int, int] | None) -> np.ndarray:
-        return np.ones(len(grams), bool) if owner is None else np.isin(grams >> np.uint64(8) & np.uint64(65535), owner[which])
-
-    scores = []
-    owners = None
-    if parts > 1:
-        pairs = spark.range(65536).select("id", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part")).toArrow()
-        at, part_of = pairs.column("id").to_numpy().astype(np.uint64), pairs.column("part").to_numpy()
-        owners = {k: at[part_of == k] for k in range(parts)}
-    for which in range(parts):
-        model = spark.sparkContext.broadcast(Part(tree.filter(F.col("part").isin(-1, which)).select(F.col("depth").cast("byte").alias("depth"), _key(F.col("context"), F.col("place")).alias("key"), "one").toArrow()))
-        mark = uuid.uuid4().hex
-
-        def score(part: Texts, model=model, which=which, mark=mark) -> pa.RecordBatch:
-            if mark not in _memos:
-                _memos.clear()
-                _memos[mark] = Memo(model.value)
-            grams, n = strings(part)
-            use = mine(grams, which, owners)
-            cost = np.zeros(len(grams))
-            cost[use] = _memos[mark](grams[use])
-            ends = np.cumsum(n)
-            sums = np.add.reduceat(cost, ends - n) if len(n) else cost
-            if which:
-                return pa.RecordBatch.from_arrays([part.rows.column(1), pa.array(sums)], names=["rid", "score"])
-            tokens, row = words(part)
-            keys, counts = hot.value
-            c = np.zeros(len(tokens), np.int64)
-            found = np.zeros(len(tokens), bool)
-            if len(keys):
-                where = np.minimum(np.searchsorted(keys, tokens), len(keys) - 1)
-                found = keys[where] == tokens
-                c = np.where(found, counts[where], 0)
-            base = np.bincount(row[found], weights=np.log10((c[found] + 0.1) / bottom), minlength=len(part))
-            rare = np.lexsort((tokens[~found], row[~found]))
-            t, r = tokens[~found][rare], row[~found][rare]
-            first = np.ones(len(t), bool)
-            first[1:] = (t[1:] != t[:-1]) | (r[1:] != r[:-1])
-            start = np.flatnonzero(first)
-            lists = np.concatenate([[0], np.cumsum(np.bincount(r[start], minlength=len(part)))]).astype(np.int32)
-            return pa.RecordBatch.from_arrays(
-                [part.rows.column(1), part.rows.column(0), pa.array(np.bincount(row, minlength=len(part))), pa.array(np.bincount(row[found], minlength=len(part))), pa.array(base), pa.array(sums),
-                 pa.array(n - 1), pa.ListArray.from_arrays(pa.array(lists), pa.array(t[start].view(np.int64))), pa.ListArray.from_arrays(pa.array(lists), pa.array(np.diff(np.append(start, len(t)))))],
-                names=["rid", "id", "n_tokens", "n_hot", "base", "score", "bytes", "rare", "times"])
-
-        schema = "rid long, score double" if which else f"rid long, id {kind}, n_tokens long, n_hot long, base double, score double, bytes long, rare array<long>, times array<long>"
-        scores.append(stored(map_texts(bases, score, schema), "scores"))
-    main = scores[0]
-    rest = main.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("rid", F.col("w.rare").alias("key"), F.col("w.times").alias("times"))
-    c = F.coalesce("n", F.lit(0))
-    rest = rest.join(known, "key", "left").groupBy("rid").agg(
-        F.sum(F.col("times") * F.log10((c + 0.1) / F.lit(float(bottom)))).alias("rest"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("n_rest"))
-    out = main.drop("rare", "times").join(rest, "rid", "left")
-    score = F.col("score")
-    for i, more in enumerate(scores[1:]):
-        out = out.join(more.select("rid", F.col("score").alias(f"score_{i}")), "rid")
-        score = score + F.col(f"score_{i}")
+    rows = docs.select(F.col(id_column).alias("id"), F.coalesce(crc_fold(id_column, FOLDS) != HELD, F.lit(False)).alias("train"), F.coalesce(text, F.lit("")).alias("text"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
+    buckets = max(1, -(-size // bucket_bytes))
+    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    table = stored(_read(rows, kind, buckets, block_bytes), "read")
+    asked = table.filter(F.col("kind") != TEXT).select("block", "kind", "bucket", "keys", "n")
+    grown = stored(_grown(asked, min(2 * buckets, most)), "trees")
+    total = grown.filter(F.col("kind") == WORDS).agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("known"), F.lit(0)).alias("v")).first()
+    bottom = total["n"] + 0.1 * (total["v"] + 1)
+    above = _above(grown.filter(F.col("context").isNotNull()).select("bucket", "context", "place", "zeros", "ones", "whole"))
+    answered = stored(_answered(grown.filter(F.col("context").isNull()).select("bucket", "kind", "keys", "n"), above, asked, min(2 * buckets, most)), "costs")
+    discard(grown)
+    meeting = answered.select("block", "kind", "keys", "values", F.lit(None).cast(kind).alias("id"), F.lit(None).cast("string").alias("text")).unionByName(
+        table.filter(F.col("kind") == TEXT).select("block", "kind", *(F.lit(None).cast("binary").alias(x) for x in ("keys", "values")), "id", "text"))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, lists, costs, counts = None, None, None, None
+        for b in batches:
+            block, turn = (b.column(i).to_numpy() for i in (0, 1))
+            for first, end in _runs(block, turn):
+                if block[first] != now:
+                    now, lists, costs = block[first], ([], []), None
+                rows = b.slice(first, end - first)
+                if turn[first] != TEXT:
+                    lists[turn[first]].extend((unpack_keys(k.as_py()), np.frombuffer(v.as_py())) for k, v in zip(rows.column(2), rows.column(3)))
+                    continue
+                if costs is None:
+                    costs, counts = (Lookup(*(np.concatenate(x) for x in zip(*some))) for some in lists)
+                    lists = None
+                for part in texts(iter([rows])):
+                    sums = np.zeros(len(part))
+                    for keys, row in strings(part):
+                        sums += np.bincount(row, weights=costs(keys), minlength=len(part))
+                    tokens, row = words(part)
+                    c = counts(tokens)
+                    base = np.bincount(row, weights=np.log10((c + 0.1) / bottom), minlength=len(part))
+                    yield pa.RecordBatch.from_arrays(
+                        [part.rows.column(4), pa.array(np.bincount(row, minlength=len(part))), pa.array(np.bincount(row[c > 0], minlength=len(part))), pa.array(base), pa.array(sums), pa.array(np.diff(part.offs))],
+                        names=["id", "n_tokens", "n_known", "base_score", "score", "bytes"])
+
+    tasks = max(1, min(most, -(-size // block_bytes) + rows.rdd.getNumPartitions()))
+    out = meeting.repartition(tasks, "block").sortWithinPartitions("block", "kind").mapInArrow(
+        score, f"id {kind}, n_tokens long, n_known long, base_score double, score double, bytes long")
     return out.select(
-        F.col("id").alias(id_column), (crc_fold("id", FOLDS) == HELD).alias("held_out"), "n_tokens", (F.col("n_hot") + F.coalesce("n_rest", F.lit(0))).alias("n_known"),
-        F.lit(total["n"]).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), score.alias("score"),
-        (-score / F.log10(F.lit(2.0)) / (F.col("bytes") + 1)).alias("bits_per_byte"))
+        F.col("id").alias(id_column), (crc_fold("id", FOLDS) == HELD).alias("held_out"), "n_tokens", "n_known", F.lit(total["n"]).cast("long").alias("train_tokens"),
+        "base_score", "score", (-F.col("score") / F.log10(F.lit(2.0)) / (F.col("bytes") + 1)).alias("bits_per_byte"))

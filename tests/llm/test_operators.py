@@ -238,8 +238,8 @@ def test_context_tree(spark):
     total, kinds = sum(count.values()), len(count)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     order = lambda i: (i is None, i or 0)
-    for nodes, frequent in ((10**9, 1 << 19), (200, 3)):
-        got = sorted(weighting.scored(df, part_nodes=nodes, frequent=frequent).collect(), key=lambda r: order(r["doc_id"]))
+    for block, bucket in ((1 << 25, 1 << 23), (3000, 500)):
+        got = sorted(weighting.scored(df, block_bytes=block, bucket_bytes=bucket).collect(), key=lambda r: order(r["doc_id"]))
         assert len(got) == len(docs)
         for row, (_, text) in zip(got, sorted(docs, key=lambda d: order(d[0]))):
             raw = b"\0" * weighting.DEPTH + brute.lower(text) + b"\0"
