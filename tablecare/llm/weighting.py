@@ -11,7 +11,8 @@ nodes of deeper contexts are all in one bucket and are worked out there, from th
 own. Nodes of shorter contexts are summed depth by depth in grouped aggregates. Back down, every bucket gets what the nodes
 above it contribute, gives each of its strings a cost, and each block the costs of the strings it asked for; the block's
 texts then meet that list. Strings that only held-out texts have are nodes without counts, which code a bit with 1/2 and change
-no other node. The model never passes through the driver, and a task holds one block's list or one bucket's strings.
+no other node. The model never passes through the driver, and a task holds one block's list or one bucket's strings. What is
+stored and shuffled, texts too, travels compressed and many to a row; costs travel as 32-bit floats, a relative error under 1e-7.
 
 Beside it, the base: unigram probabilities of words, smoothed. Words take the same way as strings, with counts for costs.
 
@@ -39,10 +40,10 @@ DEPTH = 6
 SPLIT = 4
 FOLDS, HELD = 10, 0
 #: Bytes of text of a block, which asks once for each string it holds.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 64 << 20
 #: Bytes of text for which there is one bucket of strings and one of words.
 BUCKET_BYTES = 8 << 20
-STEP = 4 << 20
+STEP = 1 << 20
 END = np.uint64(0xE17A1465E17A1465 >> 1)
 
 #: Kinds of rows that meet: strings or words, a bucket's parents, what a block asks for; texts.
@@ -118,7 +119,7 @@ def _firsts(keys: np.ndarray) -> np.ndarray:
 class Tally:
     """Distinct keys and how often they were counted; a key may be there without being counted."""
 
-    MERGED_AT = 1 << 22
+    MERGED_AT = 1 << 21
 
     def __init__(self):
         self.keys, self.n, self.waiting = [], [], 0
@@ -147,13 +148,16 @@ class Tally:
         return self.keys[0], self.n[0]
 
 
-def pack(values: np.ndarray) -> bytes:
-    """64-bit numbers by planes of equal bytes, which compress well."""
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+def pack(values: np.ndarray, kind: str = "<u8") -> bytes:
+    """Numbers by planes of equal bytes, which compress well."""
+    width = np.dtype(kind).itemsize
+    return len(values).to_bytes(8, "little") + pa.Codec("zstd").compress(values.astype(kind).view(np.uint8).reshape(-1, width).T.tobytes(), asbytes=True)
 
 
-def unpack(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
+def unpack(raw: bytes, kind: str = "<u8") -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    planes = pa.Codec("zstd").decompress(raw[8:], decompressed_size=width * int.from_bytes(raw[:8], "little"))
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, -1).T).view(kind).reshape(-1)
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
@@ -161,6 +165,13 @@ def pack_keys(keys: np.ndarray) -> bytes:
     return pack(np.diff(keys, prepend=np.uint64(0)))
 
 
+def pack_rows(rows: pa.RecordBatch) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(rows)
+    return out.getvalue().to_pybytes()
+
+
 def unpack_keys(raw: bytes) -> np.ndarray:
     return np.cumsum(unpack(raw), dtype=np.uint64)
 
@@ -239,21 +250,19 @@ class Tree:
 
 
 class Lookup:
-    """Values of keys that are all there: two tables of slots, and a search for those whose places are taken."""
+    """Values of some keys, one at least, all asked for among them: two tables of slots, and a search for those whose places are taken."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        at = np.sort(np.unique(keys, return_index=True)[1])
-        keys, values = keys[at], values[at]
         order = np.argsort(keys)
         self.keys, self.values = keys[order], values[order]
         self.tables = []
         left = np.arange(len(self.keys))
         for factor in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
-            bits = max(8, int(2 * len(left)).bit_length())
+            bits = max(8, len(left).bit_length())
             own = np.full(1 << bits, -1, np.int64)
             slot = self._slot(self.keys[left], factor, bits)
             own[slot] = left
-            self.tables.append((factor, bits, np.where(own < 0, np.uint64(2**64 - 1), self.keys[own] if len(self.keys) else np.uint64(0)), self.values[own] if len(self.keys) else np.zeros(len(own))))
+            self.tables.append((factor, bits, np.where(own < 0, np.uint64(2**64 - 1), self.keys[own]), self.values[own]))
             left = left[own[slot] != left]
 
     @staticmethod
@@ -293,39 +302,32 @@ def _ask(block: int, kind: int, keys: np.ndarray, n: np.ndarray, buckets: int) -
             "keys": [pack_keys(keys[a:b]) for a, b in cuts], "n": [pack(n[a:b]) for a, b in cuts]}
 
 
-def _read(rows: DataFrame, kind: str, buckets: int, block_bytes: int) -> DataFrame:
-    """The texts with their blocks (kind TEXT), and what each block asks for (kinds STRINGS and WORDS)."""
+def _read(rows: DataFrame, buckets: int, block_bytes: int) -> DataFrame:
+    """The texts with their blocks (kind TEXT, rows in ``keys``), and what each block asks for (kinds STRINGS and WORDS)."""
+    schema = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("n", pa.binary())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held, tallies, schema = TaskContext.get().partitionId() << 32, 0, (Tally(), Tally()), None
+        block, held, tallies = TaskContext.get().partitionId() << 32, 0, (Tally(), Tally())
 
         def asked() -> Iterator[pa.RecordBatch]:
             for which, tally in zip((STRINGS, WORDS), tallies):
-                made = _ask(block, which, *tally.result(), buckets)
-                m = len(made["block"])
-                if m:
-                    yield pa.RecordBatch.from_pydict(made | {"id": pa.nulls(m, schema.field("id").type), "text": pa.nulls(m, schema.field("text").type)}, schema)
+                yield pa.RecordBatch.from_pydict(_ask(block, which, *tally.result(), buckets), schema)
 
         for part in texts(batches, step=STEP):
-            if schema is None:
-                schema = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("n", pa.binary()),
-                                    ("id", part.rows.schema.field("id").type), ("text", part.rows.schema.field("text").type)])
-            n = len(part)
-            train = part.rows.column(part.rows.schema.get_field_index("train")).to_numpy(zero_copy_only=False).astype(np.uint64)
+            train = part.rows.column(2).to_numpy(zero_copy_only=False).astype(np.uint64)
             for keys, row in strings(part):
                 tallies[STRINGS].see(keys, train[row])
             tokens, row = words(part)
             tallies[WORDS].see(tokens, train[row])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, block)), pa.array(np.full(n, TEXT, np.int32)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()),
-                 part.rows.column(part.rows.schema.get_field_index("id")), part.rows.column(part.rows.schema.get_field_index("text"))], schema=schema)
-            held += len(part.data) + n
+            yield pa.RecordBatch.from_pydict({"block": [block], "kind": [TEXT], "bucket": [None], "keys": [pack_rows(part.rows.select(["id", "text"]))], "n": [None]}, schema)
+            held += len(part.data) + len(part)
             if held >= block_bytes:
                 yield from asked()
                 block, held, tallies = block + 1, 0, (Tally(), Tally())
         if held:
             yield from asked()
 
-    return rows.mapInArrow(run, f"block long, kind int, bucket int, keys binary, n binary, id {kind}, text string")
+    return rows.select("id", "text", "train").mapInArrow(run, "block long, kind int, bucket int, keys binary, n binary")
 
 
 def _grown(asked: DataFrame, tasks: int) -> DataFrame:
@@ -421,9 +423,9 @@ def _answered(trees: DataFrame, above: DataFrame, asked: DataFrame, tasks: int)
                             name, total, rest = (np.concatenate(x) for x in zip(*above))
                             values = Tree(keys, n).costs(name.astype(np.uint64), total, rest)
                         else:
-                            values = n.astype(float)
+                            values = n
                     raw = [x.as_py() for x in part.column(4)]
-                    found = [values[np.searchsorted(keys, unpack_keys(x))].tobytes() for x in raw]
+                    found = [pack(values[np.searchsorted(keys, unpack_keys(x))], "<f4" if kind == STRINGS else "<u8") for x in raw]
                     yield pa.RecordBatch.from_arrays([part.column(2), part.column(3), part.column(4), pa.array(found, pa.binary())], names=["block", "kind", "keys", "values"])
 
     return rows.repartition(tasks, "bucket").sortWithinPartitions("bucket", "turn").mapInArrow(run, "block long, kind int, keys binary, values binary")
@@ -436,9 +438,11 @@ def scored(docs: DataFrame, id_column: str = "doc_id", text: str = "text", block
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.col(id_column).alias("id"), F.coalesce(crc_fold(id_column, FOLDS) != HELD, F.lit(False)).alias("train"), F.coalesce(text, F.lit("")).alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
-    buckets = max(1, -(-size // bucket_bytes))
+    buckets, blocks = max(1, -(-size // bucket_bytes)), max(1, -(-size // block_bytes))
     most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    table = stored(_read(rows, kind, buckets, block_bytes), "read")
+    # small partitions are read as one, so that blocks fill up
+    partitions = min(rows.rdd.getNumPartitions(), max(blocks, spark.sparkContext.defaultParallelism))
+    table = stored(_read(rows.coalesce(max(1, partitions)), buckets, block_bytes), "read")
     asked = table.filter(F.col("kind") != TEXT).select("block", "kind", "bucket", "keys", "n")
     grown = stored(_grown(asked, min(2 * buckets, most)), "trees")
     total = grown.filter(F.col("kind") == WORDS).agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("known"), F.lit(0)).alias("v")).first()
@@ -446,8 +450,7 @@ def scored(docs: DataFrame, id_column: str = "doc_id", text: str = "text", block
     above = _above(grown.filter(F.col("context").isNotNull()).select("bucket", "context", "place", "zeros", "ones", "whole"))
     answered = stored(_answered(grown.filter(F.col("context").isNull()).select("bucket", "kind", "keys", "n"), above, asked, min(2 * buckets, most)), "costs")
     discard(grown)
-    meeting = answered.select("block", "kind", "keys", "values", F.lit(None).cast(kind).alias("id"), F.lit(None).cast("string").alias("text")).unionByName(
-        table.filter(F.col("kind") == TEXT).select("block", "kind", *(F.lit(None).cast("binary").alias(x) for x in ("keys", "values")), "id", "text"))
+    meeting = answered.unionByName(table.filter(F.col("kind") == TEXT).select("block", "kind", "keys", F.lit(None).cast("binary").alias("values")))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, lists, costs, counts = None, None, None, None
@@ -458,12 +461,12 @@ def scored(docs: DataFrame, id_column: str = "doc_id", text: str = "text", block
                     now, lists, costs = block[first], ([], []), None
                 rows = b.slice(first, end - first)
                 if turn[first] != TEXT:
-                    lists[turn[first]].extend((unpack_keys(k.as_py()), np.frombuffer(v.as_py())) for k, v in zip(rows.column(2), rows.column(3)))
+                    lists[turn[first]].extend((unpack_keys(k.as_py()), unpack(v.as_py(), "<f4" if turn[first] == STRINGS else "<u8")) for k, v in zip(rows.column(2), rows.column(3)))
                     continue
                 if costs is None:
                     costs, counts = (Lookup(*(np.concatenate(x) for x in zip(*some))) for some in lists)
                     lists = None
-                for part in texts(iter([rows])):
+                for part in texts(batch for raw in rows.column(2) for batch in pa.ipc.open_stream(raw.as_py())):
                     sums = np.zeros(len(part))
                     for keys, row in strings(part):
                         sums += np.bincount(row, weights=costs(keys), minlength=len(part))
@@ -471,10 +474,10 @@ def scored(docs: DataFrame, id_column: str = "doc_id", text: str = "text", block
                     c = counts(tokens)
                     base = np.bincount(row, weights=np.log10((c + 0.1) / bottom), minlength=len(part))
                     yield pa.RecordBatch.from_arrays(
-                        [part.rows.column(4), pa.array(np.bincount(row, minlength=len(part))), pa.array(np.bincount(row[c > 0], minlength=len(part))), pa.array(base), pa.array(sums), pa.array(np.diff(part.offs))],
+                        [part.rows.column(0), pa.array(np.bincount(row, minlength=len(part))), pa.array(np.bincount(row[c > 0], minlength=len(part))), pa.array(base), pa.array(sums), pa.array(np.diff(part.offs))],
                         names=["id", "n_tokens", "n_known", "base_score", "score", "bytes"])
 
-    tasks = max(1, min(most, -(-size // block_bytes) + rows.rdd.getNumPartitions()))
+    tasks = max(1, min(most, blocks + partitions))
     out = meeting.repartition(tasks, "block").sortWithinPartitions("block", "kind").mapInArrow(
         score, f"id {kind}, n_tokens long, n_known long, base_score double, score double, bytes long")
     return out.select(
