@@ -40,7 +40,7 @@ DEPTH = 6
 SPLIT = 4
 FOLDS, HELD = 10, 0
 #: Bytes of text of a block, which asks once for each string it holds.
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 32 << 20
 #: Bytes of text for which there is one bucket of strings and one of words.
 BUCKET_BYTES = 8 << 20
 STEP = 1 << 20
@@ -120,6 +120,8 @@ class Tally:
     """Distinct keys and how often they were counted; a key may be there without being counted."""
 
     MERGED_AT = 1 << 21
+    #: Keys of the longest list that are merged with their likes at once.
+    PIECE = 1 << 16
 
     def __init__(self):
         self.keys, self.n, self.waiting = [], [], 0
@@ -138,13 +140,22 @@ class Tally:
             self.result()
 
     def result(self) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.keys) != 1:
-            keys, n = (np.concatenate([np.zeros(0, np.uint64), *x]) for x in (self.keys, self.n))
-            order = np.argsort(keys, kind="stable")
-            keys, n = keys[order], n[order]
-            at = _firsts(keys)
-            self.keys, self.n = [keys[at]], [np.add.reduceat(n, at) if len(at) else n]
-            self.waiting = len(at)
+        if not self.keys:
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        if len(self.keys) > 1:  # all lists ascend: range by range of keys
+            cuts = max(self.keys, key=len)[self.PIECE :: self.PIECE]
+            edges = [[0, *np.searchsorted(k, cuts).tolist(), len(k)] for k in self.keys]
+            done = []
+            for i in range(len(cuts) + 1):
+                keys, n = (np.concatenate([x[e[i] : e[i + 1]] for x, e in zip(some, edges)]) for some in (self.keys, self.n))
+                order = np.argsort(keys, kind="stable")
+                keys, n = keys[order], n[order]
+                at = _firsts(keys)
+                if len(at):
+                    done.append((keys[at], np.add.reduceat(n, at)))
+            self.keys = [np.concatenate([k for k, _ in done])]
+            self.n = [np.concatenate([n for _, n in done])]
+            self.waiting = len(self.keys[0])
         return self.keys[0], self.n[0]
 
 
@@ -324,6 +335,7 @@ def _read(rows: DataFrame, buckets: int, block_bytes: int) -> DataFrame:
             if held >= block_bytes:
                 yield from asked()
                 block, held, tallies = block + 1, 0, (Tally(), Tally())
+                pa.default_memory_pool().release_unused()
         if held:
             yield from asked()
 
@@ -458,14 +470,17 @@ def scored(docs: DataFrame, id_column: str = "doc_id", text: str = "text", block
             block, turn = (b.column(i).to_numpy() for i in (0, 1))
             for first, end in _runs(block, turn):
                 if block[first] != now:
-                    now, lists, costs = block[first], ([], []), None
+                    now, lists, costs, counts = block[first], ([], []), None, None
                 rows = b.slice(first, end - first)
                 if turn[first] != TEXT:
                     lists[turn[first]].extend((unpack_keys(k.as_py()), unpack(v.as_py(), "<f4" if turn[first] == STRINGS else "<u8")) for k, v in zip(rows.column(2), rows.column(3)))
                     continue
                 if costs is None:
-                    costs, counts = (Lookup(*(np.concatenate(x) for x in zip(*some))) for some in lists)
-                    lists = None
+                    costs = Lookup(*map(np.concatenate, zip(*lists[STRINGS])))
+                    lists[STRINGS].clear()
+                    counts = Lookup(*map(np.concatenate, zip(*lists[WORDS])))
+                    lists[WORDS].clear()
+                    pa.default_memory_pool().release_unused()
                 for part in texts(batch for raw in rows.column(2) for batch in pa.ipc.open_stream(raw.as_py())):
                     sums = np.zeros(len(part))
                     for keys, row in strings(part):
