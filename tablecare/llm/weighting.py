@@ -40,10 +40,12 @@ DEPTH = 6
 SPLIT = 4
 FOLDS, HELD = 10, 0
 #: Bytes of text of a block, which asks once for each string it holds.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 48 << 20
 #: Bytes of text for which there is one bucket of strings and one of words.
 BUCKET_BYTES = 8 << 20
-STEP = 1 << 20
+STEP = 1 << 19
+#: Level of compression of texts.
+LEVEL = 6
 END = np.uint64(0xE17A1465E17A1465 >> 1)
 
 #: Kinds of rows that meet: strings or words, a bucket's parents, what a block asks for; texts.
@@ -119,18 +121,19 @@ def _firsts(keys: np.ndarray) -> np.ndarray:
 class Tally:
     """Distinct keys and how often they were counted; a key may be there without being counted."""
 
-    MERGED_AT = 1 << 21
+    MERGED_AT = 1 << 20
     #: Keys of the longest list that are merged with their likes at once.
     PIECE = 1 << 16
 
-    def __init__(self):
+    def __init__(self, kind: type = np.uint64):
+        self.kind = kind
         self.keys, self.n, self.waiting = [], [], 0
 
     def see(self, keys: np.ndarray, counted: np.ndarray) -> None:
         both = np.sort(keys << np.uint64(1) | counted)
         at = _firsts(both >> np.uint64(1))
         if len(at):
-            self.add(both[at] >> np.uint64(1), np.add.reduceat(both & np.uint64(1), at))
+            self.add(both[at] >> np.uint64(1), np.add.reduceat(both & np.uint64(1), at).astype(self.kind))
 
     def add(self, keys: np.ndarray, n: np.ndarray) -> None:
         self.keys.append(keys)
@@ -141,7 +144,7 @@ class Tally:
 
     def result(self) -> tuple[np.ndarray, np.ndarray]:
         if not self.keys:
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+            return np.zeros(0, np.uint64), np.zeros(0, self.kind)
         if len(self.keys) > 1:  # all lists ascend: range by range of keys
             cuts = max(self.keys, key=len)[self.PIECE :: self.PIECE]
             edges = [[0, *np.searchsorted(k, cuts).tolist(), len(k)] for k in self.keys]
@@ -152,13 +155,18 @@ class Tally:
                 keys, n = keys[order], n[order]
                 at = _firsts(keys)
                 if len(at):
-                    done.append((keys[at], np.add.reduceat(n, at)))
+                    done.append((keys[at], np.add.reduceat(n, at, dtype=self.kind)))
             self.keys = [np.concatenate([k for k, _ in done])]
             self.n = [np.concatenate([n for _, n in done])]
             self.waiting = len(self.keys[0])
         return self.keys[0], self.n[0]
 
 
+def _tallies() -> tuple[Tally, Tally]:
+    """Those of a block, strings and words; a block's counts fit 32 bits as long as no text has 4 GB."""
+    return Tally(np.uint32), Tally(np.uint32)
+
+
 def pack(values: np.ndarray, kind: str = "<u8") -> bytes:
     """Numbers by planes of equal bytes, which compress well."""
     width = np.dtype(kind).itemsize
@@ -178,7 +186,7 @@ def pack_keys(keys: np.ndarray) -> bytes:
 
 def pack_rows(rows: pa.RecordBatch) -> bytes:
     out = pa.BufferOutputStream()
-    with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+    with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", LEVEL))) as stream:
         stream.write_batch(rows)
     return out.getvalue().to_pybytes()
 
@@ -266,31 +274,31 @@ class Lookup:
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         order = np.argsort(keys)
         self.keys, self.values = keys[order], values[order]
-        self.tables = []
-        left = np.arange(len(self.keys))
+        self.tables = []  # places of keys by slot; several keys have the same slot, one of them is there
+        left = np.arange(len(self.keys), dtype=np.int32)
         for factor in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
             bits = max(8, len(left).bit_length())
-            own = np.full(1 << bits, -1, np.int64)
+            places = np.zeros(1 << bits, np.int32)
             slot = self._slot(self.keys[left], factor, bits)
-            own[slot] = left
-            self.tables.append((factor, bits, np.where(own < 0, np.uint64(2**64 - 1), self.keys[own]), self.values[own]))
-            left = left[own[slot] != left]
+            places[slot] = left
+            self.tables.append((factor, bits, places))
+            left = left[places[slot] != left]
 
     @staticmethod
     def _slot(keys: np.ndarray, factor: int, bits: int) -> np.ndarray:
         return (keys * np.uint64(factor) >> np.uint64(64 - bits)).astype(np.int64)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
-        (factor, bits, held, values), second = self.tables
-        slot = self._slot(keys, factor, bits)
-        out = values[slot]
-        miss = np.flatnonzero(held[slot] != keys)
-        factor, bits, held, values = second
-        slot = self._slot(keys[miss], factor, bits)
-        out[miss] = values[slot]
-        miss = miss[held[slot] != keys[miss]]
-        out[miss] = self.values[np.searchsorted(self.keys, keys[miss])]
-        return out
+        first, second = self.tables
+        at = self._place(keys, *first)
+        miss = np.flatnonzero(self.keys[at] != keys)
+        at[miss] = self._place(keys[miss], *second)
+        miss = miss[self.keys[at[miss]] != keys[miss]]
+        at[miss] = np.searchsorted(self.keys, keys[miss])
+        return self.values[at]
+
+    def _place(self, keys: np.ndarray, factor: int, bits: int, places: np.ndarray) -> np.ndarray:
+        return places[self._slot(keys, factor, bits)]
 
 
 def _runs(*columns: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -318,7 +326,7 @@ def _read(rows: DataFrame, buckets: int, block_bytes: int) -> DataFrame:
     schema = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("n", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held, tallies = TaskContext.get().partitionId() << 32, 0, (Tally(), Tally())
+        block, held, tallies = TaskContext.get().partitionId() << 32, 0, _tallies()
 
         def asked() -> Iterator[pa.RecordBatch]:
             for which, tally in zip((STRINGS, WORDS), tallies):
@@ -334,7 +342,7 @@ def _read(rows: DataFrame, buckets: int, block_bytes: int) -> DataFrame:
             held += len(part.data) + len(part)
             if held >= block_bytes:
                 yield from asked()
-                block, held, tallies = block + 1, 0, (Tally(), Tally())
+                block, held, tallies = block + 1, 0, _tallies()
                 pa.default_memory_pool().release_unused()
         if held:
             yield from asked()
