@@ -99,17 +99,19 @@ def shares(df: DataFrame, cat: str, n: int = TOP_SLICES) -> DataFrame:
 def bins(df: DataFrame, num: str, n: int = BINS) -> DataFrame:
     """``(bin, low, high, n)``: *n* bins of equal width, one bin for equal values.
 
-    The extremes come from a first aggregate and enter the plan as literals.
+    The extremes come from a first aggregate and enter the plan as literals. A value's bin is found by the width that the
+    bounds are made of: ``width_bucket`` divides by the whole range, and so rounds values at a bound to the other side.
     """
     v = finite(column(num))
     low, high = df.agg(F.min(v), F.max(v)).first()
     if low is None:
         return df.sparkSession.createDataFrame([], "bin bigint, low double, high double, n bigint")
-    if low == high:
-        number, width = F.lit(1).cast("bigint"), F.lit(0.0)
+    step = (high - low) / n
+    width = F.lit(step)
+    if step == 0:
+        number = F.lit(1).cast("bigint")
     else:
-        number = F.least(F.width_bucket(v, F.lit(low), F.lit(high), F.lit(n)), F.lit(n).cast("bigint"))
-        width = F.lit((high - low) / n)
+        number = F.least(F.floor((v - F.lit(low)) / width) + 1, F.lit(n).cast("bigint"))
     counted = df.where(v.isNotNull()).groupBy(number.alias("bin")).agg(F.count("*").alias("n"))
     return counted.select(
         "bin", (F.lit(low) + (F.col("bin") - 1) * width).alias("low"), (F.lit(low) + F.col("bin") * width).alias("high"), "n"
