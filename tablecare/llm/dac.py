@@ -33,7 +33,7 @@ from tablecare.scratch import new_path
 
 BLOCK = 512
 #: Ids of a file; a file ends with the document that reaches it.
-FILE_IDS = 1 << 22
+FILE_IDS = 1 << 21
 #: Characters of text that are encoded at a time.
 TEXT_STEP = 1 << 20
 

@@ -14,7 +14,7 @@ from tablecare.scratch import ship_package
 #: Bytes of text that one step of a task works on; a longer text is a step of its own.
 STEP_BYTES = 2 << 20
 #: Bytes that Spark hands to a task at once.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
