@@ -38,6 +38,8 @@ SURE = 6.0
 COMMON_VALUES = 1 << 20
 #: Bits of the filters of texts that are asked for, and of values that more than one text lists.
 FILTER_BITS = 1 << 23
+#: Bytes of text whose words and windows a task holds at a time.
+STEP = 1 << 20
 VALUE_BITS = 1 << 26
 
 _NODES = "node long, n long, sketch binary"
@@ -86,7 +88,7 @@ def sketches(docs: DataFrame, text: str, carry: list[str], size: int = WORDS, k:
             [*(part.rows.column(i) for i in range(len(carry))), pa.array(node, mask=n == 0), pa.array(n.astype(np.int64)),
              packed((values[at] >> np.uint64(32)).astype(np.uint32), kept)], names=[*carry, "node", "n", "sketch"])
 
-    return map_texts(docs.select(*carry, F.col(text).alias("__text")), work, f"{schema}, {_NODES}", "__text")
+    return map_texts(docs.select(*carry, F.col(text).alias("__text")), work, f"{schema}, {_NODES}", "__text", STEP)
 
 
 def shared_least(n: np.ndarray, k: int, similar: int) -> np.ndarray:
@@ -210,7 +212,7 @@ def _sets_of(pairs: DataFrame, docs: DataFrame, text: str, size: int) -> DataFra
         use = (n > 0) & passes(needed.value, node)
         return pa.RecordBatch.from_arrays([pa.array(node[use]), packed(values[np.repeat(use, n)], n[use])], names=["node", "full"])
 
-    found = map_texts(docs.select(F.col(text).alias("__text")), work, "node long, full binary", "__text")
+    found = map_texts(docs.select(F.col(text).alias("__text")), work, "node long, full binary", "__text", STEP)
     # equal sets come from every copy: one row a task and node is shuffled
     return found.groupBy("node").agg(F.first("full").alias("full"))
 
