@@ -269,11 +269,19 @@ class Tree:
 
 
 class Lookup:
-    """Values of some keys, one at least, all asked for among them: two tables of slots, and a search for those whose places are taken."""
+    """Values of some keys, one at least, all asked for among them: two tables of slots, and a search for those whose places are taken.
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
+    The lists of keys and values are taken over and emptied, so that the keys are held twice at most while they are put in order.
+    """
+
+    def __init__(self, lists: list[tuple[np.ndarray, np.ndarray]]):
+        keys, values = np.concatenate([k for k, _ in lists]), np.concatenate([v for _, v in lists])
+        lists.clear()
         order = np.argsort(keys)
-        self.keys, self.values = keys[order], values[order]
+        self.keys = keys[order]
+        del keys
+        self.values = values[order]
+        del values, order
         self.tables = []  # places of keys by slot; several keys have the same slot, one of them is there
         left = np.arange(len(self.keys), dtype=np.int32)
         for factor in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
@@ -484,10 +492,7 @@ def scored(docs: DataFrame, id_column: str = "doc_id", text: str = "text", block
                     lists[turn[first]].extend((unpack_keys(k.as_py()), unpack(v.as_py(), "<f4" if turn[first] == STRINGS else "<u8")) for k, v in zip(rows.column(2), rows.column(3)))
                     continue
                 if costs is None:
-                    costs = Lookup(*map(np.concatenate, zip(*lists[STRINGS])))
-                    lists[STRINGS].clear()
-                    counts = Lookup(*map(np.concatenate, zip(*lists[WORDS])))
-                    lists[WORDS].clear()
+                    costs, counts = Lookup(lists[STRINGS]), Lookup(lists[WORDS])
                     pa.default_memory_pool().release_unused()
                 for part in texts(batch for raw in rows.column(2) for batch in pa.ipc.open_stream(raw.as_py())):
                     sums = np.zeros(len(part))
