@@ -117,6 +117,8 @@ class Encoder:
 
     def plain(self, texts: list[str]) -> list[bytes]:
         """Ids of texts without added tokens: each distinct piece is looked up once, its ids are copied to all its places."""
+        if not texts:
+            return []
         if len(self.known) > REMEMBERED:  # forget what was not asked for again since the last time
             self.known = {x: self.known[x] for x in self.used if x in self.known}
             self.used = set()

@@ -34,6 +34,6 @@ def test_white_space_of_all_kinds(name):
     texts = ["", " ", "  ", "\n", "a", " a", "a ", "a  b", "a \n b", "a\xa0 b", "a  b", "a\x85 b", "a \x1cb"]
     texts += ["".join(chance.choices(parts, k=chance.randrange(1, 30))) for _ in range(400)]
     texts += [" ".join(chance.choices(parts[11:], k=20)) for _ in range(100)]
-    for step in (texts, texts[:1], texts[20:40], texts[-5:]):
+    for step in ([], texts, texts[:1], texts[20:40], texts[-5:]):
         wanted = encoder.tokenizer.encode_batch(step, add_special_tokens=False)
         assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(step)] == [x.ids for x in wanted]
