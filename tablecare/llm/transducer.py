@@ -18,6 +18,7 @@ Null and empty texts have no pieces. Rows are encoded each for itself. Extra col
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -53,11 +54,11 @@ class Transducer:
         self.byte_ids = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         for b, i in enumerate(self.byte_ids):
             self.bytes_of[i] = bytes([b])
-        self.longest = max(map(len, self.ids))
         self.neighbours = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        self.begun = {p[:k]: p[:k] in self.ids for p in self.ids for k in range(2, len(p) + 1)}  # what pieces begin with: is it one?
         self.pairs: dict[tuple[str, str], bool] = {}
         self.known: dict[str, bytes] = {}
-        self.units: dict[str, list[int]] = {}
+        self.units: dict[str, bytes] = {}
 
     def joined(self, text: str) -> list[str]:
         """The characters of a short text joined by the best pair, the leftmost of equals, until none is a piece."""
@@ -84,19 +85,28 @@ class Transducer:
 
     def shortest(self, text: str) -> list[str]:
         """The pieces, and single characters that are none, on the shortest path through the composition with ``text``."""
-        n, ids = len(text), self.ids
+        n, ids, begun, pairs = len(text), self.ids, self.begun, self.pairs
         cost, arc = [0.0] + [float("inf")] * n, [""] * (n + 1)
-        for j in range(1, n + 1):
-            for i in range(max(0, j - self.longest), j):
+        for i in range(n):  # all arcs into a place come before those out of it
+            so_far, last = cost[i], arc[i]
+            if i and not last:
+                continue  # no path leads here
+            for j in range(i + 1, n + 1):
                 piece = text[i:j]
-                if piece in ids:
-                    step = 1.0
-                elif j - i == 1:
-                    step = FALLBACK
+                if j - i == 1:
+                    step = so_far + (1.0 if piece in ids else FALLBACK)
+                elif (whole := begun.get(piece)) is None:
+                    break  # no piece goes on like this
+                elif whole:
+                    step = so_far + 1.0
                 else:
                     continue
-                if cost[i] + step < cost[j] and (i == 0 or self.follows(arc[i], piece)):
-                    cost[j], arc[j] = cost[i] + step, piece
+                if step < cost[j]:
+                    if i:
+                        may = pairs.get((last, piece))
+                        if not (self.follows(last, piece) if may is None else may):
+                            continue
+                    cost[j], arc[j] = step, piece
         out = []
         while n:
             out.append(arc[n])
@@ -105,25 +115,28 @@ class Transducer:
 
     def part(self, text: str) -> bytes:
         """Ids of a part, as little-endian unsigned 32-bit integers."""
-        ids: list[int] = []
-        first = 0
+        out, first, units, neighbours = [], 0, self.units, self.neighbours
         for k in range(1, len(text) + 1):
-            if k == len(text) or text[k - 1 : k + 1] not in self.neighbours:
+            if k == len(text) or text[k - 1 : k + 1] not in neighbours:
                 unit = text[first:k]
                 first = k
-                if unit not in self.units:
-                    self.units[unit] = [i for p in self.shortest(unit) for i in ((self.ids[p],) if p in self.ids else map(self.byte_ids.__getitem__, p.encode()))]
-                ids += self.units[unit]
-        return np.array(ids, "<u4").tobytes()
+                found = units.get(unit)
+                if found is None:
+                    ids = [i for p in self.shortest(unit) for i in ((self.ids[p],) if p in self.ids else map(self.byte_ids.__getitem__, p.encode()))]
+                    found = units[unit] = struct.pack(f"<{len(ids)}I", *ids)
+                out.append(found)
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        parts = _PARTS.findall(SPACE + text.replace(" ", SPACE))
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts: each distinct part is looked up once, its ids are copied to all its places."""
+        parts = [_PARTS.findall(SPACE + text.replace(" ", SPACE)) if text else [] for text in texts]
         known = self.known
-        for new in set(parts).difference(known):
+        for new in {x for some in parts for x in some}.difference(known):
             known[new] = self.part(new)
-        out = b"".join(map(known.__getitem__, parts))
+        out = [b"".join(map(known.__getitem__, some)) for some in parts]
         if len(known) > REMEMBERED:
             known.clear()
         if len(self.units) > REMEMBERED:
@@ -157,7 +170,7 @@ def encoded(docs: DataFrame, model: str, id_column: str = "doc_id", text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _batches(batches, 1):
-            raw = [compiled(model).encode(x) for x in batch.column(1).to_pylist()]
+            raw = compiled(model).encode_all(batch.column(1).to_pylist())
             offs = np.concatenate([[0], np.cumsum([len(x) // 4 for x in raw])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offs), pa.array(np.frombuffer(b"".join(raw), "<i4")))], names=[id_column, "ids"])
 
@@ -184,7 +197,7 @@ def round_trip(docs: DataFrame, model: str, id_column: str = "doc_id", text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _batches(batches, 1):
             words = batch.column(1).to_pylist()
-            raw = [compiled(model).encode(x) for x in words]
+            raw = compiled(model).encode_all(words)
             same = [compiled(model).decode(np.frombuffer(r, "<u4").tolist()) == x for r, x in zip(raw, words)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array(same, pa.bool_())],
