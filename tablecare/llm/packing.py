@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tablecare.llm.links import stored
 from tablecare.llm.text import bounded_batches
-from tablecare.llm.tokens import encoder
+from tablecare.llm.tokens import STEMS, encoder
 
 SEQUENCE = 2048
 #: Rounds of the least-squares fit.
@@ -34,7 +34,7 @@ LEAST_REPEATS = 0.5
 TEXT_STEP = 1 << 20
 
 
-def pieces(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text: str = "text", size: int = SEQUENCE, end: int = 0) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text: str = "text", size: int = SEQUENCE, end: int = 0, remembered: int = STEMS) -> DataFrame:
     """(id, piece, start, length, ids_crc32, part, nth) of each piece; nth counts the pieces of this length in the task."""
     bounded_batches(docs.sparkSession)
     kind = docs.schema[id_column].dataType.simpleString()
@@ -50,7 +50,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text: str
                 while stop < len(words) and (stop == first or held + len(words[stop]) <= TEXT_STEP):
                     held += len(words[stop])
                     stop += 1
-                raw = [x + last for x in encoder(tokenizer).encode(words[first:stop])]
+                raw = [x + last for x in encoder(tokenizer, remembered).encode(words[first:stop])]
                 n = np.array([len(x) // 4 for x in raw])
                 many = -(-n // size)
                 row = np.repeat(np.arange(len(raw)), many)
@@ -171,10 +171,10 @@ def ranges(made: list[tuple[int, list[tuple[int, int]]]], size: int = SEQUENCE)
     return dict(zip(("length", "rank", "times", "sequence", "place"), table.T))
 
 
-def pack(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text: str = "text", size: int = SEQUENCE, end: int = 0) -> DataFrame:
-    """(id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every row."""
+def pack(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text: str = "text", size: int = SEQUENCE, end: int = 0, remembered: int = STEMS) -> DataFrame:
+    """(id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every row; ``remembered`` words stay in a worker's memory."""
     spark = docs.sparkSession
-    cut = stored(pieces(docs, tokenizer, id_column, text, size, end), "pieces")
+    cut = stored(pieces(docs, tokenizer, id_column, text, size, end, remembered), "pieces")
     held = stored(cut.groupBy("length", "part").agg(F.count("*").alias("many")), "held")
     rows = held.groupBy("length").agg(F.sum("many").alias("many")).toArrow()
     counts = np.zeros(size + 1, np.int64)

@@ -18,13 +18,16 @@ import pyarrow.compute as pc
 
 #: Pieces of a worker's memory; what it forgets is encoded again.
 REMEMBERED = 250_000
+#: Words of a worker's memory; as many that were not asked for again may stay beside them.
+STEMS = 250_000
 
 #: A character that ends a piece when many are encoded together.
 MARK = "\0"
 AT_ONCE = 20_000
 
-#: Pieces that are Latin letters and then punctuation: always two tokens or more, so the letters are encoded once for all.
-_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-įıĲ-ſ]+)([!-/:-@\[-`{-~]*)")
+#: Pieces that are Latin letters and then punctuation, twice if a line ends between: always tokens apart, so letters are encoded once for all.
+_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-įıĲ-ſ", r"[!-/:-@\[-`{-~]*"
+_WORD = re.compile(rf"([{_LETTERS}]+)({_MARKS})(?:\n([{_LETTERS}]+)({_MARKS}))?")
 _ALONE = re.compile(r"(?<=\S) (?=\S)")
 #: White space, for Arrow's expressions, and texts where a space does not stand alone or white space is at an end.
 _WHITE = r"[\t-\r\x1c-\x20\x{85}\pZ]"
@@ -38,7 +41,8 @@ _encoders: dict[str, Encoder] = {}
 class Encoder:
     """Ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = STEMS):
+        self.most = most
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -51,10 +55,14 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.used: set[str] = set()
         self.stems: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         shown = self.tokenizer.pre_tokenizer.pre_tokenize_str(" a")
         self.space = shown[0][0][:-1]  # how a space before a word shows in its token, if it does
         normal = self.tokenizer.normalizer
         self.lower = normal is not None and normal.normalize_str("A") == "a"
+        between = self.tokenizer.pre_tokenizer.pre_tokenize_str(normal.normalize_str("a\nb") if normal else "a\nb")
+        shows = "".join(x for x, _ in between)[1:-1]  # how the end of a line between letters shows, if it does
+        self.line = np.array([x.id for x in self.tokenizer.model.tokenize(shows)] if shows else [], "<u4").tobytes()
         self.mark = np.array(self.tokenizer.encode(f" {MARK}", add_special_tokens=False).ids, "<u4")
 
     def pieces(self, new: list[str]) -> list[bytes]:
@@ -72,24 +80,34 @@ class Encoder:
     def stem(self, text: str, before: str) -> bytes:
         """Ids of letters, or of punctuation, that are a word of the tokenizer by themselves."""
         key = before + text
-        if key not in self.stems:
-            raw = text if text.isascii() else "".join(map(_SHOWN.__getitem__, text.encode()))
-            found = [x.id for x in self.tokenizer.model.tokenize(before + raw)]
-            self.stems[key] = struct.pack(f"<{len(found)}I", *found)
-        return self.stems[key]
+        known = self.stems.get(key)
+        if known is None:
+            known = self.older.get(key)
+            if known is None:
+                raw = text if text.isascii() else "".join(map(_SHOWN.__getitem__, text.encode()))
+                found = [x.id for x in self.tokenizer.model.tokenize(before + raw)]
+                known = struct.pack(f"<{len(found)}I", *found)
+            self.stems[key] = known
+        return known
 
     def learn(self, new: list[str]) -> None:
-        if len(self.stems) > REMEMBERED // 2:
-            self.stems.clear()
+        if len(self.stems) > self.most:  # those asked for since then move over again
+            self.older, self.stems = self.stems, {}
         rest = []
         for piece in new:
             found = _WORD.fullmatch(piece)
             if not found:
                 rest.append(piece)
                 continue
-            letters, marks = found.groups()
+            letters, marks, more, last = found.groups()
             ids = self.stem(letters.lower() if self.lower else letters, self.space)
-            self.known[piece] = ids + self.stem(marks, "") if marks else ids
+            if marks:
+                ids += self.stem(marks, "")
+            if more:
+                ids += self.line + self.stem(more.lower() if self.lower else more, "")
+                if last:
+                    ids += self.stem(last, "")
+            self.known[piece] = ids
         alone = [x for x in rest if MARK in x or x[-1].isspace()]  # a text can end in white space
         if alone:
             rest = list(set(rest).difference(alone))
@@ -161,8 +179,9 @@ class Encoder:
         return out
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder of this file."""
+def encoder(path: str, most: int = STEMS) -> Encoder:
+    """The worker's encoder of this file, which remembers ``most`` words."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, most)
+    _encoders[path].most = most
     return _encoders[path]
