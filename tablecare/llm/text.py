@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -129,6 +130,25 @@ def window_hashes(hashes: np.ndarray, counts: np.ndarray, size: int) -> tuple[np
     return mix(total), at, n
 
 
+def give_back() -> None:
+    """Hand memory that is free back to the system: workers live on into other tasks, beside those that work then."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # what glibc has for it
+    if trim:
+        trim(0)
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, a task's work for mapInArrow, which hands its memory back at its end."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return work
+
+
 def texts(batches: Iterator[pa.RecordBatch], column: str = "text", step: int = STEP_BYTES) -> Iterator[Texts]:
     """The batches in steps of about ``step`` bytes of ``column``; null is as empty."""
     for batch in batches:
@@ -156,7 +176,7 @@ def map_texts(docs: DataFrame, work: Callable[[Texts], pa.RecordBatch | None], s
             if out is not None and out.num_rows:
                 yield out
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)
 
 
 def packed(values: np.ndarray, counts: np.ndarray) -> pa.Array:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablecare.llm.links import discard, stored
-from tablecare.llm.text import Texts, bounded_batches, crc_fold, mix, span_hashes, texts
+from tablecare.llm.text import Texts, bounded_batches, crc_fold, give_back, mix, span_hashes, texts, tidied
 
 #: Bytes of the longest context: with 6, a string and a bit beside it fit 64-bit keys.
 DEPTH = 6
@@ -274,23 +274,27 @@ class Lookup:
     The lists of keys and values are taken over and emptied, so that the keys are held twice at most while they are put in order.
     """
 
+    #: Keys whose slots are worked out at once.
+    RANGE = 1 << 18
+
     def __init__(self, lists: list[tuple[np.ndarray, np.ndarray]]):
         keys, values = np.concatenate([k for k, _ in lists]), np.concatenate([v for _, v in lists])
         lists.clear()
         order = np.argsort(keys)
-        self.keys = keys[order]
-        del keys
         self.values = values[order]
         del values, order
+        keys.sort()
+        self.keys = keys
         self.tables = []  # places of keys by slot; several keys have the same slot, one of them is there
         left = np.arange(len(self.keys), dtype=np.int32)
         for factor in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
             bits = max(8, len(left).bit_length())
             places = np.zeros(1 << bits, np.int32)
-            slot = self._slot(self.keys[left], factor, bits)
-            places[slot] = left
+            some = [left[i : i + self.RANGE] for i in range(0, len(left), self.RANGE)]
+            for at in some:
+                places[self._slot(self.keys[at], factor, bits)] = at
             self.tables.append((factor, bits, places))
-            left = left[places[slot] != left]
+            left = np.concatenate([left[:0], *(at[places[self._slot(self.keys[at], factor, bits)] != at] for at in some)])
 
     @staticmethod
     def _slot(keys: np.ndarray, factor: int, bits: int) -> np.ndarray:
@@ -351,11 +355,11 @@ def _read(rows: DataFrame, buckets: int, block_bytes: int) -> DataFrame:
             if held >= block_bytes:
                 yield from asked()
                 block, held, tallies = block + 1, 0, _tallies()
-                pa.default_memory_pool().release_unused()
+                give_back()
         if held:
             yield from asked()
 
-    return rows.select("id", "text", "train").mapInArrow(run, "block long, kind int, bucket int, keys binary, n binary")
+    return rows.select("id", "text", "train").mapInArrow(tidied(run), "block long, kind int, bucket int, keys binary, n binary")
 
 
 def _grown(asked: DataFrame, tasks: int) -> DataFrame:
@@ -388,7 +392,7 @@ def _grown(asked: DataFrame, tasks: int) -> DataFrame:
         yield from done()
 
     return asked.select("bucket", "kind", "keys", "n").repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(
-        run, "bucket int, kind int, keys binary, n binary, total long, known long, context long, place long, zeros long, ones long, whole double")
+        tidied(run), "bucket int, kind int, keys binary, n binary, total long, known long, context long, place long, zeros long, ones long, whole double")
 
 
 def _above(tops: DataFrame) -> DataFrame:
@@ -405,7 +409,7 @@ def _above(tops: DataFrame) -> DataFrame:
     for _ in range(SPLIT):
         up = levels[-1].groupBy(F.shiftright("context", 8).alias("context"), "place").agg(
             F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("whole").alias("below"))
-        levels.append(stored(up.mapInArrow(weigh, "context long, place long, zeros long, ones long, whole double, stop double"), "nodes"))
+        levels.append(stored(up.mapInArrow(tidied(weigh), "context long, place long, zeros long, ones long, whole double, stop double"), "nodes"))
     estimate = (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1.0)
     above = None
     for level in reversed(levels):
@@ -456,7 +460,7 @@ def _answered(trees: DataFrame, above: DataFrame, asked: DataFrame, tasks: int)
                     found = [pack(values[np.searchsorted(keys, unpack_keys(x))], "<f4" if kind == STRINGS else "<u8") for x in raw]
                     yield pa.RecordBatch.from_arrays([part.column(2), part.column(3), part.column(4), pa.array(found, pa.binary())], names=["block", "kind", "keys", "values"])
 
-    return rows.repartition(tasks, "bucket").sortWithinPartitions("bucket", "turn").mapInArrow(run, "block long, kind int, keys binary, values binary")
+    return rows.repartition(tasks, "bucket").sortWithinPartitions("bucket", "turn").mapInArrow(tidied(run), "block long, kind int, keys binary, values binary")
 
 
 def scored(docs: DataFrame, id_column: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -493,7 +497,7 @@ def scored(docs: DataFrame, id_column: str = "doc_id", text: str = "text", block
                     continue
                 if costs is None:
                     costs, counts = Lookup(lists[STRINGS]), Lookup(lists[WORDS])
-                    pa.default_memory_pool().release_unused()
+                    give_back()
                 for part in texts(batch for raw in rows.column(2) for batch in pa.ipc.open_stream(raw.as_py())):
                     sums = np.zeros(len(part))
                     for keys, row in strings(part):
@@ -507,7 +511,7 @@ def scored(docs: DataFrame, id_column: str = "doc_id", text: str = "text", block
 
     tasks = max(1, min(most, blocks + partitions))
     out = meeting.repartition(tasks, "block").sortWithinPartitions("block", "kind").mapInArrow(
-        score, f"id {kind}, n_tokens long, n_known long, base_score double, score double, bytes long")
+        tidied(score), f"id {kind}, n_tokens long, n_known long, base_score double, score double, bytes long")
     return out.select(
         F.col("id").alias(id_column), (crc_fold("id", FOLDS) == HELD).alias("held_out"), "n_tokens", "n_known", F.lit(total["n"]).cast("long").alias("train_tokens"),
         "base_score", "score", (-F.col("score") / F.log10(F.lit(2.0)) / (F.col("bytes") + 1)).alias("bits_per_byte"))
