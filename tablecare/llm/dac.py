@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablecare.llm.text import bounded_batches
+from tablecare.llm.text import bounded_batches, tidied
 from tablecare.llm.tokens import encoder
 from tablecare.scratch import new_path
 
@@ -179,7 +179,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_column: str =
         if names:
             yield flush()
 
-    return ordered.mapInArrow(write, f"part int, file int, n_ids long, uri string, ids array<{kind}>")
+    return ordered.mapInArrow(tidied(write), f"part int, file int, n_ids long, uri string, ids array<{kind}>")
 
 
 def token_rows(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text: str = "text", end: int = 0, folder: str | None = None) -> DataFrame:
@@ -210,5 +210,5 @@ def token_rows(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text:
                     [batch.column(2)[i].values, pa.array(places[:-1] + batch.column(1)[i].as_py()), pa.array(np.diff(places)), pa.array(crcs, pa.int64())],
                     names=["id", "start", "n_tokens", "ids_crc32"])
 
-    found = placed.mapInArrow(read, f"id {kind}, start long, n_tokens long, ids_crc32 long")
+    found = placed.mapInArrow(tidied(read), f"id {kind}, start long, n_tokens long, ids_crc32 long")
     return found.withColumnRenamed("id", id_column)

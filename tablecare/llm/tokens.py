@@ -11,15 +11,16 @@ from __future__ import annotations
 import os
 import re
 import struct
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces of a worker's memory; what it forgets is encoded again.
+#: Pieces of a worker's memory, as many as its words at most; what it forgets is encoded again.
 REMEMBERED = 250_000
 #: Words of a worker's memory; as many that were not asked for again may stay beside them.
-STEMS = 250_000
+STEMS = 700_000
 
 #: A character that ends a piece when many are encoded together.
 MARK = "\0"
@@ -47,13 +48,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize = self.tokenizer.model.tokenize
         added = self.tokenizer.get_added_tokens_decoder()
         self.added = {t.content: struct.pack("<I", i) for i, t in added.items()}
         self.at_added = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) or r"(?!)")
         if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added.values()):
             raise ValueError(f"{path}: added tokens that look beyond their own content are not supported")
         self.known: dict[str, bytes] = {}
-        self.used: set[str] = set()
         self.stems: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         shown = self.tokenizer.pre_tokenizer.pre_tokenize_str(" a")
@@ -84,8 +85,7 @@ class Encoder:
         if known is None:
             known = self.older.get(key)
             if known is None:
-                raw = text if text.isascii() else "".join(map(_SHOWN.__getitem__, text.encode()))
-                found = [x.id for x in self.tokenizer.model.tokenize(before + raw)]
+                found = [x.id for x in self.tokenize(key if text.isascii() else before + "".join(map(_SHOWN.__getitem__, text.encode())))]
                 known = struct.pack(f"<{len(found)}I", *found)
             self.stems[key] = known
         return known
@@ -93,26 +93,32 @@ class Encoder:
     def learn(self, new: list[str]) -> None:
         if len(self.stems) > self.most:  # those asked for since then move over again
             self.older, self.stems = self.stems, {}
-        rest = []
+        known, stems, space, rest = self.known, self.stems, self.space, []
         for piece in new:
-            found = _WORD.fullmatch(piece)
-            if not found:
-                rest.append(piece)
-                continue
-            letters, marks, more, last = found.groups()
-            ids = self.stem(letters.lower() if self.lower else letters, self.space)
+            letters = piece.rstrip(punctuation)
+            if letters.isascii() and letters.isalpha():  # most pieces; without the expression
+                marks, more = piece[len(letters) :], None
+            else:
+                found = _WORD.fullmatch(piece)
+                if not found:
+                    rest.append(piece)
+                    continue
+                letters, marks, more, last = found.groups()
+            if self.lower:
+                letters = letters.lower()
+            ids = stems.get(space + letters) or self.stem(letters, space)
             if marks:
-                ids += self.stem(marks, "")
+                ids += stems.get(marks) or self.stem(marks, "")
             if more:
                 ids += self.line + self.stem(more.lower() if self.lower else more, "")
                 if last:
                     ids += self.stem(last, "")
-            self.known[piece] = ids
+            known[piece] = ids
         alone = [x for x in rest if MARK in x or x[-1].isspace()]  # a text can end in white space
         if alone:
             rest = list(set(rest).difference(alone))
-            self.known.update(zip(alone, self.raw([" " + x for x in alone])))
-        self.known.update(zip(rest, self.pieces(rest)))
+            known.update(zip(alone, self.raw([" " + x for x in alone])))
+        known.update(zip(rest, self.pieces(rest)))
 
     def raw(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -137,9 +143,8 @@ class Encoder:
         """Ids of texts without added tokens: each distinct piece is looked up once, its ids are copied to all its places."""
         if not texts:
             return []
-        if len(self.known) > REMEMBERED:  # forget what was not asked for again since the last time
-            self.known = {x: self.known[x] for x in self.used if x in self.known}
-            self.used = set()
+        if len(self.known) > min(REMEMBERED, self.most):  # most are made again of words that are still known
+            self.known = {}
         column = pa.array(texts, pa.large_string())
         cut, order = pc.split_pattern(column, " "), np.arange(len(texts))
         # a piece that is empty or touches more white space isn't apart from its neighbours
@@ -150,16 +155,19 @@ class Encoder:
             order = np.argsort(loose.to_numpy(zero_copy_only=False), kind="stable")
         offs = cut.offsets.to_numpy()
         coded = cut.flatten().dictionary_encode()
-        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        words, at = coded.dictionary.to_numpy(zero_copy_only=False), coded.indices.to_numpy()
         first = np.zeros(len(at), bool)
         first[offs[:-1]] = True
         asked = np.flatnonzero(np.bincount(at[~first], minlength=len(words)))
-        names = [words[i] for i in asked.tolist()]
-        new = set(names).difference(self.known)
-        if len(self.used) < REMEMBERED // 2:
-            self.used.update(set(names) - new)
-        self.learn(list(new))
-        ids = [self.known[x] for x in names] + self.raw([words[i] for i in at[first].tolist()])
+        names = words[asked].tolist()
+        ids = list(map(self.known.get, names))
+        missing = [i for i, x in enumerate(ids) if x is None]
+        if missing:
+            new = [names[i] for i in missing]
+            self.learn(new)
+            for i, piece in zip(missing, new):
+                ids[i] = self.known[piece]
+        ids += self.raw(words[at[first]].tolist())
         n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         which = np.zeros(max(len(words), 1), np.int32)
         which[asked] = np.arange(len(asked))
@@ -179,6 +187,11 @@ class Encoder:
         return out
 
 
+def forget() -> None:
+    """Drop the worker's encoders, when all is encoded."""
+    _encoders.clear()
+
+
 def encoder(path: str, most: int = STEMS) -> Encoder:
     """The worker's encoder of this file, which remembers ``most`` words."""
     if path not in _encoders:
