@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablecare.llm.links import bit_filter, components, discard, passes, stored
-from tablecare.llm.text import Texts, bounded_batches, map_texts, packed, unpacked, window_hashes, span_hashes
+from tablecare.llm.text import Texts, bounded_batches, map_texts, packed, tidied, unpacked, window_hashes, span_hashes
 
 WORDS = 5
 SKETCH = 256
@@ -107,7 +107,7 @@ def _common(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             values, n = np.unique(unpacked(batch.column(0), np.uint32)[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(values[n > 1].astype(np.int64)), pa.array(n[n > 1])], names=["value", "seen"])
 
-    counted = nodes.select("sketch").mapInArrow(count, "value long, seen long").groupBy("value").agg(F.sum("seen").alias("seen"))
+    counted = nodes.select("sketch").mapInArrow(tidied(count), "value long, seen long").groupBy("value").agg(F.sum("seen").alias("seen"))
     rows = counted.orderBy(F.desc("seen"), "value").limit(COMMON_VALUES).toArrow()
     values, seen = rows.column("value").to_numpy(), rows.column("seen").to_numpy()
     order = np.argsort(values)
@@ -144,9 +144,9 @@ def _listed(nodes: DataFrame, k: int, similar: int) -> DataFrame:
                 names=["value", "node", "n", "room", "least"])
 
     rows = nodes.select("node", "n", "sketch")
-    counted = rows.mapInArrow(entries, "value long").groupBy("value").agg(F.count("*").alias("many")).filter("many > 1")
+    counted = rows.mapInArrow(tidied(entries), "value long").groupBy("value").agg(F.count("*").alias("many")).filter("many > 1")
     shared = spark.sparkContext.broadcast(bit_filter(counted.select("value"), VALUE_BITS))
-    return rows.mapInArrow(lambda batches: entries(batches, shared), "value long, node long, n long, room int, least int")
+    return rows.mapInArrow(tidied(lambda batches: entries(batches, shared)), "value long, node long, n long, room int, least int")
 
 
 def _possible(a: str, b: str, k: int, similar: int) -> F.Column:
@@ -193,11 +193,11 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, k: int, similar: int) -> Data
         for batch in batches:
             yield batch.filter(pa.array(passes(needed.value, batch.column(0).to_numpy())))
 
-    few = nodes.select("node", "n", "sketch").mapInArrow(asked, "node long, n long, sketch binary")
+    few = nodes.select("node", "n", "sketch").mapInArrow(tidied(asked), "node long, n long, sketch binary")
     one = few.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("sketch").alias("x"))
     other = few.select(F.col("node").alias("b"), "n", F.col("sketch").alias("y"))
     both = pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y", "m", "n")
-    return both.mapInArrow(judge, "a long, b long")
+    return both.mapInArrow(tidied(judge), "a long, b long")
 
 
 def _sets_of(pairs: DataFrame, docs: DataFrame, text: str, size: int) -> DataFrame:
@@ -231,7 +231,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
 
     one = sets.select(F.col("node").alias("b"), F.col("full").alias("y"))
     other = sets.select(F.col("node").alias("a"), F.col("full").alias("x"))
-    return pairs.join(one, "b").join(other, "a").select("a", "b", "x", "y").mapInArrow(judge, "a long, b long")
+    return pairs.join(one, "b").join(other, "a").select("a", "b", "x", "y").mapInArrow(tidied(judge), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = WORDS, k: int = SKETCH, similar: int = SIMILAR) -> DataFrame:

@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablecare.llm.links import stored
-from tablecare.llm.text import bounded_batches
-from tablecare.llm.tokens import STEMS, encoder
+from tablecare.llm.text import bounded_batches, tidied
+from tablecare.llm.tokens import STEMS, encoder, forget
 
 SEQUENCE = 2048
 #: Rounds of the least-squares fit.
@@ -71,7 +71,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text: str
                 first = stop
 
     return docs.select(F.col(id_column).alias("id"), F.coalesce(text, F.lit("")).alias("text")).mapInArrow(
-        cut, f"id {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long")
+        tidied(cut), f"id {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long")
 
 
 def patterns(lengths: np.ndarray, size: int) -> np.ndarray:
@@ -184,6 +184,7 @@ def pack(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text: str =
     ranked = cut.join(held.withColumn("base", F.coalesce(F.sum("many").over(before), F.lit(0))), ["length", "part"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         to = shared.value
         first = np.searchsorted(to["length"], np.arange(size + 2))
         for batch in batches:
@@ -199,4 +200,4 @@ def pack(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text: str =
 
     kind = docs.schema[id_column].dataType.simpleString()
     return ranked.select("id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank")).mapInArrow(
-        place, f"`{id_column}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+        tidied(place), f"`{id_column}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablecare.llm.links import bit_filter, discard, passes, stored
-from tablecare.llm.text import Texts, bounded_batches, map_texts, mix
+from tablecare.llm.text import Texts, bounded_batches, map_texts, mix, tidied
 
 SIZE = 100
 SEED = 40
@@ -146,8 +146,8 @@ def keyed(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Dat
 
         return run
 
-    alone = whole.mapInArrow(those(False), whole.schema).withColumn("__tag", no_tag)
-    some = whole.mapInArrow(those(True), whole.schema).withColumn("__row", F.monotonically_increasing_id())
+    alone = whole.mapInArrow(tidied(those(False)), whole.schema).withColumn("__tag", no_tag)
+    some = whole.mapInArrow(tidied(those(True)), whole.schema).withColumn("__row", F.monotonically_increasing_id())
     some = some.orderBy(F.col(id_column).cast("long").asc_nulls_first(), F.sha2(F.col(text).cast("binary"), 256), "__row").drop("__row")
     return alone.unionByName(stored(some.withColumn("__tag", F.monotonically_increasing_id()), "shared"))
 
@@ -294,7 +294,7 @@ def _filters(firsts: DataFrame) -> tuple:
             yield pa.RecordBatch.from_arrays([pa.array(_marks(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy(), b.column(2).to_numpy()))], names=["mark"])
 
     context = firsts.sparkSession.sparkContext
-    return (context.broadcast(bit_filter(firsts.select("name", "id", "start").mapInArrow(marks, "mark long"), ROW_BITS)), context.broadcast(bit_filter(firsts.select("id"), ROW_BITS)))
+    return (context.broadcast(bit_filter(firsts.select("name", "id", "start").mapInArrow(tidied(marks), "mark long"), ROW_BITS)), context.broadcast(bit_filter(firsts.select("id"), ROW_BITS)))
 
 
 def without_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", digest_only: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -347,6 +347,6 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
                                              names=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "rest"])
 
     cut = told.filter("digest is null").select("id", "tag", "rest", "text").join(cuts, ["id", "tag"], "left").select("text", "cuts", "rest").mapInArrow(
-        remove, f"n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, rest {kind}")
+        tidied(remove), f"n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, rest {kind}")
     both = whole.unionByName(cut)
     return both.select(F.col(f"rest.{id_column}").alias(id_column), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *(F.col(f"rest.{c}").alias(c) for c in carry))
