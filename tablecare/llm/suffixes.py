@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablecare.llm.links import bit_filter, discard, passes, stored
+from tablecare.llm.links import discard, passes, sized_filter, stored
 from tablecare.llm.text import Texts, bounded_batches, map_texts, mix, tidied
 
 SIZE = 100
@@ -40,9 +40,6 @@ NO_ID = -(2**63)
 #: Bytes of text of a step: little enough to stay near the processor.
 STEP = 1 << 18
 SLICE = 4 << 20
-#: Bits of the filters of seeds and parts that occur twice, of first occurrences, of documents to cut and of ids of several rows.
-SEED_BITS = 1 << 26
-ROW_BITS = 1 << 24
 
 _FACTORS = mix(np.arange(1, SIZE // 8 + 3, dtype=np.uint64)) | np.uint64(1)
 #: Low bits that hold a place within a slice.
@@ -133,7 +130,7 @@ def keyed(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Dat
     bounded_batches(spark)
     whole = docs.withColumn("__id", F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)))
     several = whole.groupBy("__id").agg(F.count("*").alias("n")).filter((F.col("n") > 1) | (F.col("__id") == NO_ID))
-    found = bit_filter(several.select("__id"), ROW_BITS)
+    found = _filter(several.select("__id"))
     no_tag = F.lit(-1).cast("long")
     if not found.any():
         return whole.withColumn("__tag", no_tag)
@@ -152,6 +149,14 @@ def keyed(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Dat
     return alone.unionByName(stored(some.withColumn("__tag", F.monotonically_increasing_id()), "shared"))
 
 
+def _filter(ids: DataFrame) -> np.ndarray:
+    """A filter of ids that are yet to be worked out."""
+    held = stored(ids, "ids")
+    found = sized_filter(held)
+    discard(held)
+    return found
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
@@ -190,16 +195,16 @@ def repeated(rows: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     spark = rows.sparkSession
 
     def seeds(part: Texts) -> pa.RecordBatch:
-        seed, seen = np.unique(Blocks(part).seed >> np.uint64(32), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(seed.astype(np.int64)), pa.array(seen)], names=["seed", "seen"])
+        seed, seen = np.unique(Blocks(part).seed, return_counts=True)
+        return pa.RecordBatch.from_arrays([_signed(seed), pa.array(seen)], names=["seed", "seen"])
 
-    # a seed is counted by its upper half; one that is taken for another's copy only costs time
+    # by all bits: seeds are least of many, so few of their upper bits differ
     counted = map_texts(rows, seeds, "seed long, seen long", step=STEP).groupBy("seed").agg(F.sum("seen").alias("seen")).filter("seen > 1")
-    twice = spark.sparkContext.broadcast(bit_filter(counted.select("seed"), SEED_BITS))
+    twice = spark.sparkContext.broadcast(_filter(counted.select("seed")))
 
     def shared(part: Texts) -> Blocks:
         blocks = Blocks(part)
-        blocks.filter(passes(twice.value, (blocks.seed >> np.uint64(32)).astype(np.int64)))
+        blocks.filter(passes(twice.value, blocks.seed.view(np.int64)))
         return blocks
 
     def sample(part: Texts) -> pa.RecordBatch:
@@ -234,7 +239,7 @@ def repeated(rows: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         return None if blocks is None else pa.RecordBatch.from_arrays([_signed(_subs(blocks)[4])], names=["core"])
 
     common = map_texts(rows, cores, "core long", step=STEP).groupBy("core").agg(F.count("*").alias("seen")).filter("seen > 1")
-    kept = spark.sparkContext.broadcast(bit_filter(common.select("core"), SEED_BITS))
+    kept = spark.sparkContext.broadcast(_filter(common.select("core")))
 
     def parts(part: Texts) -> tuple[Texts, np.ndarray, ...] | None:
         """Row, first string, number of strings, core and name of the parts whose common bytes others have."""
@@ -294,7 +299,7 @@ def _filters(firsts: DataFrame) -> tuple:
             yield pa.RecordBatch.from_arrays([pa.array(_marks(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy(), b.column(2).to_numpy()))], names=["mark"])
 
     context = firsts.sparkSession.sparkContext
-    return (context.broadcast(bit_filter(firsts.select("name", "id", "start").mapInArrow(tidied(marks), "mark long"), ROW_BITS)), context.broadcast(bit_filter(firsts.select("id"), ROW_BITS)))
+    return (context.broadcast(sized_filter(firsts.select("name", "id", "start").mapInArrow(tidied(marks), "mark long"))), context.broadcast(sized_filter(firsts.select("id"))))
 
 
 def without_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", digest_only: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -311,7 +316,7 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     found, tables = repeated(rows)
     cuts = stored(found.groupBy("id", "tag").agg(F.collect_list(F.struct("first", "end")).alias("cuts")), "cuts")
     discard(*tables)
-    touched = spark.sparkContext.broadcast(bit_filter(cuts.select("id"), ROW_BITS))
+    touched = spark.sparkContext.broadcast(sized_filter(cuts.select("id")))
     schema = f"id long, tag long, rest {kind}, n_bytes long, digest string, text string"
 
     def split(part: Texts) -> pa.RecordBatch:
